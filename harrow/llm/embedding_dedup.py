@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 from .common import connected_components, table
 
 SIMILARITY, SHARD, MOST, OVERLAP, FANOUT, LEVELS = 0.98, 1000, 4000, 3, 1024, 3
-CANDIDATES, DEGREE, ALPHA, BEAM = 48, 16, 1.2, 32
+CANDIDATES, DEGREE, ALPHA, BEAM, EXPAND, BOTH_WAYS = 48, 16, 1.2, 32, 0.03, 64
 AUDIT, AUDITED = 0.9, 200
 #: Centroids up to this size are broadcast at once; more go in waves.
 WAVE_BYTES = 64 << 20
@@ -69,9 +69,13 @@ def robust_prune(vectors: np.ndarray, degree: int = DEGREE, alpha: float = ALPHA
 def search(index: np.ndarray, neighbours: np.ndarray, queries: np.ndarray, own: np.ndarray, similarity: float) -> tuple[np.ndarray, np.ndarray]:
     """(query, index row) pairs at least as similar as asked, found from the medoid (and own, the queries' rows or -1).
 
+    The expansion also passes through rows that are up to EXPAND less similar, so that links which lead around
+    the range's edge are followed.
+
     neighbours: (rows, degree) with -1 for none.
     """
     n, q = len(index), len(queries)
+    wide = similarity - EXPAND
     x, y = index.astype("f4"), queries.astype("f4")
     medoid = int((x @ x.mean(axis=0)).argmax())
     seen = np.zeros((q, n), bool)
@@ -95,7 +99,7 @@ def search(index: np.ndarray, neighbours: np.ndarray, queries: np.ndarray, own:
         sims = np.where(fresh, np.einsum("ijk,ik->ij", x[near], y[r]), -np.inf)
         i, j = np.nonzero(fresh)
         seen[r[i], near[i, j]] = True
-        hit = sims >= similarity - 1e-4
+        hit = sims >= wide
         i, j = np.nonzero(hit)
         found.append((r[i], near[i, j]))
         both = np.concatenate([score[r], sims], axis=1)
@@ -105,7 +109,7 @@ def search(index: np.ndarray, neighbours: np.ndarray, queries: np.ndarray, own:
         beam[r] = np.concatenate([beam[r], near], axis=1)[take, best]
         open_[r] = np.concatenate([open_[r], np.isfinite(sims)], axis=1)[take, best] & np.isfinite(score[r])
     a, b = (np.concatenate(z) for z in zip(*found))
-    exact = np.einsum("ij,ij->i", queries[a], index[b]) >= similarity
+    exact = np.einsum("ij,ij->i", queries[a], index[b]) >= wide
     inside = np.zeros((q, n), bool)
     inside[a[exact], b[exact]] = True
     known = np.nonzero(own >= 0)[0]
@@ -121,12 +125,14 @@ def search(index: np.ndarray, neighbours: np.ndarray, queries: np.ndarray, own:
             p, near = pair // n, pair % n
             fresh = ~inside[p, near]
             p, near = p[fresh], near[fresh]
-            ok = np.einsum("ij,ij->i", queries[p], index[near]) >= similarity
+            ok = np.einsum("ij,ij->i", queries[p], index[near]) >= wide
             inside[p[ok], near[ok]] = True
             new.append((p[ok], near[ok]))
         a, b = (np.concatenate(z) for z in zip(*new))
         links.append((a, b))
-    return tuple(np.concatenate(z) for z in zip(*links))
+    a, b = (np.concatenate(z) for z in zip(*links))
+    close = np.concatenate([np.einsum("ij,ij->i", queries[a[s : s + 200_000]], index[b[s : s + 200_000]]) >= similarity for s in range(0, a.size, 200_000)])
+    return a[close], b[close]
 
 
 def _classes(embeddings: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -214,8 +220,17 @@ def _linked(classes: DataFrame, similarity: float, overlap: int, shard: int, mos
     def build(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("cid", ignore_index=True)
         ids = pdf["cid"].to_numpy()
-        near = robust_prune(unit(np.stack(pdf["v"].to_numpy())))
-        return pd.DataFrame({"cid": ids, "near": [ids[r[r >= 0]] for r in near]})
+        x = unit(np.stack(pdf["v"].to_numpy()))
+        near = robust_prune(x)
+        # edges count both ways, so that what nobody is nearest to is reached too; of a hub's, the most similar stay
+        at, d = np.nonzero(near >= 0)
+        pair = np.unique(np.concatenate([at * len(ids) + near[at, d], near[at, d].astype("i8") * len(ids) + at]))
+        at, to = pair // len(ids), pair % len(ids)
+        order = np.lexsort((-np.einsum("ij,ij->i", x[at], x[to]), at))
+        at, to = at[order], to[order]
+        start = np.searchsorted(at, np.arange(len(ids)))
+        stop = np.append(start[1:], len(at))
+        return pd.DataFrame({"cid": ids, "near": [ids[to[a : min(b, a + BOTH_WAYS)]] for a, b in zip(start, stop)]})
 
     graph = members.select("shard", "block", "cid", "v").groupBy("shard", "block").applyInPandas(build, "cid long, near array<long>")
     graph = table(graph.groupBy("cid").agg(F.array_distinct(F.flatten(F.collect_list("near"))).alias("near")).withColumnRenamed("cid", "g"), "graph")

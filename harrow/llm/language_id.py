@@ -28,6 +28,8 @@ from .common import filter_rows, map_rows
 from .toxicity import held_out
 
 SAMPLE, GRAMS, POSITIONS, HASHES, MEMO = 20_000, 40_000, 1 << 22, 4, 400_000
+#: Part of its largest share in any language that an n-gram must have in a language to be learned there.
+KEEP = 0.3
 LONGEST = 5
 _WORDS = re.compile(r"[^\W\d_]+").findall
 #: Bits of a packed per-language count.
@@ -138,6 +140,9 @@ def fit(documents: DataFrame, sample: int = SAMPLE, most: int = GRAMS) -> Langua
         return block
 
     counted = map_rows(drawn.select("lang", "text"), task, "lang string, gram string, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
+    # An n-gram belongs to the languages in which it is nearly as frequent as in the one that uses it most.
+    share = F.col("n") / F.sum("n").over(Window.partitionBy("lang"))
+    counted = counted.withColumn("share", share).withColumn("most", F.max("share").over(Window.partitionBy("gram"))).filter(F.col("share") >= KEEP * F.col("most"))
     # The model's size, not the data's: the commonest n-grams of each language.
     rank = F.row_number().over(Window.partitionBy("lang").orderBy(F.desc("n"), "gram"))
     learned: dict[str, list[str]] = {}

@@ -93,9 +93,9 @@ FROM docs d LEFT JOIN hits h USING (k) LEFT JOIN named n USING (k)
 OP5_SQL = """
 WITH p AS (SELECT page_id, coalesce(html, '') AS html, min(page_id) OVER (PARTITION BY coalesce(html, '')) AS first FROM pages),
 bytes AS (SELECT *, unhex(sha1(html)) AS d FROM p),
-bits AS (SELECT *, list_transform(range(0, 160), i -> get_bit(CAST(d AS BIT), CAST(i AS INTEGER))) AS b FROM bytes)
+bits AS (SELECT *, list_transform(range(0, 160), lambda i: get_bit(CAST(d AS BIT), CAST(i AS INTEGER))) AS b FROM bytes)
 SELECT page_id, CAST(strlen(html) AS BIGINT) AS payload_bytes,
-  array_to_string(list_transform(range(0, 32), j -> substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', 1 + 16 * b[5 * j + 1] + 8 * b[5 * j + 2] + 4 * b[5 * j + 3] + 2 * b[5 * j + 4] + b[5 * j + 5], 1)), '') AS payload_digest,
+  array_to_string(list_transform(range(0, 32), lambda j: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', 1 + 16 * b[5 * j + 1] + 8 * b[5 * j + 2] + 4 * b[5 * j + 3] + 2 * b[5 * j + 4] + b[5 * j + 5], 1)), '') AS payload_digest,
   CASE WHEN page_id = first OR first IS NULL THEN 'response' ELSE 'revisit' END AS record_type,
   CASE WHEN page_id = first THEN NULL ELSE first END AS refers_to
 FROM bits

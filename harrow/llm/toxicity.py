@@ -29,8 +29,9 @@ from pyspark.sql import functions as F
 from .common import filter_rows, map_rows, table
 
 SAMPLE, SENTENCES, LANDMARKS, ORDER, DECAY, SLACK = 12_000, 16, 64, 3, 0.7, 2
-#: Kernels below FLOOR count as 0, and so do windows that lack over a quarter of a landmark's different characters.
-FLOOR, SHARED, WIDTH, MEMO = 0.45, 0.75, 32, 500_000
+#: The normalised kernel is taken to the power SHARP (a kernel again). Values below FLOOR count as 0, and so do windows that lack
+#: over a quarter of a landmark's different characters.
+SHARP, FLOOR, SHARED, WIDTH, MEMO = 2, 0.25, 0.75, 32, 500_000
 #: Lengths of the word pieces that can become landmarks.
 PIECE = range(4, 13)
 
@@ -88,7 +89,7 @@ class Landmarks:
         own = codes(names, width, -1)
         self.norm = np.sqrt(subsequence_kernel(own, self.codes))
         i, j = np.indices((len(names), len(names)))
-        self.gram = (subsequence_kernel(own[i.ravel()], self.codes[j.ravel()]).reshape(i.shape) / self.norm / self.norm[:, None]).astype("f8")
+        self.gram = (subsequence_kernel(own[i.ravel()], self.codes[j.ravel()]).reshape(i.shape) / self.norm / self.norm[:, None]).astype("f8") ** SHARP
         bits = np.uint64(1) << (self.codes.astype("u4") & np.uint32(63)).astype("u8")
         self.masks = np.bitwise_or.reduce(np.where(self.codes >= 0, bits, np.uint64(0)), axis=1) if names else np.zeros(0, "u8")
         self.need = np.ceil(SHARED * np.bitwise_count(self.masks)).astype("u1")
@@ -140,7 +141,7 @@ class Landmarks:
                 if not pick.size:
                     continue
                 mine = self.codes[k][: len(self.names[k])]
-                value = subsequence_kernel(window[pick], np.broadcast_to(mine, (pick.size, mine.size))) / np.sqrt(own[pick]) / self.norm[k]
+                value = (subsequence_kernel(window[pick], np.broadcast_to(mine, (pick.size, mine.size))) / np.sqrt(own[pick]) / self.norm[k]) ** SHARP
                 for r, v in zip(rows[pick[value >= FLOOR]], value[value >= FLOOR]):
                     w = spans[r][0]
                     if self.memo[w] is None:
@@ -203,18 +204,27 @@ def choose_landmarks(sample: DataFrame, most: int = LANDMARKS) -> list[str]:
         return block
 
     weighed = map_rows(by_word, weigh, "p string, neg long, pos long").groupBy("p").agg(F.sum("neg").alias("neg"), F.sum("pos").alias("pos")).collect()
-    pure = sorted((r for r in weighed if r.pos >= 3 and r.pos > 20 * odds * r.neg), key=lambda r: (-r.pos, -len(r.p), r.p))
+    pure = [r for r in weighed if r.pos >= max(3, 0.01 * total.pos) and r.pos > 20 * odds * r.neg]
+    # The longest piece of each set that occurs (nearly) together stands for it: "idiot", not "diot".
+    by_size = sorted(pure, key=lambda r: (-r.pos, -len(r.p), r.p))
     out: list[str] = []
-    for r in pure:
+    for r in by_size:
         if len(out) == most:
             break
-        # a piece of a landmark (or around one) that is hardly commoner tells nothing new
-        if not any(r.p in x or x in r.p for x in out) and (not out or Landmarks([*out, r.p]).gram[-1, :-1].max() < 0.9):
-            out.append(r.p)
+        longest = max((x for x in by_size if r.p in x.p and x.pos >= 0.9 * r.pos), key=lambda x: (len(x.p), x.pos)).p
+        # a piece of a landmark, or one around it, tells nothing new
+        if not any(longest in x or x in longest or len(x) > 4 and _overlap(x, longest) for x in out):
+            out.append(longest)
     return out
 
 
-def _svm(x: np.ndarray, y: np.ndarray, weight: np.ndarray, reg: float = 1e-3) -> np.ndarray:
+def _overlap(x: str, y: str) -> bool:
+    """Whether one's beginning is the other's end, but for a character."""
+    n = min(len(x), len(y)) - 1
+    return n >= 4 and (x[-n:] in y or y[-n:] in x or x[:n] in y or y[:n] in x)
+
+
+def _svm(x: np.ndarray, y: np.ndarray, weight: np.ndarray, reg: float = 2e-5) -> np.ndarray:
     """Linear SVM (squared hinge, L2) by Newton's method; the last weight is the intercept."""
     x = np.hstack([x, np.ones((len(x), 1))])
     w = np.zeros(x.shape[1])
