@@ -21,6 +21,7 @@ from __future__ import annotations
 
 import functools
 import hashlib
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -88,7 +89,7 @@ class Ids(dict):
         self.chunks = re.compile(CHUNK).findall
 
     def __missing__(self, chunk: str) -> bytes:
-        ids = np.array(self.encoding.encode_ordinary(chunk), "<u2").tobytes()
+        ids = array("H", self.encoding.encode_ordinary(chunk)).tobytes()
         if len(chunk) <= 64:
             self[chunk] = ids
         return ids
