@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 
 from .common import filter_rows, map_rows, table
 
-SAMPLE, SENTENCES, LANDMARKS, ORDER, DECAY, SLACK = 12_000, 16, 64, 3, 0.7, 2
+SAMPLE, SENTENCES, LANDMARKS, ORDER, DECAY, SLACK = 12_000, 16, 64, 3, 0.8, 2
 #: The normalised kernel is taken to the power SHARP (a kernel again). Values below FLOOR count as 0, and so do windows that lack
 #: over a fifth of a landmark's different characters.
 SHARP, FLOOR, SHARED, WIDTH, MEMO = 2, 0.25, 0.8, 32, 500_000
