@@ -199,11 +199,13 @@ def write_shards(documents: DataFrame, ranks_path: str, out: str, key: int = 202
 
 def read_slots(spark: SparkSession, manifest: DataFrame, start: int = 0, stop: int | None = None, rows_at_once: int = 4096) -> DataFrame:
     """slot, doc_id, seq_no, n_tokens, shard, byte_offset, token_ids of the slots from start to stop, range-read."""
+    # a number of its own, as ranges are short rows that stand for much: by their bytes all of them would go to one task
+    tasks = int(spark.conf.get("spark.sql.shuffle.partitions"))
     stop = F.lit(stop) if stop is not None else F.col("first_slot") + F.col("n")
     ranges = (
         manifest.withColumn("a", F.greatest("first_slot", F.lit(start))).withColumn("b", F.least(F.col("first_slot") + F.col("n"), stop)).filter("a < b")
         .withColumn("a", F.explode(F.sequence("a", F.col("b") - 1, F.lit(rows_at_once).cast("long")))).withColumn("b", F.least("b", F.col("a") + rows_at_once))
-        .select("path", "shard", "first_slot", "stride", "seq_len", "a", "b").repartition("path", "a")
+        .select("path", "shard", "first_slot", "stride", "seq_len", "a", "b").repartition(tasks, "path", "a")
     )
 
     def read(batches):
@@ -229,6 +231,3 @@ def read_slots(spark: SparkSession, manifest: DataFrame, start: int = 0, stop: i
 
 def shard_folder(spark: SparkSession) -> str:
     return new_path(spark, "shards")
-
-
-
