@@ -2,10 +2,11 @@
 
 Pages of one host with the same outline form a group. The DOM of the group's first page (runs of like siblings drawn together)
 is its template; every page's DOM is aligned with it by simple tree matching (the largest order- and parent-preserving set
-of node pairs with equal labels). Over all pages of the group, a template node whose text is nearly always the same is
-constant, the others are slots. Of the nodes that aren't page furniture by their element, class, id or role, the smallest
-subtree that holds nearly all varying text is the group's content; a page's text is that of the nodes aligned with it, without
-furniture and without constant nodes.
+of node pairs with equal labels). Over the different pages of the group (pages with equal text outside of furniture count
+once), a template node whose own text is nearly always the same is constant, the others are slots. Of the nodes that aren't page
+furniture by their element, class, id or role, the lowest container beside which no varying text stands is the group's content;
+text that has no partner in the template counts for the nearest ancestor that has one. A page's text is that of the nodes aligned
+with the content, without furniture and without the own text of constant nodes. If nothing varies, nothing is constant.
 
 An explicit article or main element is content wherever it stands, and constancy takes nothing from it: on hosts where most
 pages are copies, the article itself is constant.
@@ -27,7 +28,7 @@ from pyspark.sql import functions as F
 
 from .common import map_rows, table
 
-CONSTANT, LEAST_PAGES, COVER = 0.8, 4, 0.9
+CONSTANT, LEAST_PAGES = 0.8, 4
 #: Templates up to this size are broadcast; beyond it they are joined by group.
 BROADCAST_BYTES = 32 << 20
 
@@ -42,6 +43,8 @@ MARKS = frozenset(
     "alert popup modal overlay newsletter subscribe subscription signup login register share sharing social comment comments commentlist disqus reply replies respond related recommended recommendations breadcrumb breadcrumbs pagination pager pagenav widget widgets "
     "toolbar search searchbox form copyright legal disclaimer skip tags complementary contentinfo outbrain taboola paywall".split()
 )
+#: Elements that hold text themselves; the content is never one of them but the container around.
+TEXTUAL = frozenset("p h1 h2 h3 h4 h5 h6 hgroup ul ol li dl dt dd pre blockquote figure figcaption table caption thead tbody tfoot tr td th address details summary hr".split())
 #: What an opening tag closes, up to the nearest of the boundary elements.
 CLOSES = {"li": ({"li"}, {"ul", "ol", "menu"}), "dt": ({"dt", "dd"}, {"dl"}), "dd": ({"dt", "dd"}, {"dl"}), "tr": ({"tr", "td", "th"}, {"table"}), "td": ({"td", "th"}, {"tr", "table"}), "th": ({"td", "th"}, {"tr", "table"}), "option": ({"option"}, {"select"})}
 NO_PARAGRAPH = frozenset("address article aside blockquote details div dl fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr main menu nav ol p pre section table ul".split())
@@ -134,8 +137,22 @@ def is_furniture(node: Node, inside: bool) -> bool:
     return bool(found - {"header"} if inside else found)
 
 
+def blocks_in(node: Node) -> list[Node]:
+    """The nearest nodes below node that aren't inline elements."""
+    out: list[Node] = []
+    work = list(reversed(node.children))
+    while work:
+        x = work.pop()
+        if isinstance(x, Node):
+            if x.tag in INLINE:
+                work.extend(reversed(x.children))
+            else:
+                out.append(x)
+    return out
+
+
 def blocks(nodes: list[Node | str], inside: bool, drop: frozenset[int] = frozenset()) -> list[str]:
-    """Texts of the blocks below nodes, without furniture and the nodes whose id() is in drop."""
+    """Texts of the blocks below nodes, without furniture and the own text of nodes whose id() is in drop."""
     out: list[str] = []
     line: list[str] = []
 
@@ -153,9 +170,13 @@ def blocks(nodes: list[Node | str], inside: bool, drop: frozenset[int] = frozens
             close()
         elif isinstance(x, str):
             line.append(x)
-        elif id(x) in drop or is_furniture(x, inside):
+        elif is_furniture(x, inside):
             if x.tag not in INLINE and x.tag not in ("script", "style"):
                 close()
+        elif id(x) in drop:
+            close()
+            work.append(None)
+            work.extend(reversed(blocks_in(x)))
         elif x.tag == "br":
             line.append(" ")
         elif x.tag in INLINE:
@@ -245,6 +266,12 @@ def _walk(tree: Tree, depth: int) -> Iterator[Tree]:
             yield from _walk(c, depth - 1)
 
 
+def _preorder(tree: Tree) -> Iterator[Tree]:
+    yield tree
+    for c in tree[1]:
+        yield from _preorder(c)
+
+
 def match_trees(a: Tree, b: Tree) -> dict[int, int]:
     """Simple tree matching: preorder numbers of a's nodes to those of their partners in b."""
 
@@ -298,15 +325,54 @@ def own_text(nodes: list[Node]) -> str:
     return _SPACE.sub(" ", " ".join(out)).strip()
 
 
+def page_texts(order: list[list[Node]], tree: Tree, pairs: dict[int, int]) -> list[tuple[int, str]]:
+    """(template node, own text) outside of furniture; text below node k that has no partner comes as node -1 - k."""
+    out: list[tuple[int, str]] = []
+    lone: dict[int, list[str]] = {}
+    k = 0
+
+    def below(t: Tree, near: int) -> None:
+        nonlocal k
+        nodes = [x for x in order[k] if not is_furniture(x, False)]
+        partner = pairs.get(k)
+        k += 1
+        if text := own_text(nodes):
+            if partner is None:
+                lone.setdefault(near, []).append(text)
+            else:
+                out.append((partner, text))
+        if nodes:
+            for c in t[1]:
+                below(c, near if partner is None else partner)
+        else:
+            k += sum(map(_size, t[1]))
+
+    below(tree, 0)
+    return out + [(-1 - near, "\n".join(texts)) for near, texts in lone.items()]
+
+
+def _size(tree: Tree) -> int:
+    return 1 + sum(map(_size, tree[1]))
+
+
+def _hash(text: str) -> int:
+    return xxhash.xxh3_64_intdigest(text.encode("utf-8", "surrogatepass")) - (1 << 63)
+
+
 class Wrapper:
     """A group's template with what its nodes are."""
 
     def __init__(self, tree: Tree, stats: dict[int, tuple[int, int, int]]) -> None:
-        """stats: node to (pages, pages with the commonest text, characters)."""
+        """stats: node (-1 - node for text without a partner) to (different pages, those with the commonest text, characters)."""
         self.tree = tree
         self.constant = frozenset(k for k, (n, top, _) in stats.items() if n >= LEAST_PAGES and top >= CONSTANT * n)
-        mass = {k: c for k, (n, top, c) in stats.items() if k not in self.constant}
+        mass: Counter = Counter()
+        for k, (_, _, c) in stats.items():
+            if k not in self.constant:
+                mass[k if k >= 0 else -1 - k] += c
         self.content = self._content(mass)
+        if not mass:
+            self.constant = frozenset()
         self.aligned: dict[Tree, dict[int, int]] = {}
 
     def _content(self, mass: dict[int, int]) -> int:
@@ -326,9 +392,10 @@ class Wrapper:
             return sums[k][0], at
 
         sums: dict[int, tuple[int, list[tuple[int, int]]]] = {}
+        tags: list[str] = [t[0].partition(".")[0] for t in _preorder(self.tree)]
         whole, _ = total(self.tree, 0)
         k = 0
-        while whole and (kids := sums[k][1]) and (best := max(kids))[0] >= COVER * whole:
+        while whole and (kids := sums[k][1]) and (best := max(kids))[0] == whole and tags[best[1]] not in TEXTUAL:
             k = best[1]
         return k
 
@@ -341,7 +408,7 @@ class Wrapper:
                 self.aligned.clear()
             pairs = self.aligned[tree] = match_trees(tree, self.tree)
         roots = [x for k, nodes in enumerate(order) if pairs.get(k) == self.content for x in nodes] or [root]
-        constant = frozenset(id(x) for k, nodes in enumerate(order) if pairs.get(k) in self.constant and pairs[k] != self.content for x in nodes)
+        constant = frozenset(id(x) for k, nodes in enumerate(order) if pairs.get(k) in self.constant for x in nodes)
         return "\n\n".join(blocks(roots, False, constant))
 
 
@@ -411,8 +478,7 @@ def extract(pages: DataFrame, broadcast_bytes: int = BROADCAST_BYTES) -> DataFra
         aligned: dict[tuple, dict[int, int]] = {}
 
         def block(ids, urls, htmls):
-            count: Counter = Counter()
-            chars: Counter = Counter()
+            out: dict[tuple[str, int], list[dict]] = {}
             for url, page in zip(urls, htmls):
                 root = parse(page or "")
                 tree, order = outline(root)
@@ -424,17 +490,17 @@ def extract(pages: DataFrame, broadcast_bytes: int = BROADCAST_BYTES) -> DataFra
                     if len(aligned) > 5000:
                         aligned.clear()
                     pairs = aligned[group, tree] = match_trees(tree, trees[group])
-                for k, nodes in enumerate(order):
-                    if k in pairs and (text := own_text(nodes)):
-                        key = (group, pairs[k], xxhash.xxh3_64_intdigest(text) - (1 << 63))
-                        count[key] += 1
-                        chars[key] += len(text)
-            return {"group": [k[0] for k in count], "node": [k[1] for k in count], "hash": [k[2] for k in count], "n": list(count.values()), "chars": [chars[k] for k in count]}
+                found = page_texts(order, tree, pairs)
+                key = (group, _hash(repr(found)))
+                if key not in out:
+                    out[key] = [{"node": k, "hash": _hash(text), "chars": len(text)} for k, text in found]
+            return {"group": [k[0] for k in out], "page": [k[1] for k in out], "texts": list(out.values())}
 
         return block
 
-    found = _with_template(pages, templates, broadcast_bytes, slots, "group string, node int, hash long, n long, chars long")
-    by_text = found.groupBy("group", "node", "hash").agg(F.sum("n").alias("n"), F.sum("chars").alias("chars"))
+    found = _with_template(pages, templates, broadcast_bytes, slots, "group string, page long, texts array<struct<node: int, hash: long, chars: long>>")
+    different = found.dropDuplicates(["group", "page"]).select("group", F.explode("texts").alias("t")).select("group", "t.*")
+    by_text = different.groupBy("group", "node", "hash").agg(F.count("*").alias("n"), F.sum("chars").alias("chars"))
     by_node = by_text.groupBy("group", "node").agg(F.sum("n").alias("n"), F.max("n").alias("top"), F.sum("chars").alias("chars"))
     stats = by_node.groupBy("group").agg(F.sort_array(F.collect_list(F.struct("node", "n", "top", "chars"))).alias("stats"))  # a few a template
     wrappers = table(templates.join(stats.withColumnRenamed("group", "g"), F.col("group") == F.col("g"), "left").select("group", "tree", "stats"), "wrappers")

@@ -121,6 +121,25 @@ def test_main_text(spark, broadcast_bytes):
     assert got[12] == "Story 2 is long enough to be the text of page 2\n\nmore 2"
 
 
+def test_main_text_without_regions(spark):
+    words_of = lambda i: " ".join(f"w{i}x{k}" for k in range(40))
+    whole = "<body><div class=top>Site</div><div class=text>Share:<h1>Title {0}</h1><p>{1}</p><p>{1}</p><h2>Part {0}</h2><ul><li>item {0}</ul><table><tr><td>cell {0}</table></div><div>All rights</div></body>"
+    copy = "<body><div class=top>Site</div><div class=text><h1>Copied</h1><p>The copied text.</p></div><div>All rights</div></body>"
+    rows = [(i, f"http://a/{i}", whole.format(i, words_of(i))) for i in range(6)] + [(10 + i, "http://b/", copy) for i in range(4)]
+    # copies are 80 % of the rows, some with other furniture, on a host with different pages
+    rows += [(20 + i, "http://c/", copy.replace("<body>", f"<body><nav>{i % 3}</nav>")) for i in range(20)]
+    rows += [(50 + i, "http://c/", copy.replace("<body>", "<body><nav>0</nav>").replace("Copied", f"Own {i}").replace("The copied", f"Own words {i}")) for i in range(5)]
+    # a list that the template's page lacks, beside the text
+    beside = "<body><div class=all><div class=text><p>{0}</p></div>{1}</div></body>"
+    rows += [(60 + i, "http://d/", beside.format(words_of(i), f"<ul><li>beside {i}</ul>" if i else "")) for i in range(6)]
+    got = {r.page_id: r.text for r in html_wrapper.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    for i in range(6):
+        assert got[i] == "\n\n".join([f"Title {i}", words_of(i), words_of(i), f"Part {i}", f"item {i}", f"cell {i}"])
+        assert got[60 + i] == words_of(i) + (f"\n\nbeside {i}" if i else "")
+    assert {got[10 + i] for i in range(4)} == {"Site\n\nCopied\n\nThe copied text.\n\nAll rights"}
+    assert {got[20 + i] for i in range(20)} == {"Copied\n\nThe copied text."} and got[52] == "Own 2\n\nOwn words 2 text."
+
+
 def test_toxicity(spark):
     rng = random.Random(2)
     clean = ["the", "house", "river", "stone", "walks", "green", "table", "morning"]
