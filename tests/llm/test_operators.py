@@ -164,6 +164,13 @@ def test_language(spark):
     assert language_id.identify(df.limit(0)).count() == 0
 
 
+def test_reject_unknown(spark):
+    rows = [(i, ("der hund und die katze", "the dog and the cat")[i % 2] + f" {i}", ("de", "en")[i % 2]) for i in range(60)]
+    rows += [(60, "αυτό είναι ένα κείμενο", None), (61, "你好 世界", None), (62, "qzxv wkpj zzqy vvxw", None), (63, None, None), (64, "12 !", None), (65, "die katze", None)]
+    kept = language_id.reject_unknown(spark.createDataFrame(rows, "doc_id long, text string, lang string"))
+    assert sorted(r.doc_id for r in kept.collect()) == [*range(60), 65]
+
+
 def test_minhash(spark):
     rng = random.Random(3)
     base = [[rng.choice("abcdefghijklmnopqrstuvwxyz") + str(rng.randrange(40)) for _ in range(200)] for _ in range(30)]
