@@ -20,9 +20,11 @@ def words(text: bytes | None) -> list[bytes]:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, else a temporary one of our own (tests)."""
+    """The folder that driver and executors share: spark.checkpoint.dir, else, in local mode alone, a temporary one of our own."""
     set_already = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not set_already:
+        if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
+            raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
         set_already = "file://" + tempfile.mkdtemp(prefix="harrow-")
         spark.sparkContext.setCheckpointDir(set_already)
     return set_already.rstrip("/")
@@ -37,15 +39,16 @@ def table(df: DataFrame, name: str) -> DataFrame:
     """Write df to the shared folder and read it back: cuts lineage, survives lost executors."""
     path = new_path(df.sparkSession, name)
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    out.table_path = path
+    return out
 
 
 def drop_table(df: DataFrame) -> None:
-    """Delete the files of a table() that is no longer read."""
+    """Delete the files of a table() that nothing reads any more."""
     spark = df.sparkSession
-    for f in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
-        path = spark._jvm.org.apache.hadoop.fs.Path(f)
-        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+    path = spark._jvm.org.apache.hadoop.fs.Path(df.table_path)
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def map_rows(df: DataFrame, f: Callable[..., Iterator[dict]], schema: str, block_bytes: int = 8 << 20) -> DataFrame:
@@ -74,22 +77,81 @@ def map_rows(df: DataFrame, f: Callable[..., Iterator[dict]], schema: str, block
     return df.mapInArrow(run, out)
 
 
-def filter_rows(df: DataFrame, columns: list[Column | str], f: Callable[[], Callable[..., list[bool]]]) -> DataFrame:
-    """Rows of df for which f's function, given the columns as lists, is true. All columns of df pass unchanged."""
-    names = df.columns
-    wide = df.select(*(F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(names)), *(F.col(c).alias(f"x{i}") if isinstance(c, str) else c.alias(f"x{i}") for i, c in enumerate(columns)))
-    schema = wide.select(*(f"c{i}" for i in range(len(names)))).schema
+def blocks_of(column: pa.Array, block_bytes: int) -> Iterator[list]:
+    """The values in lists of about block_bytes (or one value)."""
+    start, n = 0, len(column)
+    size = max(1, int(n * block_bytes / max(column.nbytes, 1)))
+    while start < n:
+        yield column.slice(start, size).to_pylist()
+        start += size
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+
+def filter_rows(df: DataFrame, column: Column, f: Callable[[], Callable[[list], list[bool]]], block_bytes: int = 4 << 20) -> DataFrame:
+    """Rows of df for which f's function, given blocks of the column, is true. All columns of df pass unchanged.
+
+    Only that one column goes to Python and only truth values come back; f is called once a task.
+    """
+
+    @F.arrow_udf("boolean")
+    def kept(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         handle = f()
         for batch in batches:
-            size = max(1, int(batch.num_rows * (8 << 20) / max(batch.nbytes, 1)))
-            for start in range(0, batch.num_rows, size):
-                part = batch.slice(start, size)
-                keep = handle(*(c.to_pylist() for c in part.columns[len(names):]))
-                yield pa.RecordBatch.from_arrays(part.columns[: len(names)], names=[f"c{i}" for i in range(len(names))]).filter(pa.array(keep, pa.bool_()))
+            yield pa.array([x for block in blocks_of(batch, block_bytes) for x in handle(block)], pa.bool_())
+
+    return df.filter(kept(column))
+
+
+_held: dict = {}
+
+
+def held(key: tuple, make: Callable):
+    """What a worker process keeps from task to task: the model or memo that was asked for last, and no other, so that the memos
+    of one job's steps don't add up."""
+    if key not in _held:
+        _held.clear()
+        _held[key] = make()
+    return _held[key]
+
+
+class Recent(dict):
+    """A dict that keeps between most and 2 most entries: what was used or made since the last turn, and the turn before it.
+
+    make(key) works out what is missing; keys of more than 64 characters aren't kept.
+    """
+
+    def __init__(self, make: Callable, most: int) -> None:
+        super().__init__()
+        self.make, self.most, self.before = make, most, {}
+
+    def __missing__(self, key):
+        value = self.before.get(key)
+        if value is None:
+            value = self.make(key)
+            if len(key) > 64:
+                return value
+        if len(self) >= self.most:
+            self.before = dict(self)
+            self.clear()
+        self[key] = value
+        return value
+
+
+class Memo(dict):
+    """A dict that forgets everything once its keys and values have come to about most_bytes."""
+
+    #: Bytes of a dict entry, and of the object heads of a key and a value.
+    ENTRY = 200
+
+    def __init__(self, most_bytes: int) -> None:
+        super().__init__()
+        self.most, self.used = most_bytes, 0
 
-    return wide.mapInArrow(run, schema).toDF(*names)
+    def keep(self, key, value, size: int) -> None:
+        self.used += size + self.ENTRY
+        if self.used > self.most:
+            self.clear()
+            self.used = size + self.ENTRY
+        self[key] = value
 
 
 def connected_components(edges: DataFrame, rounds: int = 60) -> DataFrame:
@@ -111,7 +173,10 @@ def connected_components(edges: DataFrame, rounds: int = 60) -> DataFrame:
             out = joined.filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
         else:
             out = joined.select(F.explode(F.array(F.struct(F.col("v").alias("u"), F.col("m").alias("v")), F.struct("u", F.col("m").alias("v")))).alias("e")).select("e.u", "e.v")
-        return table(out.filter("u <> v").distinct(), "star")
+        done = table(out.filter("u <> v").distinct(), "star")
+        for old in (least, e):
+            drop_table(old)
+        return done
 
     e = table(edges.select("u", "v").filter("u <> v").distinct(), "edges")
     before = None

@@ -9,23 +9,27 @@ Defined results: null, empty or word-free text has 0 words and no hit; an item w
 item text has no words; repeated items count once an item_id; null item ids are ignored in the list of items but their
 words still mark hits. Rows with a null doc_id or repeated rows give a row each. Extra columns are ignored.
 
-Test items that exceed `block_words` are dealt into blocks, each with an automaton of its own; documents pass once
-a block and the hit positions are united by document, so what is broadcast never exceeds the block size.
+Test items that exceed `block_words` are dealt into blocks, each with an automaton of its own that a task builds and writes to
+the shared folder; documents pass once a block and the hit positions are united by document, so a worker holds one automaton.
 """
 
 from __future__ import annotations
 
-import hashlib
+import functools
+import pickle
+import re
 from collections.abc import Iterable
 
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import filter_rows, map_rows, table, words
+from .common import filter_rows, held, map_rows, new_path, table, words
+from .files import locate, write_once
 
 WINDOW = 13
-#: Words of test items in one broadcast automaton; at about 400 bytes a state, two states a word.
-BLOCK_WORDS = 500_000
+#: Words of test items in one automaton, at about 400 bytes a state and at most two states a word; and bytes that a word takes at least.
+BLOCK_WORDS, BYTES_A_WORD = 250_000, 4
 
 
 class SuffixAutomaton:
@@ -138,36 +142,54 @@ class SuffixAutomaton:
         return spans, found
 
 
-def _blocks(benchmark: DataFrame, window: int, block_words: int) -> list:
-    """Broadcast automata over the items, each of at most block_words words (an item alone may exceed it)."""
-    spark = benchmark.sparkSession
-    blocks, auto, n = [], SuffixAutomaton(window), 0
-    rows = benchmark.select(F.col("item_id").cast("string").alias("i"), F.col("text").cast("binary").alias("t")).orderBy("i", "t")
-    for item_id, text in rows.toLocalIterator(prefetchPartitions=True):
-        item = words(bytes(text) if text is not None else None)
-        if n and n + len(item) > block_words:
-            blocks.append(spark.sparkContext.broadcast(auto.finish()))
-            auto, n = SuffixAutomaton(window), 0
-        auto.add(item_id, item)
-        n += len(item)
-    return [*blocks, spark.sparkContext.broadcast(auto.finish())]
+def automata(benchmark: DataFrame, window: int, block_words: int) -> list[str]:
+    """Files in the shared folder with the automata of blocks of items, built by tasks; a block has about block_words words at most
+    (an item alone may exceed that)."""
+    rows = benchmark.select(F.col("item_id").cast("string").alias("i"), F.col("text").cast("binary").alias("t"))
+    size = rows.agg(F.sum(F.length("t"))).first()[0] or 0
+    blocks = -(-size // (BYTES_A_WORD * block_words)) or 1
+    folder = new_path(benchmark.sparkSession, "automata")
 
+    def build(key: tuple, part: pa.Table) -> pa.Table:
+        auto = SuffixAutomaton(window)
+        part = part.sort_by([("i", "ascending"), ("t", "ascending")])
+        for item_id, text in zip(part.column("i").to_pylist(), part.column("t").to_pylist()):
+            auto.add(item_id, words(text))
+        path = f"{folder}/{key[0].as_py()}"
+        with write_once(path) as f:
+            f.write(pickle.dumps(auto.finish()))
+        return pa.table({"path": [path]})
 
-def contamination(documents: DataFrame, benchmark: DataFrame, window: int = WINDOW, min_coverage: int = 20, block_words: int = BLOCK_WORDS) -> DataFrame:
-    """doc_id, n_words, n_hit, n_items, items (sorted ids), spans (word ranges), contaminated: min_coverage * n_hit >= n_words."""
-    docs = documents.select("doc_id", F.col("text").cast("binary").alias("text"))
-    blocks = _blocks(benchmark, window, block_words)
-    schema = "doc_id {}, n_words long, spans array<struct<at:long,to:long>>, items array<string>".format(docs.schema["doc_id"].dataType.simpleString())
+    dealt = rows.withColumn("block", F.pmod(F.xxhash64("i", "t"), F.lit(blocks)))
+    return sorted(r.path for r in table(dealt.groupBy("block").applyInArrow(build, "path string"), "blocks").collect())  # a row a block
+
+
+def _load(path: str) -> SuffixAutomaton:
+    """A block's automaton, read once a worker process."""
+
+    def read() -> SuffixAutomaton:
+        system, where = locate(path)
+        with system.open_input_file(where) as f:
+            return pickle.loads(f.read())
 
-    def scanned(df: DataFrame, auto) -> DataFrame:
+    return held(("automaton", path), read)
+
+
+def _hits(docs: DataFrame, paths: list[str], merge: bool) -> DataFrame:
+    """doc_id, n_words, spans, items of docs (doc_id, text as binary). With several blocks documents pass once a block, and with merge (for
+    unique doc_ids) the spans of all blocks are united by document."""
+    kind = docs.schema["doc_id"].dataType.simpleString()
+    schema = f"doc_id {kind}, n_words long, spans array<struct<at:long,to:long>>, items array<string>"
+
+    def scanned(path: str) -> DataFrame:
         def task():
-            a = auto.value
+            auto = _load(path)
 
             def block(ids, texts):
                 out = {"doc_id": ids, "n_words": [], "spans": [], "items": []}
                 for text in texts:
                     w = words(text)
-                    spans, items = a.scan(w)
+                    spans, items = auto.scan(w)
                     out["n_words"].append(len(w))
                     out["spans"].append([{"at": x, "to": y} for x, y in spans])
                     out["items"].append(sorted(x for x in items if x is not None))
@@ -175,95 +197,107 @@ def contamination(documents: DataFrame, benchmark: DataFrame, window: int = WIND
 
             return block
 
-        return map_rows(df, task, schema)
-
-    if len(blocks) == 1:
-        found = scanned(docs, blocks[0])
-    else:  # rows get a key of their own, so that repeated ids stay apart
-        keyed = table(documents.select(F.col("doc_id").alias("own_id"), F.struct(F.spark_partition_id().alias("p"), F.monotonically_increasing_id().alias("i")).alias("doc_id"), "text"), "keyed")
-        schema = "doc_id struct<p:int,i:bigint>, n_words long, spans array<struct<at:long,to:long>>, items array<string>"
-        parts = [scanned(keyed.select("doc_id", F.col("text").cast("binary").alias("text")), b) for b in blocks]
-        found = parts[0]
-        for p in parts[1:]:
-            found = found.union(p)
-        found = found.groupBy("doc_id").agg(F.max("n_words").alias("n_words"), F.array_sort(F.flatten(F.collect_list("spans"))).alias("spans"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items"))
-        merge = F.aggregate(
-            "spans", F.array().cast("array<struct<at:long,to:long>>"),
-            lambda acc, s: F.when((F.size(acc) > 0) & (F.element_at(acc, -1)["to"] >= s["at"]), F.concat(F.slice(acc, 1, F.size(acc) - 1), F.array(F.struct(F.element_at(acc, -1)["at"].alias("at"), F.greatest(F.element_at(acc, -1)["to"], s["to"]).alias("to"))))).otherwise(F.concat(acc, F.array(s))),
-        )
-        found = found.withColumn("spans", merge).join(keyed.select("own_id", "doc_id"), "doc_id").drop("doc_id").withColumnRenamed("own_id", "doc_id")
+        return map_rows(docs, task, schema)
+
+    found = functools.reduce(DataFrame.union, map(scanned, paths))
+    if not merge:
+        return found
+    last = lambda acc: F.element_at(acc, -1)
+    longer = lambda acc, s: F.struct(last(acc)["at"].alias("at"), F.greatest(last(acc)["to"], s["to"]).alias("to"))
+    united = F.aggregate(
+        "spans",
+        F.array().cast("array<struct<at:long,to:long>>"),
+        lambda acc, s: F.when(
+            (F.size(acc) > 0) & (last(acc)["to"] >= s["at"]),
+            F.concat(F.slice(acc, 1, F.size(acc) - 1), F.array(longer(acc, s))),
+        ).otherwise(F.concat(acc, F.array(s))),
+    )
+    by_doc = found.groupBy("doc_id").agg(
+        F.max("n_words").alias("n_words"),
+        F.array_sort(F.flatten(F.collect_list("spans"))).alias("spans"),
+        F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items"),
+    )
+    return by_doc.withColumn("spans", united)
+
+
+def _keyed(documents: DataFrame) -> DataFrame:
+    """A table of documents whose rows have a key of their own, so that repeated ids stay apart."""
+    key = F.struct(F.spark_partition_id().alias("p"), F.monotonically_increasing_id().alias("i"))
+    return table(documents.withColumn("row_key", key), "keyed")
+
+
+def _measured(found: DataFrame, min_coverage: int) -> DataFrame:
     n_hit = F.aggregate("spans", F.lit(0).cast("long"), lambda n, s: n + s["to"] - s["at"])
-    return found.withColumn("n_hit", n_hit).select(
-        "doc_id", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"), "items", "spans",
-        ((F.col("n_hit") > 0) & (F.lit(min_coverage) * F.col("n_hit") >= F.col("n_words"))).alias("contaminated"),
-    )
+    found = found.withColumn("n_hit", n_hit)
+    return found.withColumn("contaminated", (F.col("n_hit") > 0) & (F.lit(min_coverage) * F.col("n_hit") >= F.col("n_words")))
 
 
-def excise(text: bytes | None, spans: list[tuple[int, int]]) -> bytes | None:
-    """The text without the words of the spans and what stands between them."""
-    if not text or not spans:
-        return text
-    import re
-
-    at = [(m.start(), m.end()) for m in re.finditer(rb"[0-9A-Za-z\x80-\xff]+", text)]
+def contamination(documents: DataFrame, benchmark: DataFrame, window: int = WINDOW, min_coverage: int = 20, block_words: int = BLOCK_WORDS) -> DataFrame:
+    """doc_id, n_words, n_hit, n_items, items (sorted ids), spans (word ranges), contaminated: min_coverage * n_hit >= n_words."""
+    docs = documents.select("doc_id", F.col("text").cast("binary").alias("text"))
+    paths = automata(benchmark, window, block_words)
+    if len(paths) == 1:
+        found = _hits(docs, paths, False)
+    elif not paths:
+        found = map_rows(docs, lambda: lambda ids, texts: {"doc_id": ids, "n_words": [len(words(t)) for t in texts], "spans": [[]] * len(ids), "items": [[]] * len(ids)}, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, n_words long, spans array<struct<at:long,to:long>>, items array<string>")
+    else:
+        keyed = _keyed(docs)
+        found = _hits(keyed.select(F.col("row_key").alias("doc_id"), "text"), paths, True).withColumnRenamed("doc_id", "k")
+        found = found.join(keyed.select("row_key", "doc_id"), F.col("k") == F.col("row_key"))
+    return _measured(found, min_coverage).select("doc_id", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"), "items", "spans", "contaminated")
+
+
+def excise(text: bytes, spans: list[tuple[int, int]]) -> bytes:
+    """The text without the words of the spans and what stands between them and before the next word."""
+    at = [m.start() for m in re.finditer(rb"[0-9A-Za-z\x80-\xff]+", text)] + [len(text)]
     out, start = [], 0
     for a, b in spans:
-        out.append(text[start : at[a][0]])
-        start = at[b - 1][1]
+        out.append(text[start : at[a]])
+        start = at[b]
     return b"".join([*out, text[start:]])
 
 
-def decontaminate(documents: DataFrame, benchmark: DataFrame, window: int = WINDOW, min_coverage: int = 20, remove_spans: bool = False) -> DataFrame:
+def decontaminate(documents: DataFrame, benchmark: DataFrame, window: int = WINDOW, min_coverage: int = 20, remove_spans: bool = False, block_words: int = BLOCK_WORDS) -> DataFrame:
     """documents (all columns) without the contaminated ones.
 
-    A document goes if its hit words reach 1 / min_coverage of its words. With remove_spans, the hit spans of the
-    others are cut from their text as well; otherwise they stay as they are.
+    A document goes if its hit words reach 1 / min_coverage of its words; null and empty texts stay. With remove_spans, the hit
+    spans of the others are cut from their text as well; otherwise they stay as they are.
     """
-    blocks = _blocks(benchmark, window, BLOCK_WORDS)
-
-    def task():
-        autos = [b.value for b in blocks]
+    paths = automata(benchmark, window, block_words)
+    if not paths:
+        return documents
+    if len(paths) == 1 and not remove_spans:
 
-        def keep(texts):
-            out = []
-            for text in texts:
-                w = words(text)
-                spans = united([s for a in autos for s in a.scan(w)[0]])
-                n = sum(b - a for a, b in spans)
-                out.append(not (n and min_coverage * n >= len(w)))
-            return out
-
-        return keep
-
-    kept = filter_rows(documents, [F.col("text").cast("binary")], task)
-    if not remove_spans:
-        return kept
+        def task():
+            auto = _load(paths[0])
 
-    @F.pandas_udf("string")
-    def cut(texts):
-        import pandas as pd
+            def keep(texts):
+                out = []
+                for text in texts:
+                    w = words(text)
+                    n = sum(b - a for a, b in auto.scan(w)[0])
+                    out.append(not (n and min_coverage * n >= len(w)))
+                return out
 
-        autos = [b.value for b in blocks]
-        raw = [None if t is None else t.encode() for t in texts]
-        cuts = (excise(t, united([s for a in autos for s in a.scan(words(t))[0]])) for t in raw)
-        return pd.Series([None if t is None else t.decode("utf-8", "replace") for t in cuts])
+            return keep
 
-    return kept.withColumn("text", cut("text"))
+        return filter_rows(documents, F.col("text").cast("binary"), task)
+    names = documents.columns
+    columns = [f"c{i}" for i in range(len(names))]
+    text = columns[names.index("text")]
+    keyed = _keyed(documents.toDF(*columns))
+    found = _hits(keyed.select(F.col("row_key").alias("doc_id"), F.col(text).cast("binary").alias("text")), paths, True)
+    found = table(_measured(found, min_coverage).filter("n_hit > 0").select(F.col("doc_id").alias("k"), "spans", "contaminated"), "found")
+    out = keyed.join(found, F.col("row_key") == F.col("k"), "left").filter("coalesce(not contaminated, true)")
+    if remove_spans:
 
+        @F.arrow_udf("string")
+        def cut(texts: pa.Array, spans: pa.Array) -> pa.Array:
+            return pa.array([t if s is None else excise(t.encode(), [(x["at"], x["to"]) for x in s]).decode() for t, s in zip(texts.to_pylist(), spans.to_pylist())], pa.string())
 
-def united(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
-    out: list[tuple[int, int]] = []
-    for a, b in sorted(spans):
-        if out and out[-1][1] >= a:
-            out[-1] = (out[-1][0], max(b, out[-1][1]))
-        else:
-            out.append((a, b))
-    return out
+        out = out.withColumn(text, cut(text, "spans"))
+    return out.select(columns).toDF(*names)
 
 
 def items_sha256(items) -> F.Column:
     return F.sha2(F.concat_ws(",", items), 256)
-
-
-def digest(item_ids: list[str]) -> str:
-    return hashlib.sha256(",".join(sorted(item_ids)).encode()).hexdigest()

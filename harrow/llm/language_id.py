@@ -5,11 +5,12 @@ HASHES positions. Looking an n-gram up takes the AND of those positions' masks:
 Over a text's n-grams the bits are counted per language, and counts are corrected for the filter's false positives: with f
 the share of foreign n-grams that a language's slice lets through, (hits - n f) / (1 - f). The largest corrected count decides.
 
-Languages learn their commonest GRAMS n-grams (of 1 to 5 characters of lower-cased words with their borders) from about
-SAMPLE labelled texts, drawn by a hash of their id; predictions read whole texts.
+A language contains the n-grams (2 to 5 characters of lower-cased words with their borders marked, so single letters count with a
+border) that make up at least LEAST of all n-grams of its learned texts, and so at most 1 / LEAST different ones, whatever other
+languages contain. It learns from about SAMPLE of its labelled texts, drawn by a hash of their id; predictions read whole texts.
 
 Defined results: `und` with score 0 if a text is null, has no letter, or nothing could be learned; the score is the language's
-part of all languages' corrected counts; ties go to the language learned from most texts, then by name. A null doc_id is not
+part of all languages' corrected counts; ties go to the language with most labelled texts, then by name. A null doc_id is not
 held out and not learned from. Rows repeat as they are; extra columns are ignored.
 """
 
@@ -17,24 +18,37 @@ from __future__ import annotations
 
 import functools
 import re
+import unicodedata
 from collections import Counter
 
 import numpy as np
 import xxhash
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import filter_rows, map_rows
+from .common import Memo, filter_rows, map_rows, table
 from .toxicity import held_out
 
-SAMPLE, GRAMS, POSITIONS, HASHES, MEMO = 20_000, 40_000, 1 << 22, 4, 400_000
-#: Part of its largest share in any language that an n-gram must have in a language to be learned there.
-KEEP = 0.3
+SAMPLE, LEAST, POSITIONS, HASHES, MEMO_BYTES = 5_000, 2e-5, 1 << 22, 4, 64 << 20
 #: Share of a text's n-grams that its language must contain for reject_unknown(). On sf0.01 the least of 249 held-out documents has
 #: 0.72, random letters have 0.1 and foreign scripts 0.
-COVERED = 0.4
+COVERED = 0.3
 LONGEST = 5
 _WORDS = re.compile(r"[^\W\d_]+").findall
+#: Marks that combine with letters, which aren't word characters to a regular expression.
+_MARKS = frozenset(chr(c) for c in range(0x300, 0x1F000) if unicodedata.category(chr(c))[0] == "M")
+
+
+def words_of(text: str | None) -> list[str]:
+    """Lower-cased runs of letters, with the marks that combine with them."""
+    if not text:
+        return []
+    text = text.lower()
+    if text.isascii() or _MARKS.isdisjoint(set(text)):
+        return _WORDS(text)
+    return [w for w in "".join(c if c in _MARKS or c.isalpha() else " " for c in text).split() if not _MARKS.issuperset(w)]
+
+
 #: Bits of a packed per-language count.
 SLOT = 48
 
@@ -71,8 +85,8 @@ class LanguageFilter:
         self.false **= HASHES
 
     @functools.cached_property
-    def memo(self) -> dict[str, int]:
-        return {}
+    def memo(self) -> Memo:
+        return Memo(MEMO_BYTES)
 
     def containing(self, strings: list[str]) -> np.ndarray:
         """(n-grams, languages): whether the language contains the n-gram (or the filter says so)."""
@@ -80,9 +94,10 @@ class LanguageFilter:
         found = [np.bitwise_and.reduce(s[at], axis=1) for s in self.slices]
         return np.stack([(found[i // 64] >> found[i // 64].dtype.type(i % 64)) & 1 for i in range(len(self.languages))], 1)
 
-    def learn(self, words: set[str]) -> None:
-        """Put the words' packed counts into the memo: hits a language, then the number of n-grams."""
-        new = [w for w in words if w not in self.memo]
+    def look_up(self, words: set[str]) -> dict[str, int]:
+        """The words' packed counts: hits a language, then the number of n-grams."""
+        known = {w: self.memo[w] for w in words if w in self.memo}
+        new = [w for w in words if w not in known]
         for start in range(0, len(new), 5000):
             part = new[start : start + 5000]
             parts = [grams(w) for w in part]
@@ -92,7 +107,10 @@ class LanguageFilter:
                 packed = k
                 for x in reversed(row):
                     packed = packed << SLOT | x
-                self.memo[w] = packed
+                known[w] = packed
+                if len(w) <= 64:
+                    self.memo.keep(w, packed, 2 * len(w) + SLOT // 8 * (len(row) + 1))
+        return known
 
     def predict(self, texts: list[str | None]) -> tuple[list[str], list[float]]:
         return self.covered(texts)[:2]
@@ -101,18 +119,16 @@ class LanguageFilter:
         """Languages, scores, and the share of each text's n-grams that its language contains (0 for `und`)."""
         if not self.languages:
             return ["und"] * len(texts), [0.0] * len(texts), [0.0] * len(texts)
-        if len(self.memo) > MEMO:
-            self.memo.clear()
-        found = [_WORDS(t.lower()) if t else [] for t in texts]
-        self.learn({w for ws in found for w in ws})
+        found = [words_of(t) for t in texts]
+        known = self.look_up({w for ws in found for w in ws})
         names, scores, shares = [], [], []
         for ws in found:
-            if not any(c.isalpha() for w in ws for c in w):
+            if not ws:
                 names.append("und")
                 scores.append(0.0)
                 shares.append(0.0)
                 continue
-            total = sum(map(self.memo.__getitem__, ws))
+            total = sum(map(known.__getitem__, ws))
             mask = (1 << SLOT) - 1
             hits = np.array([total >> SLOT * i & mask for i in range(len(self.languages) + 1)], "f8")
             corrected = np.maximum(hits[:-1] - hits[-1] * self.false, 0) / (1 - self.false)
@@ -123,18 +139,20 @@ class LanguageFilter:
         return names, scores, shares
 
 
-def fit(documents: DataFrame, sample: int = SAMPLE, most: int = GRAMS) -> LanguageFilter:
+def fit(documents: DataFrame, sample: int = SAMPLE, least: float = LEAST) -> LanguageFilter:
     """Learn from texts with a language whose crc32(doc_id) mod 4 is not 2."""
-    learn = documents.filter(F.col("lang").isNotNull() & F.col("doc_id").isNotNull() & ~held_out("doc_id", 4, 2)).select("doc_id", "lang", "text")
-    n = learn.select("doc_id").count()
-    drawn = learn.filter(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30)) < int(min(1.0, sample / max(n, 1)) * (1 << 30)))
-    languages = [r.lang for r in drawn.groupBy("lang").count().orderBy(F.desc("count"), "lang").collect()]  # a row a language
+    learn = documents.filter(F.col("lang").isNotNull() & F.col("doc_id").isNotNull() & ~held_out("doc_id", 4, 2)).select("doc_id", F.col("lang").cast("string").alias("lang"), "text")
+    counts = {r.lang: r["count"] for r in learn.groupBy("lang").count().orderBy(F.desc("count"), "lang").collect()}  # a row a language
+    if not counts:
+        return LanguageFilter([], {})
+    share = F.create_map(*(F.lit(x) for lang, n in counts.items() for x in (lang, min(1.0, sample / n))))
+    drawn = learn.filter(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30)) < share[F.col("lang")] * float(1 << 30))
 
     def task():
         def block(langs, texts):
             words: dict[str, Counter] = {}
             for lang, text in zip(langs, texts):
-                words.setdefault(lang, Counter()).update(_WORDS((text or "").lower()))
+                words.setdefault(lang, Counter()).update(words_of(text))
             out = {"lang": [], "gram": [], "n": []}
             for lang, counts in words.items():
                 c: Counter = Counter()
@@ -148,16 +166,17 @@ def fit(documents: DataFrame, sample: int = SAMPLE, most: int = GRAMS) -> Langua
 
         return block
 
-    counted = map_rows(drawn.select("lang", "text"), task, "lang string, gram string, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
-    # An n-gram belongs to the languages in which it is nearly as frequent as in the one that uses it most.
-    share = F.col("n") / F.sum("n").over(Window.partitionBy("lang"))
-    counted = counted.withColumn("share", share).withColumn("most", F.max("share").over(Window.partitionBy("gram"))).filter(F.col("share") >= KEEP * F.col("most"))
-    # The model's size, not the data's: the commonest n-grams of each language.
-    rank = F.row_number().over(Window.partitionBy("lang").orderBy(F.desc("n"), "gram"))
+    counted = map_rows(drawn.select("lang", "text"), task, "lang string, gram string, n long", 4 << 20).groupBy("lang", "gram").agg(F.sum("n").alias("n"))
+    counted = table(counted.filter("n > 1"), "grams")
+    total = {r.lang: r.n for r in counted.groupBy("lang").agg(F.sum("n").alias("n")).collect()}  # a row a language
+    if not total:
+        return LanguageFilter([], {})
+    floor = F.create_map(*(F.lit(x) for lang, n in total.items() for x in (lang, n * least)))
     learned: dict[str, list[str]] = {}
-    for r in counted.withColumn("rank", rank).filter(F.col("rank") <= most).select("lang", "gram").collect():
-        learned.setdefault(r.lang, []).append(r.gram)
-    return LanguageFilter(languages, learned)
+    rows = counted.filter(F.col("n") >= floor[F.col("lang")]).select("lang", "gram").toArrow()  # at most 1 / least a language
+    for lang, gram in zip(rows.column("lang").to_pylist(), rows.column("gram").to_pylist()):
+        learned.setdefault(lang, []).append(gram)
+    return LanguageFilter(list(counts), learned)
 
 
 def identify(documents: DataFrame, sample: int = SAMPLE) -> DataFrame:
@@ -172,11 +191,11 @@ def identify(documents: DataFrame, sample: int = SAMPLE) -> DataFrame:
         return block
 
     kind = documents.schema["doc_id"].dataType.simpleString()
-    found = map_rows(documents.select("doc_id", "text"), task, f"doc_id {kind}, lang_pred string, score double")
+    found = map_rows(documents.select("doc_id", "text"), task, f"doc_id {kind}, lang_pred string, score double", 1 << 20)
     return found.select("doc_id", held_out("doc_id", 4, 2).alias("held_out"), "lang_pred", "score")
 
 
 def reject_unknown(documents: DataFrame, sample: int = SAMPLE) -> DataFrame:
     """documents (all columns) that are in a learned language; `und` goes, and so does what its language hardly covers."""
     model = documents.sparkSession.sparkContext.broadcast(fit(documents, sample))
-    return filter_rows(documents, ["text"], lambda: lambda texts: [x >= COVERED for x in model.value.covered(texts)[2]])
+    return filter_rows(documents, F.col("text"), lambda: lambda texts: [x >= COVERED for x in model.value.covered(texts)[2]], 1 << 20)

@@ -11,14 +11,13 @@ default. Null doc_ids, repeated rows and extra columns are fine: a row in, a row
 
 from __future__ import annotations
 
-import functools
 import heapq
 import json
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import map_rows
+from .common import Recent, held, map_rows
 
 #: Unicode's White_Space characters, as regular-expression ranges.
 SPACE = "\t-\r \x85\xa0  -     　"
@@ -26,8 +25,8 @@ SPACE = "\t-\r \x85\xa0  -     　"
 CHUNK = f"[{SPACE}]*[^{SPACE}]+|[{SPACE}]+"
 #: The pre-token pattern of the byte-level vocabularies (fixed value).
 PRETOKEN = rf"'s|'t|'re|'ve|'m|'ll|'d| ?\p{{L}}+| ?\p{{N}}+| ?[^{SPACE}\p{{L}}\p{{N}}]+|[{SPACE}]+(?![^{SPACE}])|[{SPACE}]+"
-#: Remembered runs in a task, at most.
-MEMO = 300_000
+#: Remembered runs, and pre-tokens: twice as many at most.
+MEMO = 200_000
 
 
 def byte_symbols() -> list[str]:
@@ -37,8 +36,8 @@ def byte_symbols() -> list[str]:
     return [chr(b if b in plain else next(rest)) for b in range(256)]
 
 
-class PairMerger(dict):
-    """Maps a run of text (white space and word) to its number of tokens; works it out when first asked."""
+class PairMerger:
+    """Compiled vocabulary; remembers the number of tokens of runs (white space and a word) and pre-tokens."""
 
     def __init__(self, vocabulary: bytes) -> None:
         import re
@@ -57,23 +56,9 @@ class PairMerger(dict):
         if any(t["single_word"] or t["lstrip"] or t["rstrip"] for t in added):
             raise ValueError("added tokens that take in their surroundings")
         self.added = re.compile("|".join(re.escape(t["content"]) for t in sorted(added, key=lambda t: -len(t["content"]))) or r"(?!)")
-        self.seen: dict[str, int] = {}
         self.chunks, self.pretokens = re.compile(CHUNK).findall, regex.compile(PRETOKEN).findall
-
-    def __missing__(self, chunk: str) -> int:
-        n = 0
-        for p in self.pretokens(chunk):
-            known = self.seen.get(p)
-            if known is None:
-                known = self.merged(p.encode())
-                if len(p) <= 64:
-                    if len(self.seen) > 2 * MEMO:
-                        self.seen.clear()
-                    self.seen[p] = known
-            n += known
-        if len(chunk) <= 64:
-            self[chunk] = n
-        return n
+        self.of_pretoken = Recent(lambda p: self.merged(p.encode()), MEMO)
+        self.of_chunk = Recent(lambda chunk: sum(map(self.of_pretoken.__getitem__, self.pretokens(chunk))), MEMO)
 
     def merged(self, pretoken: bytes) -> int:
         """Symbols left when no adjacent pair can be merged."""
@@ -103,16 +88,13 @@ class PairMerger(dict):
         return n - merges
 
     def count(self, text: str) -> int:
-        if len(self) > MEMO:
-            self.clear()
         parts = self.added.split(text)
-        return len(parts) - 1 + sum(sum(map(self.__getitem__, self.chunks(p))) for p in parts)
+        return len(parts) - 1 + sum(sum(map(self.of_chunk.__getitem__, self.chunks(p))) for p in parts)
 
 
-@functools.lru_cache(2)
 def pair_merger(vocabulary: bytes) -> PairMerger:
     """Made once a worker process, which keeps what it remembers from task to task."""
-    return PairMerger(vocabulary)
+    return held(("pairs", vocabulary), lambda: PairMerger(vocabulary))
 
 
 def token_counts(documents: DataFrame, vocabulary_path: str, limit: int = 512) -> DataFrame:

@@ -19,7 +19,6 @@ doc_id is written as -1 << 63 and read back as null; repeated rows are sequences
 
 from __future__ import annotations
 
-import functools
 import hashlib
 from array import array
 from collections.abc import Iterator
@@ -30,12 +29,13 @@ import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import new_path, table
+from .common import Recent, held, table
 from .files import locate, write_once
 from .token_counts import CHUNK, PRETOKEN
 
 NO_ID = -(1 << 63)
-MEMO = 300_000
+#: Remembered words: twice as many at most.
+MEMO = 400_000
 
 
 class Feistel:
@@ -72,8 +72,8 @@ class Feistel:
         return self._walk(slots, self.keys[::-1])
 
 
-class Ids(dict):
-    """Maps a run of text to its ids as uint16 bytes; the ids of new runs come from the vocabulary's library."""
+class Ids:
+    """Compiled vocabulary; remembers the ids of runs of text, as uint16 bytes. Those of new runs come from the vocabulary's library."""
 
     def __init__(self, ranks: bytes) -> None:
         import base64
@@ -85,25 +85,29 @@ class Ids(dict):
         if max(table.values()) >= 65535:
             raise ValueError("ids don't fit in 16 bits")
         self.end = len(table)
+        self.last = self.end.to_bytes(2, "little")
         self.encoding = tiktoken.Encoding("shards", pat_str=PRETOKEN, mergeable_ranks=table, special_tokens={})
-        self.chunks = re.compile(CHUNK).findall
+        self.chunks, self.odd = re.compile(CHUNK).findall, re.compile(r" (?:\s|\Z)").search
+        self.of_chunk = Recent(self._ids, MEMO)
+        self.of_word = Recent(lambda word: self._ids(" " + word), MEMO)
 
-    def __missing__(self, chunk: str) -> bytes:
-        ids = array("H", self.encoding.encode_ordinary(chunk)).tobytes()
-        if len(chunk) <= 64:
-            self[chunk] = ids
-        return ids
+    def _ids(self, chunk: str) -> bytes:
+        return array("H", self.encoding.encode_ordinary(chunk)).tobytes()
 
     def encode(self, text: str | None) -> bytes:
-        if len(self) > 2 * MEMO:
-            self.clear()
-        return b"".join(map(self.__getitem__, self.chunks(text or ""))) + self.end.to_bytes(2, "little")
+        """Ids of the text and the end mark. A space before a word always begins a pre-token, so texts whose spaces all stand before words
+        are cut there; the others are cut into runs of white space and a word."""
+        if not text:
+            return self.last
+        if self.odd(text):
+            return b"".join(map(self.of_chunk.__getitem__, self.chunks(text))) + self.last
+        first, *words = text.split(" ")
+        return (self.of_chunk[first] if first else b"") + b"".join(map(self.of_word.__getitem__, words)) + self.last
 
 
-@functools.lru_cache(2)
 def ids_of(ranks: bytes) -> Ids:
     """Made once a worker process, which keeps what it remembers from task to task."""
-    return Ids(ranks)
+    return held(("ids", ranks), lambda: Ids(ranks))
 
 
 def record_type(seq_len: int) -> np.dtype:
@@ -227,7 +231,3 @@ def read_slots(spark: SparkSession, manifest: DataFrame, start: int = 0, stop: i
                 })
 
     return ranges.mapInArrow(read, "slot long, doc_id long, seq_no long, n_tokens long, shard long, byte_offset long, token_ids array<int>")
-
-
-def shard_folder(spark: SparkSession) -> str:
-    return new_path(spark, "shards")

@@ -1,39 +1,49 @@
 """Toxicity by a support vector machine on a gap-weighted subsequence kernel with Nystroem landmarks.
 
-Kernel: the normalised string subsequence kernel of order 3, which counts common subsequences and discounts each by the
-length it spans, so that insults with gaps or inserted characters stay near the plain form. Landmarks are pieces of words
-that mark toxic training documents; a token's kernel with a landmark is the largest over the token's windows of the landmark's
-length plus SLACK, and a sentence's is the largest over its tokens. Nystroem features (times the landmark Gram matrix to the
-power -1/2) go to a linear SVM that is trained on sentences: all sentences of clean documents, and of each toxic
-document the sentence with the largest margin (chosen anew between fits). A document's margin is that of its
-worst sentence, mapped to 0..1 by a logistic fit on the training documents.
+Kernel: the string subsequence kernel of order 3, which counts the subsequences that two strings share and discounts each by the
+length it spans, so that insults with gaps or inserted characters stay near the plain form. Landmarks are pieces of words (with the
+word's start as a character of its own) that mark toxic training documents in any language: they are chosen one by one for the toxic
+documents that they add, on one half of the training documents, and have to hold on the other half. A token's feature is the largest normalised kernel with a landmark
+of its windows of the landmark's length and of SLACK more (of its beginning, if the landmark is one), squared; a sentence's is the
+largest of its tokens', and those of STRONG or more add up, to WORST at most. Nystroem features (times the landmarks' Gram matrix to the power -1/2) go to a linear SVM that is trained on sentences: of
+each document the sum of the WORST ones with the largest margins, chosen anew between fits (those of clean documents add up).
+That sum's margin is the document's, mapped to 0..1 by a logistic function.
 
 Every text is scored whole. Only fitting works on a bounded sample: about SAMPLE labelled documents, drawn by a hash of
-their id, and of each its SENTENCES sentences nearest to the landmarks.
+their id, each with all its sentences. A token that lacks over a fifth of a landmark's different characters, or over two fifths of its
+pairs of neighbours (up to two characters apart), isn't compared with it, and features under FLOOR count as 0.
 
 Defined results: null and empty texts get the score of a sentence without any landmark; null doc_ids are scored, never
 learned from, and not held out; if a document has several labels the largest counts; without training documents of both kinds
-every score is the share of toxic ones (0 if there are none). Repeated rows give a row each; extra columns are ignored.
+every score is the share of toxic ones (0 if there are none). Repeated rows and rows with equal texts get equal scores; extra
+columns are ignored.
 """
 
 from __future__ import annotations
 
-import functools
 import re
 from collections import defaultdict
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import filter_rows, map_rows, table
+from .common import Memo, filter_rows, held, map_rows, table
 
-SAMPLE, SENTENCES, LANDMARKS, ORDER, DECAY, SLACK = 12_000, 16, 64, 3, 0.8, 2
-#: The normalised kernel is taken to the power SHARP (a kernel again). Values below FLOOR count as 0, and so do windows that lack
-#: over a fifth of a landmark's different characters.
-SHARP, FLOOR, SHARED, WIDTH, MEMO = 2, 0.25, 0.8, 32, 500_000
-#: Lengths of the word pieces that can become landmarks.
+SAMPLE, LANDMARKS, CANDIDATES, ORDER, DECAY = 12_000, 96, 8_000, 3, 0.8
+#: Features are taken to the power SHARP; below FLOOR they count as 0.
+SHARP, FLOOR, LETTERS, PAIRS, SLACK, WIDTH = 2, 0.15, 0.8, 0.6, 2, 32
+#: From here on features of different tokens add up.
+STRONG = 0.8
+#: Lengths of the word pieces that can become landmarks, with the mark of a word's start.
 PIECE = range(4, 13)
+START = "^"
+#: How many times as often a landmark has to stand in toxic documents as in clean ones.
+PURE = 4
+#: Sentences whose features add up to a document's.
+WORST = 3
+MEMO_BYTES = 48 << 20
 
 _SENTENCE = re.compile(r"(?<=[.!?])\s+|\n+")
 _SPACED = re.compile(r"(?<!\w)(?:[^\W_][\s.\-*_]+){3,}[^\W_](?!\w)")
@@ -47,40 +57,65 @@ def held_out(doc_id: Column | str, parts: int, part: int) -> Column:
 
 def joined_up(text: str) -> str:
     """Lower-cased text in which words spelt with a separator after every letter are written together."""
-    return _SPACED.sub(lambda m: _INSIDE.sub("", m[0]), text.lower())
+    text = text.lower()
+    short = sum(len(w) <= 2 for w in set(text.split()))  # three different letters at least, on their own or with a separator
+    return _SPACED.sub(lambda m: _INSIDE.sub("", m[0]), text) if short >= 3 else text
 
 
-def tokens(sentence: str) -> list[str]:
-    """White-space tokens without their punctuation, so that characters put between letters don't count."""
-    return [t if t.isalnum() else _INSIDE.sub("", t) for t in sentence.split()]
+def bare(token: str) -> str:
+    """A white-space token without punctuation, so that characters put between letters don't count, and with its start marked."""
+    token = token.strip(".,;:!?")
+    return START + (token if token.isalnum() else _INSIDE.sub("", token))
 
 
 def subsequence_kernel(s: np.ndarray, t: np.ndarray) -> np.ndarray:
     """Kernels of rows of s with rows of t: (pairs, characters) codes, padded with -1 in s and -2 in t."""
     n, ls, lt = len(s), s.shape[1], t.shape[1]
     below = np.ones((ls + 1, lt + 1, n), "f4")
+    total = np.zeros(n, "f4")
     for level in range(1, ORDER + 1):
-        here, total = np.zeros((ls + 1, lt + 1, n), "f4"), np.zeros(n, "f4")
+        here = np.zeros((ls + 1, lt + 1, n), "f4")
         for i in range(1, ls + 1):
             run = np.zeros(n, "f4")
             for j in range(1, lt + 1):
-                match = (s[:, i - 1] == t[:, j - 1]) * below[i - 1, j - 1] * DECAY**2
-                total += match
-                run = DECAY * run + match
-                here[i, j] = DECAY * here[i - 1, j] + run
+                match = (s[:, i - 1] == t[:, j - 1]) * below[i - 1, j - 1] * np.float32(DECAY**2)
+                if level == ORDER:
+                    total += match
+                run = np.float32(DECAY) * run + match
+                here[i, j] = np.float32(DECAY) * here[i - 1, j] + run
         below = here
     return total
 
 
 def codes(strings: list[str], width: int, pad: int) -> np.ndarray:
-    out = np.full((len(strings), width), pad, "i4")
-    for i, s in enumerate(strings):
-        out[i, : len(s)] = np.frombuffer(s.encode("utf-32-le"), "<i4")
-    return out
+    """A row of characters for each string (of at most width), padded."""
+    flat = "".join([s.ljust(width, "\0") for s in strings]).encode("utf-32-le", "surrogatepass")
+    out = np.frombuffer(flat, "<i4").reshape(-1, width)
+    return np.where(out == 0, np.int32(pad), out)
+
+
+def _bits(values: np.ndarray) -> np.ndarray:
+    return np.uint64(1) << (values & np.uint64(63))
+
+
+def sketches(text: np.ndarray, reach: int) -> tuple[np.ndarray, np.ndarray]:
+    """Bit masks of each row's characters, and of its ordered pairs of characters up to reach places apart."""
+    real, wide = text >= 0, text.astype("i8").astype("u8")
+    letters = np.bitwise_or.reduce(np.where(real, _bits(wide), np.uint64(0)), axis=1)
+    pairs = np.zeros(len(text), "u8")
+    for gap in range(1, reach + 1):
+        mixed = (wide[:, :-gap] * np.uint64(0x9E3779B97F4A7C15) + wide[:, gap:] * np.uint64(0xC2B2AE3D27D4EB4F)) >> np.uint64(57)
+        pairs |= np.bitwise_or.reduce(np.where(real[:, :-gap] & real[:, gap:], _bits(mixed), np.uint64(0)), axis=1)
+    return letters, pairs
+
+
+def added(features: np.ndarray) -> np.ndarray:
+    """Rows as one: strong features add up, of weak ones the largest counts."""
+    return np.minimum(np.maximum(features.max(axis=0, initial=0), np.where(features >= STRONG, features, 0).sum(axis=0)), WORST)
 
 
 class Landmarks:
-    """Kernels of tokens with the landmarks; remembers tokens."""
+    """Features of tokens; remembers tokens."""
 
     def __init__(self, names: list[str]) -> None:
         self.names = names
@@ -89,132 +124,186 @@ class Landmarks:
         own = codes(names, width, -1)
         self.norm = np.sqrt(subsequence_kernel(own, self.codes))
         i, j = np.indices((len(names), len(names)))
-        self.gram = (subsequence_kernel(own[i.ravel()], self.codes[j.ravel()]).reshape(i.shape) / self.norm / self.norm[:, None]).astype("f8") ** SHARP
-        bits = np.uint64(1) << (self.codes.astype("u4") & np.uint32(63)).astype("u8")
-        self.masks = np.bitwise_or.reduce(np.where(self.codes >= 0, bits, np.uint64(0)), axis=1) if names else np.zeros(0, "u8")
-        self.need = np.ceil(SHARED * np.bitwise_count(self.masks)).astype("u1")
-        self.sizes = defaultdict(list)
-        for k, name in enumerate(names):
-            self.sizes[len(name) + SLACK].append(k)
-        self.memo: dict[str, np.ndarray | None] = {}
-
-    def look_up(self, found: list[str]) -> dict[str, np.ndarray | None]:
-        """The memo, with all of found in it: a token's kernels with the landmarks, None if all are 0."""
-        if len(self.memo) > MEMO:
-            self.memo.clear()
-        new = [w for w in set(found) if w not in self.memo]
-        self.memo.update(dict.fromkeys(new))
-        spans = [(w, w[a : a + WIDTH]) for w in new if len(w) >= 3 for a in range(0, max(1, len(w) - WIDTH + 20), WIDTH - 20)]
+        cross = subsequence_kernel(own[i.ravel()], self.codes[j.ravel()]).reshape(i.shape)
+        self.gram = (cross / self.norm / self.norm[:, None]).astype("f8") ** SHARP
+        self.letters, self.pairs = sketches(own, 1)
+        self.need = np.ceil(LETTERS * np.bitwise_count(self.letters)).astype("u1"), np.ceil(PAIRS * np.bitwise_count(self.pairs)).astype("u1")
+        self.by_length: dict[int, np.ndarray] = {n: np.array([k for k, x in enumerate(names) if len(x) == n]) for n in {len(x) for x in names}}
+        different = codes(["".join(map(chr, range(65, 65 + n))) for n in range(PIECE.stop + SLACK)], PIECE.stop + SLACK, -1)
+        #: Kernels of 0, 1, ... different characters with themselves.
+        self.least = subsequence_kernel(different, np.where(different < 0, -2, different)) * np.float32(1 - 1e-4)
+        self.anchored = np.array([x.startswith(START) for x in names])
+        #: Tokens with features, as (landmarks, features); and those without.
+        self.hot: dict[str, tuple[np.ndarray, np.ndarray]] = {}
+        self.cold: set[str] = set()
+        self.used = 0
+
+    def features(self, strings: list[str]) -> list[tuple[np.ndarray, np.ndarray] | None]:
+        """Of strings with marked starts: (landmarks, features above FLOOR)."""
+        spans = [(k, w) for k, w in enumerate(strings) if 3 < len(w) <= WIDTH]
+        spans += [(k, w[a : a + WIDTH]) for k, w in enumerate(strings) if len(w) > WIDTH for a in range(0, len(w) - WIDTH + 16, WIDTH - 16)]
+        spans.sort(key=lambda x: len(x[1]))
+        found: dict[int, np.ndarray] = {}
         for start in range(0, len(spans), 20_000):
-            self._fill(spans[start : start + 20_000])
-        return self.memo
-
-    def _fill(self, spans: list[tuple[str, str]]) -> None:
-        text = codes([s for _, s in spans], WIDTH, -1)
-        length = np.array([len(s) for _, s in spans])
-        bits = np.where(text >= 0, np.uint64(1) << (text.astype("u4") & np.uint32(63)).astype("u8"), np.uint64(0))
-        whole = np.bitwise_or.reduce(bits, axis=1)
-        for size, marks in self.sizes.items():
-            mask, need = self.masks[marks], self.need[marks]
-            near = np.nonzero((np.bitwise_count(whole[:, None] & mask) >= need).any(axis=1))[0]
-            if not near.size:
-                continue
-            if size >= WIDTH:
-                at, window = np.zeros(near.size, int), text[near]
-                rows = near
+            part = spans[start : start + 20_000]
+            length = np.array([len(s) for _, s in part])
+            longest = int(length[-1])
+            text = codes([s for _, s in part], longest + PIECE.stop + SLACK, -1)
+            letters, pairs = sketches(text[:, : longest + 1], 3)
+            for n, marks in self.by_length.items():
+                near = (np.bitwise_count(letters[:, None] & self.letters[marks]) >= self.need[0][marks]) & (np.bitwise_count(pairs[:, None] & self.pairs[marks]) >= self.need[1][marks])
+                rows, at = np.nonzero(near)
+                # windows of the landmark's length and SLACK more; landmarks at a word's start meet only that
+                many = np.where(self.anchored[marks[at]], 1, np.maximum(length[rows] - n + 1, 1))
+                first = np.repeat(np.cumsum(many) - many, many)
+                begin = np.arange(many.sum()) - first
+                rows, at = np.repeat(rows, many), np.repeat(marks[at], many)
+                wide = begin + n < length[rows]
+                rows, at, begin = np.concatenate([rows, rows[wide]]), np.concatenate([at, at[wide]]), np.concatenate([begin, begin[wide]])
+                size = np.full(len(rows), n)
+                size[len(wide) :] += SLACK
+                for a in range(0, len(rows), 16_384):
+                    r, k, z = rows[a : a + 16_384], at[a : a + 16_384], np.arange(n + SLACK)
+                    window = text[r[:, None], begin[a : a + 16_384, None] + z]
+                    window[z >= size[a : a + 16_384, None]] = -1
+                    cross = subsequence_kernel(window, self.codes[k][:, :n]) / self.norm[k]
+                    # a window's kernel with itself is at least that of as many different characters
+                    may = cross**SHARP >= FLOOR * self.least[(window >= 0).sum(axis=1)] ** (SHARP / 2)
+                    r, k, window, cross = r[may], k[may], window[may], cross[may]
+                    own_kernel = np.maximum(subsequence_kernel(window, np.where(window < 0, -2, window)), 1e-12)
+                    value = (cross / np.sqrt(own_kernel)) ** SHARP
+                    hit = value >= FLOOR
+                    for i, j, v in zip(r[hit].tolist(), k[hit].tolist(), value[hit].tolist()):
+                        own = found.setdefault(part[i][0], np.zeros(len(self.names), "f4"))
+                        own[j] = max(own[j], v)
+        return [(np.nonzero(v)[0], v[v > 0]) if (v := found.get(k)) is not None else None for k in range(len(strings))]
+
+    def look_up(self, tokens: set[str]) -> None:
+        """Make hot and cold hold all tokens, and forget others once they take MEMO_BYTES."""
+        if self.used > MEMO_BYTES:
+            self.hot, self.cold, self.used = {}, set(), 0
+        new = [w for w in tokens.difference(self.cold) if w not in self.hot]
+        self.used += sum(map(len, new)) * 2 + 130 * len(new)
+        for w, v in zip(new, self.features([bare(w) for w in new])):
+            if v is None:
+                self.cold.add(w)
             else:
-                slid = np.lib.stride_tricks.sliding_window_view(bits[near], size, axis=1)
-                masks = np.bitwise_or.reduce(slid, axis=2)
-                starts = np.arange(masks.shape[1])
-                real = starts <= np.maximum(length[near] - size, 0)[:, None]
-                rows, at = np.nonzero(real & (np.bitwise_count(masks[:, :, None] & mask) >= need).any(axis=2))
-                window = np.lib.stride_tricks.sliding_window_view(text[near], size, axis=1)[rows, at]
-                rows = near[rows]
-            if not rows.size:
-                continue
-            window = np.ascontiguousarray(window)
-            other = np.where(window < 0, -2, window)
-            own = np.maximum(subsequence_kernel(window, other), 1e-12)
-            wmask = np.bitwise_or.reduce(np.where(window >= 0, np.uint64(1) << (window.astype("u4") & np.uint32(63)).astype("u8"), np.uint64(0)), axis=1)
-            for k in marks:
-                pick = np.nonzero(np.bitwise_count(wmask & self.masks[k]) >= self.need[k])[0]
-                if not pick.size:
-                    continue
-                mine = self.codes[k][: len(self.names[k])]
-                value = (subsequence_kernel(window[pick], np.broadcast_to(mine, (pick.size, mine.size))) / np.sqrt(own[pick]) / self.norm[k]) ** SHARP
-                for r, v in zip(rows[pick[value >= FLOOR]], value[value >= FLOOR]):
-                    w = spans[r][0]
-                    if self.memo[w] is None:
-                        self.memo[w] = np.zeros(len(self.names), "f4")
-                    self.memo[w][k] = max(self.memo[w][k], v)
-
-    def sentences(self, texts: list[str | None]) -> list[list[np.ndarray]]:
-        """For each text, the kernel vectors of its sentences that are not all 0."""
+                self.hot[w] = v
+                self.used += 400
+
+    def sentences(self, texts: list[str | None]) -> list[np.ndarray]:
+        """For each text, the feature vectors of its different sentences that are not all 0."""
         split = [joined_up(t) if t else "" for t in texts]
-        memo = self.look_up([w for t in split for w in tokens(t)])
+        self.look_up(set().union(*map(str.split, split)))
+        hot = self.hot
         out = []
         for t in split:
             found: list[np.ndarray] = []
-            if any(memo[w] is not None for w in set(tokens(t))):
-                for s in _SENTENCE.split(t):
-                    if near := [v for w in tokens(s) if (v := memo[w]) is not None]:
-                        found.append(np.maximum.reduce(near))
-            out.append(found)
+            if not hot.keys().isdisjoint(t.split()):
+                for s in dict.fromkeys(_SENTENCE.split(t)):
+                    if near := hot.keys() & set(s.split()):
+                        x = np.zeros((len(near), len(self.names)), "f4")
+                        for row, (k, v) in zip(x, map(hot.__getitem__, near)):
+                            row[k] = v
+                        found.append(added(x))
+            out.append(np.array(found, "f4").reshape(-1, len(self.names)))
         return out
 
 
-@functools.lru_cache(2)
 def landmarks(names: tuple[str, ...]) -> Landmarks:
     """Made once a worker process, which keeps what it remembers from task to task."""
-    return Landmarks(list(names))
+    return held(("toxicity", names), lambda: Landmarks(list(names)))
+
+
+def pieces(word: str) -> set[str]:
+    return {word[i : i + k] for k in PIECE for i in range(len(word) - k + 1)}
 
 
 def choose_landmarks(sample: DataFrame, most: int = LANDMARKS) -> list[str]:
-    """Pieces of words that stand in toxic documents and hardly in clean ones, each unlike those before it."""
+    """Pieces of words that stand in toxic documents and hardly in clean ones. sample: id, text, toxic."""
 
     def count():
         def block(texts, toxic):
             n: dict[str, list[int]] = defaultdict(lambda: [0, 0])
             for t, x in zip(texts, toxic):
-                for w in set(tokens(joined_up(t or ""))):
+                for w in {bare(w) for w in joined_up(t or "").split()}:
                     n[w][x] += 1
             return {"w": list(n), "neg": [v[0] for v in n.values()], "pos": [v[1] for v in n.values()]}
 
         return block
 
-    by_word = table(map_rows(sample.select("text", "toxic"), count, "w string, neg long, pos long").groupBy("w").agg(F.sum("neg").alias("neg"), F.sum("pos").alias("pos")), "words")
+    by_word = map_rows(sample.select("text", "toxic"), count, "w string, neg long, pos long").groupBy("w").agg(F.sum("neg").alias("neg"), F.sum("pos").alias("pos"))
     total = sample.agg(F.sum(1 - F.col("toxic")).alias("neg"), F.sum("toxic").alias("pos")).first()
     odds = (total.pos or 0) / max(total.neg or 0, 1)
-    marked = by_word.filter((F.col("pos") >= 2) & (F.col("pos") > 20 * odds * F.col("neg"))).filter(F.length("w").between(4, 40))
-    pieces = marked.select("w", "pos", F.explode(F.sequence(F.lit(PIECE.start), F.least(F.length("w"), F.lit(PIECE.stop - 1)))).alias("n"))
-    pieces = pieces.select("pos", F.explode(F.transform(F.sequence(F.lit(1), F.length("w") - F.col("n") + 1), lambda i: F.substring("w", i, F.col("n")))).alias("p"))
-    # The model's size, not the data's: the commonest pieces are weighed against clean documents.
-    common = [r.p for r in pieces.groupBy("p").agg(F.sum("pos").alias("pos")).orderBy(F.desc("pos"), F.desc(F.length("p")), "p").limit(4000).collect()]
-    wanted = sample.sparkSession.sparkContext.broadcast(frozenset(common))
-
-    def weigh():
-        def block(ws, neg, pos):
-            n: dict[str, list[int]] = defaultdict(lambda: [0, 0])
-            for w, a, b in zip(ws, neg, pos):
-                for p in {w[i : i + k] for k in PIECE for i in range(len(w) - k + 1)} & wanted.value:
-                    n[p][0] += a
-                    n[p][1] += b
-            return {"p": list(n), "neg": [v[0] for v in n.values()], "pos": [v[1] for v in n.values()]}
+    marked = by_word.filter((F.col("pos") >= 2) & (F.col("pos") > 10 * odds * F.col("neg"))).filter(F.length("w").between(4, 40))
+
+    def cut():
+        def block(words, pos):
+            n: dict[str, int] = defaultdict(int)
+            for w, x in zip(words, pos):
+                for p in pieces(w):
+                    n[p] += x
+            return {"p": list(n), "pos": list(n.values())}
+
+        return block
+
+    # The model's size, not the data's: the commonest pieces of such words.
+    cuts = map_rows(marked.select("w", "pos"), cut, "p string, pos long").groupBy("p").agg(F.sum("pos").alias("pos"))
+    commonest = cuts.orderBy(F.desc("pos"), F.desc(F.length("p")), "p").limit(CANDIDATES).collect()
+    names, in_words = [r.p for r in commonest], np.array([r.pos for r in commonest])
+    wanted = sample.sparkSession.sparkContext.broadcast({p: i for i, p in enumerate(names)})
+
+    def look():
+        number, memo = wanted.value, Memo(MEMO_BYTES)
+
+        def block(texts, toxic, half):
+            found = []
+            for t in texts:
+                here: set[int] = set()
+                for w in set(joined_up(t or "").split()):
+                    if (of := memo.get(w)) is None:
+                        of = [number[p] for p in pieces(bare(w)) if p in number]
+                        memo.keep(w, of, 60 + 2 * len(w) + 8 * len(of))
+                    here.update(of)
+                found.append(np.array(sorted(here), "<u2").tobytes())
+            return {"toxic": toxic, "half": half, "found": found}
 
         return block
 
-    weighed = map_rows(by_word, weigh, "p string, neg long, pos long").groupBy("p").agg(F.sum("neg").alias("neg"), F.sum("pos").alias("pos")).collect()
-    pure = [r for r in weighed if r.pos >= max(3, 0.01 * total.pos) and r.pos > 20 * odds * r.neg]
-    # The longest piece of each set that occurs (nearly) together stands for it: "idiot", not "diot".
-    by_size = sorted(pure, key=lambda r: (-r.pos, -len(r.p), r.p))
+    half = F.pmod(F.xxhash64("id", F.lit("half")), F.lit(2)).cast("int")
+    rows = map_rows(sample.select("text", "toxic", half.alias("half")), look, "toxic int, half int, found binary").toArrow()  # about SAMPLE rows
+    holds = np.zeros((rows.num_rows, len(names)), bool)
+    for i, x in enumerate(rows.column("found")):
+        holds[i, np.frombuffer(x.as_py(), "<u2")] = True
+    toxic, first = rows.column("toxic").to_numpy() == 1, rows.column("half").to_numpy() == 0
+    return _greedy(names, in_words, holds, toxic, first, most)
+
+
+def _greedy(names: list[str], in_words: np.ndarray, holds: np.ndarray, toxic: np.ndarray, first: np.ndarray, most: int) -> list[str]:
+    """Names one by one: that which adds most toxic documents of the first half (each counts half as much for every name it
+    holds already), if it is as pure on the second half. holds: (documents, names); in_words: words of toxic documents that hold
+    a name."""
+    pos, neg = holds[toxic & first], holds[~toxic & first]
+    rate = lambda x: (x.sum(axis=0) + 0.0) / max(len(x), 1)
+    other_pos, other_neg = rate(holds[toxic & ~first]), rate(holds[~toxic & ~first])
+    clean = rate(neg)
+    open_ = (other_pos > PURE * other_neg) & (other_pos > 0) & (rate(pos) > PURE * clean) & (pos.sum(axis=0) >= 3)
+    length = np.array([len(p) for p in names])
+    weight = np.ones(len(pos))
     out: list[str] = []
-    for r in by_size:
-        if len(out) == most:
+    while len(out) < most and open_.any():
+        gain = np.where(open_, weight @ pos - clean * len(pos), -np.inf)
+        best = int(np.argmax(gain))
+        if gain[best] < 2:
             break
-        longest = max((x for x in by_size if r.p in x.p and x.pos >= 0.9 * r.pos), key=lambda x: (len(x.p), x.pos)).p
-        # a piece of a landmark, or one around it, tells nothing new
-        if not any(longest in x or x in longest or len(x) > 4 and _overlap(x, longest) for x in out):
-            out.append(longest)
+        # the longest piece of those that stand in (nearly) the same words stands for them: "idiot", not "diot"
+        inside = [k for k in np.nonzero(open_ & (gain >= 0.9 * gain[best]) & (in_words >= 0.8 * in_words[best]))[0] if names[best] in names[k]]
+        k = max(inside, key=lambda k: (length[k], gain[k], names[k]))
+        out.append(names[k])
+        weight[pos[:, k]] /= 2
+        for i in np.nonzero(open_)[0]:  # a piece of a landmark, or one around it, tells nothing new
+            if names[i] in names[k] or names[k] in names[i] or _overlap(names[i], names[k]):
+                open_[i] = False
     return out
 
 
@@ -224,7 +313,7 @@ def _overlap(x: str, y: str) -> bool:
     return n >= 4 and (x[-n:] in y or y[-n:] in x or x[:n] in y or y[:n] in x)
 
 
-def _svm(x: np.ndarray, y: np.ndarray, weight: np.ndarray, reg: float = 2e-5) -> np.ndarray:
+def _svm(x: np.ndarray, y: np.ndarray, weight: np.ndarray, reg: float = 2e-4) -> np.ndarray:
     """Linear SVM (squared hinge, L2) by Newton's method; the last weight is the intercept."""
     x = np.hstack([x, np.ones((len(x), 1))])
     w = np.zeros(x.shape[1])
@@ -243,34 +332,53 @@ def _svm(x: np.ndarray, y: np.ndarray, weight: np.ndarray, reg: float = 2e-5) ->
     return w
 
 
-def _logistic(margin: np.ndarray, y: np.ndarray) -> tuple[float, float]:
-    """(a, b) of 1 / (1 + exp(-(a margin + b))), with smoothed targets."""
-    pos, neg = y.sum(), (1 - y).sum()
-    t = np.where(y == 1, (pos + 1) / (pos + 2), 1 / (neg + 2))
-    x, w = np.stack([margin, np.ones_like(margin)], 1), np.array([1.0, 0.0])
-    for _ in range(50):
-        p = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
-        h = (x.T * np.maximum(p * (1 - p), 1e-6)) @ x + 1e-6 * np.eye(2)
-        step = np.clip(np.linalg.solve(h, x.T @ (p - t)), -2, 2)
-        w = w - step
-        if np.abs(step).max() < 1e-8:
-            break
-    return float(w[0]), float(w[1])
+def _scale(margin: np.ndarray, y: np.ndarray) -> tuple[float, float]:
+    """(a, b) of the score 1 / (1 + exp(-(a margin + b))): 0.5 where the shares of toxic documents above and of clean ones below
+    add up to most (in the middle of a gap; the highest of equals), which labels that are wrong at random don't move."""
+    order = np.argsort(margin)
+    m, t = margin[order], y[order]
+    below = np.cumsum(1 - t) / max((1 - t).sum(), 1) - np.cumsum(t) / max(t.sum(), 1)
+    ends = np.nonzero(m[1:] > m[:-1] + 1e-9)[0]
+    if not ends.size:
+        return 1.0, -float(m[0])
+    k = ends[len(ends) - 1 - np.argmax(below[ends][::-1])]
+    cut = (m[k] + m[k + 1]) / 2
+    return 4.0, -4.0 * float(cut)
+
+
+def worst(sentences: np.ndarray, weights: np.ndarray) -> np.ndarray:
+    """The WORST sentences with the largest weighted sums above 0, added."""
+    sums = sentences @ weights
+    at = np.argsort(-sums, kind="stable")[:WORST]
+    return added(sentences[at[sums[at] > 0]])
 
 
 class Scorer:
-    """The fitted model: landmark names, weights on kernel vectors, and the logistic map of margins."""
+    """The fitted model: landmark names, weights on features, and the logistic map of margins."""
 
     def __init__(self, names: list[str], weights: np.ndarray, bias: float, scale: tuple[float, float]) -> None:
         self.names, self.weights, self.bias, self.scale = tuple(names), weights, bias, scale
 
     def scores(self, texts: list[str | None]) -> list[float]:
         a, b = self.scale
-        out = []
-        for found in landmarks(self.names).sentences(texts) if self.names else [[]] * len(texts):
-            margin = self.bias + max([0.0, *(float(v @ self.weights) for v in found)])
-            out.append(1 / (1 + float(np.exp(-min(max(a * margin + b, -30), 30)))))
-        return out
+        margin = np.full(len(texts), self.bias)
+        if self.names:
+            for i, x in enumerate(landmarks(self.names).sentences(texts)):
+                if len(x):
+                    margin[i] += worst(x, self.weights) @ self.weights
+        return (1 / (1 + np.exp(-np.clip(a * margin + b, -30, 30)))).tolist()
+
+
+def _witnesses(vectors: DataFrame, weights: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Of each document its toxic and the features of its worst sentences."""
+
+    def run(batches):
+        for batch in batches:
+            best = [worst(np.frombuffer(x, "<f4").reshape(-1, len(weights)), weights).astype("f4").tobytes() for x in batch.column(1).to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(best, pa.binary())], names=["toxic", "best"])
+
+    rows = vectors.select("toxic", "vectors").mapInArrow(run, "toxic int, best binary").toArrow()  # a vector a document of the sample
+    return rows.column("toxic").to_numpy(), np.frombuffer(b"".join(rows.column("best").to_pylist()), "<f4").reshape(-1, len(weights)).astype("f8")
 
 
 def fit(documents: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Scorer:
@@ -279,7 +387,7 @@ def fit(documents: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Scorer
     n = learn.count()
     share = min(1.0, sample / max(n, 1))
     drawn = F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30)) < int(share * (1 << 30))
-    rows = table(documents.select("doc_id", "text").filter(drawn).join(learn.filter(drawn), "doc_id").select("text", "toxic"), "labelled")
+    rows = table(documents.select("doc_id", "text").filter(drawn).join(learn.filter(drawn), "doc_id").select(F.col("doc_id").alias("id"), "text", "toxic"), "labelled")
     base = rows.agg(F.avg("toxic")).first()[0] or 0.0
     names = choose_landmarks(rows) if 0 < base < 1 else []
     if not names:
@@ -288,36 +396,27 @@ def fit(documents: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Scorer
 
     def task():
         marks = landmarks(tuple(names))
+        return lambda toxic, texts: {"toxic": toxic, "vectors": [x.tobytes() for x in marks.sentences(texts)]}
 
-        def block(texts, toxic):
-            bags = []
-            for found in marks.sentences(texts):
-                found = sorted(found, key=lambda v: -v.sum())[:SENTENCES]
-                bags.append([v.tolist() for v in found] or [[0.0] * len(names)])
-            return {"toxic": toxic, "bag": bags}
-
-        return block
-
-    bags = map_rows(rows, task, "toxic int, bag array<array<float>>").collect()  # about SAMPLE rows
-    gram = Landmarks(names).gram
-    value, vector = np.linalg.eigh(gram)
+    vectors = table(map_rows(rows.select("toxic", "text"), task, "toxic int, vectors binary"), "sentences")
+    value, vector = np.linalg.eigh(Landmarks(names).gram)
     root = vector @ np.diag(1 / np.sqrt(np.maximum(value, 1e-3))) @ vector.T
-    y = np.array([r.toxic for r in bags])
-    x = [np.array(r.bag) @ root for r in bags]
-    w = np.ones(len(names) + 1)
-    w[:-1] = root.T @ np.ones(len(names))
-    for _ in range(6):
-        margins = [b @ w[:-1] for b in x]
-        witness = [b[np.argmax(m)][None] if t else b for b, m, t in zip(x, margins, y)]
-        target = np.concatenate([np.full(len(b), 1.0 if t else -1.0) for b, t in zip(witness, y)])
+    w, bias = np.ones(len(names)), -1.0  # on features
+    clean = np.zeros((0, len(names)))
+    for _ in range(5):
+        toxic, best = _witnesses(vectors, w)
+        clean = np.unique(np.concatenate([clean, best[toxic == 0]]), axis=0)
+        x = np.concatenate([best[toxic == 1], clean, best[toxic == 0]])
+        target = np.concatenate([np.ones((toxic == 1).sum()), -np.ones(len(clean) + (toxic == 0).sum())])
         weight = np.where(target > 0, 0.5 / max((target > 0).sum(), 1), 0.5 / max((target < 0).sum(), 1))
-        new = _svm(np.concatenate(witness), target, weight)
-        if np.abs(new - w).max() < 1e-6:
+        fitted = _svm(x @ root, target, weight)
+        new = root @ fitted[:-1]
+        done = np.abs(new - w).max() < 1e-3 * np.abs(new).max()
+        w, bias = new, float(fitted[-1])
+        if done:
             break
-        w = new
-    on_kernels = root @ w[:-1]
-    margin = np.array([w[-1] + max(0.0, (b @ w[:-1]).max()) for b in x])
-    return Scorer(names, on_kernels, float(w[-1]), _logistic(margin, y))
+    toxic, best = _witnesses(vectors, w)
+    return Scorer(names, w, bias, _scale(bias + best @ w, toxic.astype("f8")))
 
 
 def toxicity(documents: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> DataFrame:
@@ -328,11 +427,11 @@ def toxicity(documents: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> D
         return lambda ids, texts: {"doc_id": ids, "score": model.value.scores(texts)}
 
     kind = documents.schema["doc_id"].dataType.simpleString()
-    scored = map_rows(documents.select("doc_id", "text"), task, f"doc_id {kind}, score double")
+    scored = map_rows(documents.select("doc_id", "text"), task, f"doc_id {kind}, score double", 4 << 20)
     return scored.select("doc_id", held_out("doc_id", 5, 0).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
 
 
 def reject_toxic(documents: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> DataFrame:
-    """documents (all columns) that are not predicted toxic."""
+    """documents (all columns) that are not predicted toxic; null and empty texts, and null doc_ids, follow their score."""
     model = documents.sparkSession.sparkContext.broadcast(fit(documents, labels, sample))
-    return filter_rows(documents, ["text"], lambda: lambda texts: [s < 0.5 for s in model.value.scores(texts)])
+    return filter_rows(documents, F.col("text"), lambda: lambda texts: [s < 0.5 for s in model.value.scores(texts)])
