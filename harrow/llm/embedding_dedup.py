@@ -1,14 +1,18 @@
 """Near-duplicate embeddings through a robust-pruned flat graph.
 
-Vectors of one label and dimension are dealt into cluster shards that overlap (each vector goes to its OVERLAP nearest centroids;
-shards that are still too large are clustered again, and what clustering can't divide is dealt into blocks). Each shard builds
-a graph of its own: candidates by inner product, cut down by robust pruning. The adjacency lists of all shards are united by
-vector. Then every vector of a shard searches: greedily from the shard's medoid, and from what it finds within range
-it goes on along all neighbours in range until nothing new turns up. Links are verified in double precision.
+Vectors of one label and dimension are dealt into cluster shards that overlap (each vector goes to its OVERLAP nearest centroids, of
+which there is one for SHARD vectors, so a shard's size and the work a vector do not grow with the table; shards that come out
+above MOST are clustered again, and what clustering can't divide is dealt into blocks that are compared with each other). Each
+shard builds a graph of its own: the nearest of its few members by inner product, cut down by robust pruning. The adjacency lists of
+all shards are united by vector. Then every vector of a shard searches what of the united graph is in the shard: greedily from
+its medoid, and from what it finds within range it goes on along all neighbours in range until nothing new turns up. Links are
+verified in double precision.
 
 A vector counts partners only in the shard that is their first choice, so no pair is counted twice and no pairs are sent: a
-shard returns link counts and a spanning forest. Recall is audited against brute force over all vectors for a bounded set of
-queries; below AUDIT the job runs again with twice the overlap.
+shard returns link counts and a spanning forest. Recall is audited against brute force over all vectors for AUDITED drawn vectors
+and for as many planted ones, which lie within range of a drawn one (and count for nothing else), so that there always is
+something to find; below AUDIT the job runs again with twice the overlap, and after MOST_OVERLAP by comparing all blocks of a
+label, which is exact.
 
 Defined results: vectors that are null, empty, zero or have null or non-finite components, those without a label, and those with
 a null vec_id link with nothing; equal vectors are one class (linked with each other); vectors of different dimensions don't
@@ -25,8 +29,8 @@ from pyspark.sql import functions as F
 
 from .common import connected_components, table
 
-SIMILARITY, SHARD, MOST, OVERLAP, FANOUT, LEVELS = 0.98, 1000, 4000, 3, 1024, 3
-CANDIDATES, DEGREE, ALPHA, BEAM, EXPAND, BOTH_WAYS = 48, 16, 1.2, 32, 0.03, 64
+SIMILARITY, SHARD, MOST, OVERLAP, MOST_OVERLAP, FANOUT, LEVELS = 0.98, 256, 1536, 3, 12, 1024, 3
+CANDIDATES, DEGREE, ALPHA, BEAM, EXPAND, BOTH_WAYS = 32, 16, 1.2, 8, 0.03, 32
 AUDIT, AUDITED = 0.9, 200
 #: Centroids up to this size are broadcast at once; more go in waves.
 WAVE_BYTES = 64 << 20
@@ -142,8 +146,16 @@ def _classes(embeddings: DataFrame) -> tuple[DataFrame, DataFrame]:
     good = good & F.forall(e, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))) & F.exists(e, lambda x: x != 0)
     cid = F.when(F.coalesce(good, F.lit(False)), F.xxhash64("label", "embedding"))
     rows = embeddings.select("vec_id", F.col("label").cast("string").alias("label"), e.cast("array<double>").alias("embedding")).withColumn("cid", cid)
-    classes = rows.filter("cid is not null").groupBy("cid").agg(F.first("label").alias("label"), F.first("embedding").alias("v"), F.min(F.col("vec_id").cast("long")).alias("least"), F.count("*").alias("copies"))
-    return rows.select("vec_id", "cid"), table(classes.withColumn("shard", F.concat_ws("/", F.col("label"), F.size("v").cast("string"))), "classes")
+    classes = rows.filter("cid is not null").groupBy("cid", "label", "embedding").agg(F.min(F.col("vec_id").cast("long")).alias("least"), F.count("*").alias("copies"))
+    classes = table(classes.withColumn("shard", F.concat_ws("/", F.col("label"), F.size("embedding").cast("string"))), "classes")
+    clashes = table(classes.groupBy("cid").agg(F.count("*").alias("n")).filter("n > 1").select(F.col("cid").alias("clash")), "clashes")
+    if not clashes.isEmpty():  # unequal vectors with equal hashes get others
+        other = F.xxhash64("cid", "least", "label")
+        renamed = table(classes.join(clashes, F.col("cid") == F.col("clash")).select(F.col("clash"), F.col("label").alias("l"), F.col("embedding").alias("v"), other.alias("own")), "renamed")
+        same = lambda df: (df["cid"] == renamed["clash"]) & (df["label"] == renamed["l"]) & (df["embedding"] == renamed["v"])
+        fixed = lambda df: df.join(renamed, same(df), "left").withColumn("cid", F.coalesce("own", "cid")).select(df.columns)
+        rows, classes = fixed(rows), table(fixed(classes), "classes")
+    return rows.select("vec_id", "cid"), classes.withColumnRenamed("embedding", "v")
 
 
 def _centroids(vectors: np.ndarray, k: int) -> np.ndarray:
@@ -211,9 +223,10 @@ def _sharded(classes: DataFrame, overlap: int, shard: int, most: int) -> DataFra
     return out
 
 
-def _linked(classes: DataFrame, similarity: float, overlap: int, shard: int, most: int) -> DataFrame:
-    """cid, links (vectors in other classes), root (a class in the same component): rows of all shards."""
-    members = _sharded(classes, overlap, shard, most)
+def _linked(classes: DataFrame, similarity: float, overlap: int, shard: int, most: int, exact: bool = False) -> DataFrame:
+    """cid, links (vectors in other classes), root (a class in the same component): rows of all shards. exact: compare all blocks of
+    a label."""
+    members = classes.select("cid", "v", "copies", "shard", F.lit(True).alias("main")) if exact else _sharded(classes, overlap, shard, most)
     sizes = table(members.groupBy("shard").agg(F.ceil(F.count("*") / most).cast("int").alias("blocks")).withColumnRenamed("shard", "s"), "blocks")
     members = table(members.join(sizes, F.col("shard") == F.col("s")).withColumn("block", F.pmod(F.xxhash64("cid", F.lit("block")), F.col("blocks")).cast("int")).drop("s"), "members")
 
@@ -232,7 +245,8 @@ def _linked(classes: DataFrame, similarity: float, overlap: int, shard: int, mos
         stop = np.append(start[1:], len(at))
         return pd.DataFrame({"cid": ids, "near": [ids[to[a : min(b, a + BOTH_WAYS)]] for a, b in zip(start, stop)]})
 
-    graph = members.select("shard", "block", "cid", "v").groupBy("shard", "block").applyInPandas(build, "cid long, near array<long>")
+    edges = members.select("shard", "block", "cid", "v").groupBy("shard", "block").applyInPandas(build, "cid long, near array<long>")
+    graph = members.select("cid", F.array().cast("array<long>").alias("near")) if exact else edges
     graph = table(graph.groupBy("cid").agg(F.array_distinct(F.flatten(F.collect_list("near"))).alias("near")).withColumnRenamed("cid", "g"), "graph")
     every = members.join(graph, F.col("cid") == F.col("g")).drop("g")
     # a block is searched by every block of its shard
@@ -251,21 +265,26 @@ def _linked(classes: DataFrame, similarity: float, overlap: int, shard: int, mos
         x = unit(np.stack(base["v"].to_numpy()))
         y = x if asked is base else unit(np.stack(asked["v"].to_numpy()))
         names = asked["cid"].to_numpy()
-        lists = base["near"].to_numpy()
-        length = np.array([len(z) for z in lists])
-        flat = np.concatenate(lists).astype("i8") if length.sum() else np.zeros(0, "i8")
-        at = np.minimum(np.searchsorted(ids, flat), len(ids) - 1)
-        near = np.full((len(ids), max(1, length.max())), -1, "i8")  # neighbours of other shards and blocks aren't here
-        near[np.repeat(np.arange(len(ids)), length), np.concatenate([np.arange(k) for k in length]).astype("i8")] = np.where(ids[at] == flat, at, -1)
-        own = np.minimum(np.searchsorted(ids, names), len(ids) - 1)
-        own = np.where(ids[own] == names, own, -1)
-        a, b = search(x, near, y, own, similarity)
+        if exact:
+            a, b = np.nonzero(y @ x.T >= similarity)
+        else:
+            lists = base["near"].to_numpy()
+            length = np.array([len(z) for z in lists])
+            flat = np.concatenate(lists).astype("i8") if length.sum() else np.zeros(0, "i8")
+            at = np.minimum(np.searchsorted(ids, flat), len(ids) - 1)
+            near = np.full((len(ids), max(1, length.max())), -1, "i8")  # neighbours of other shards and blocks aren't here
+            near[np.repeat(np.arange(len(ids)), length), np.concatenate([np.arange(k) for k in length]).astype("i8")] = np.where(ids[at] == flat, at, -1)
+            own = np.minimum(np.searchsorted(ids, names), len(ids) - 1)
+            own = np.where(ids[own] == names, own, -1)
+            a, b = search(x, near, y, own, similarity)
         other = names[a] != ids[b]
         a, b = a[other], b[other]
         count = base["main"].to_numpy()[b] * base["copies"].to_numpy()[b]
         links = np.zeros(len(names), "i8")
         np.add.at(links, a, count)
         # a spanning forest: the smallest class that each class reaches here
+        real = (asked["copies"].to_numpy()[a] > 0) & (base["copies"].to_numpy()[b] > 0)
+        a, b = a[real], b[real]
         nodes, inverse = np.unique(np.concatenate([names, ids]), return_inverse=True)
         u, v = inverse[: len(names)][a], inverse[len(names) :][b]
         label = np.arange(len(nodes))
@@ -285,18 +304,34 @@ def _linked(classes: DataFrame, similarity: float, overlap: int, shard: int, mos
     return table(work.groupBy("shard", "of", "by").applyInPandas(find, "cid long, links long, root long"), "linked")
 
 
-def _recall(classes: DataFrame, counts: DataFrame, similarity: float, audited: int) -> float:
-    """Share of the true links of about `audited` classes, by brute force against all classes, that were counted."""
-    spark = classes.sparkSession
-    n = classes.count()
-    drawn = classes.filter(F.pmod(F.xxhash64("cid", F.lit("audit")), F.lit(1 << 30)) < int(min(1.0, audited / max(n, 1)) * (1 << 30))).select("cid", "shard", "v").limit(4 * audited).collect()
-    if not drawn:
-        return 1.0
-    asked: dict[str, tuple] = {}
-    for s in {r.shard for r in drawn}:
-        rows = [r for r in drawn if r.shard == s]
-        asked[s] = (np.array([r.cid for r in rows]), unit(np.array([r.v for r in rows])))
-    known = spark.sparkContext.broadcast(asked)
+def _drawn(classes: DataFrame, audited: int) -> list:
+    """About `audited` classes."""
+    share = min(1.0, audited / max(classes.count(), 1))
+    hashed = F.pmod(F.xxhash64("cid", F.lit("audit")), F.lit(1 << 30))
+    return classes.filter(hashed < int(share * (1 << 30))).select("cid", "label", "shard", "v").limit(4 * audited).collect()
+
+
+def planted(drawn: list, similarity: float) -> list[tuple]:
+    """(cid, label, v, shard) of vectors within range of the drawn ones, at angles spread over the range."""
+    out = []
+    for k, r in enumerate(drawn):
+        x = unit([r.v])[0]
+        g = np.random.default_rng(abs(r.cid)).normal(size=len(x))
+        g -= (g @ x) * x
+        if np.sqrt(g @ g) > 1e-9:
+            angle = np.arccos(similarity) * (k + 0.5) / len(drawn)
+            out.append(((r.cid ^ 0x5DEECE66D), r.label, (np.cos(angle) * x + np.sin(angle) * g / np.sqrt(g @ g)).tolist(), r.shard))
+    return out
+
+
+def recall(classes: DataFrame, counts: DataFrame, asked: list[tuple], similarity: float) -> float:
+    """Share of the true links of asked (cid, label, v, shard), by brute force against all classes, that were counted: that over all
+    links, or the mean of the vectors' shares, whichever is less."""
+    by_shard: dict[str, tuple] = {}
+    for s in {r[3] for r in asked}:
+        rows = [r for r in asked if r[3] == s]
+        by_shard[s] = (np.array([r[0] for r in rows]), unit(np.array([r[2] for r in rows])))
+    known = classes.sparkSession.sparkContext.broadcast(by_shard)
 
     def run(batches):
         for batch in batches:
@@ -307,18 +342,26 @@ def _recall(classes: DataFrame, counts: DataFrame, similarity: float, audited: i
                     hit = (unit(np.stack(part["v"].to_numpy())) @ q.T >= similarity) & (part["cid"].to_numpy()[:, None] != ids)
                     yield pa.RecordBatch.from_pydict({"cid": ids, "true": (hit * part["copies"].to_numpy()[:, None]).sum(axis=0)})
 
-    true = classes.select("cid", "shard", "v", "copies").mapInArrow(run, "cid long, true long").groupBy("cid").agg(F.sum("true").alias("true"))
-    both = true.join(counts.withColumnRenamed("cid", "c"), F.col("cid") == F.col("c"), "left").agg(F.sum(F.least("true", F.coalesce("links", F.lit(0)))), F.sum("true")).first()
-    return both[0] / both[1] if both[1] else 1.0
+    true = classes.select("cid", "shard", "v", "copies").mapInArrow(run, "cid long, true long").groupBy("cid").agg(F.sum("true").alias("true")).filter(F.col("true") > 0)
+    both = true.join(counts.withColumnRenamed("cid", "c"), F.col("cid") == F.col("c"), "left").withColumn("got", F.least("true", F.coalesce("links", F.lit(0))))
+    every, mean = both.agg(F.sum("got") / F.sum("true"), F.avg(F.col("got") / F.col("true"))).first()
+    return 1.0 if every is None else min(every, mean)
 
 
 def near_duplicates(embeddings: DataFrame, similarity: float = SIMILARITY, overlap: int = OVERLAP, shard: int = SHARD, most: int = MOST) -> DataFrame:
     """vec_id, n_links, component_id (smallest vec_id reached by links), kept: a row for each row of embeddings."""
     rows, classes = _classes(embeddings)
+    drawn = _drawn(classes, AUDITED)
+    extra = planted(drawn, similarity)
+    spark = classes.sparkSession
+    columns = "cid long, label string, v array<double>, shard string"
+    with_planted = classes.unionByName(spark.createDataFrame(extra, columns).withColumn("least", F.lit(None).cast("long")).withColumn("copies", F.lit(0).cast("long"))) if extra else classes
+    asked = [(r.cid, r.label, r.v, r.shard) for r in drawn]
     while True:
-        linked = _linked(classes, similarity, overlap, shard, most)
+        exact = overlap > MOST_OVERLAP
+        linked = _linked(with_planted, similarity, overlap, shard, most, exact)
         counts = table(linked.groupBy("cid").agg(F.sum("links").cast("long").alias("links")), "counts")
-        if overlap >= 24 or _recall(classes, counts, similarity, AUDITED) >= AUDIT:
+        if exact or not asked or min(recall(classes, counts, x, similarity) for x in (asked, extra) if x) >= AUDIT:
             break
         overlap *= 2
     groups = connected_components(linked.select(F.col("cid").alias("u"), F.col("root").alias("v")))
