@@ -2,14 +2,18 @@
 
 Pages of one host with the same outline form a group. The DOM of the group's first page (runs of like siblings drawn together)
 is its template; every page's DOM is aligned with it by simple tree matching (the largest order- and parent-preserving set
-of node pairs with equal labels). Over the different pages of the group (pages with equal text outside of furniture count
-once), a template node whose own text is nearly always the same is constant, the others are slots. Of the nodes that aren't page
-furniture by their element, class, id or role, the lowest container beside which no varying text stands is the group's content;
-text that has no partner in the template counts for the nearest ancestor that has one. A page's text is that of the nodes aligned
-with the content, without furniture and without the own text of constant nodes. If nothing varies, nothing is constant.
-
-An explicit article or main element is content wherever it stands, and constancy takes nothing from it: on hosts where most
-pages are copies, the article itself is constant.
+of node pairs with equal labels). Over the different pages of the group (pages with equal headlines, or without one with equal text
+outside of furniture, count once, so that copies don't make an article constant) a template node whose own text is nearly always
+the same is constant, the others are slots. What elements, classes, ids and roles say is a prior over the template's nodes:
+furniture is never content, as menus vary from page to page too; if an article or main element of the template holds slots, such
+elements are the group's content, else the lowest container beside which no varying text stands. Text that has no partner in
+the template counts for the nearest ancestor that has one. A page's text is that of its nodes aligned with the content, without
+furniture and without the own text of constant nodes (headings in an article are never taken for constant); article or
+main elements of a page that the template lacks are content as well. If nothing varies, nothing is constant. The column aligned
+says whether a page's content was found by alignment.
+
+Outlines end at a depth of DEPTH and draw more than RUNS runs of like siblings together by label, whatever their order; what is
+deeper belongs to its ancestor at that depth, as slot or constant.
 
 Defined results: null, empty and text-free pages give ""; pages without a host form the group of the empty host; unclosed and
 stray tags are repaired; text outside of any tag is content; rows repeat as they are; extra columns are ignored.
@@ -28,15 +32,15 @@ from pyspark.sql import functions as F
 
 from .common import map_rows, table
 
-CONSTANT, LEAST_PAGES = 0.8, 4
+CONSTANT, LEAST_PAGES, DEPTH, RUNS = 0.8, 4, 24, 32
 #: Templates up to this size are broadcast; beyond it they are joined by group.
 BROADCAST_BYTES = 32 << 20
 
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark q rb rp rt ruby s samp small span strike strong sub sup time tt u var wbr br img picture".split())
 #: Elements that are never the article's text.
-FURNITURE = frozenset("nav footer aside form script style noscript template iframe object svg canvas button select textarea input dialog menu head title audio video map datalist fieldset math".split())
-RAW = frozenset("script style textarea title noscript template iframe svg math xmp".split())
+FURNITURE = frozenset("nav footer aside form script style noscript template iframe object svg canvas button select textarea input dialog menu head title audio video map datalist".split())
+RAW = frozenset("script style textarea title noscript template iframe svg xmp".split())
 #: Words of class, id and role that mark furniture.
 MARKS = frozenset(
     "nav navbar navigation menu menubar submenu header masthead topbar footer foot sidebar side aside ad ads adv advert advertisement adverts adbox adsense banner promo promotion sponsor sponsored sponsors cookie cookies consent gdpr notice notices notification "
@@ -185,13 +189,27 @@ def blocks(nodes: list[Node | str], inside: bool, drop: frozenset[int] = frozens
             close()
             work.append(None)
             if inside and x.tag == "header":
-                work.extend(reversed([c for c in x.children if isinstance(c, Node) and re.fullmatch(r"h[1-6]|hgroup", c.tag)]))
+                work.extend(reversed(headings(x)))
             else:
                 work.extend(reversed(x.children))
     close()
     return out
 
 
+def headings(node: Node) -> list[Node]:
+    """The headings below node, in order."""
+    out: list[Node] = []
+    work = list(reversed(node.children))
+    while work:
+        x = work.pop()
+        if isinstance(x, Node):
+            if re.fullmatch(r"h[1-6]|hgroup", x.tag):
+                out.append(x)
+            else:
+                work.extend(reversed(x.children))
+    return out
+
+
 def regions(root: Node) -> list[Node]:
     """Explicit article or main elements that are not furniture; of nested ones the outermost main or article."""
     found: list[Node] = []
@@ -239,7 +257,7 @@ def outline(node: Node) -> tuple[Tree, list[list[Node]]]:
                     else:
                         runs.append((c.label, [c]))
         merged: dict[str, list[Node]] = {}
-        if len(runs) > 32:  # long alternations are drawn together by label
+        if len(runs) > RUNS:  # long alternations are drawn together by label
             for label, group in runs:
                 merged.setdefault(label, []).extend(group)
             runs = list(merged.items())
@@ -247,7 +265,7 @@ def outline(node: Node) -> tuple[Tree, list[list[Node]]]:
 
     def draw(label: str, nodes: list[Node], depth: int) -> Tree:
         order.append(nodes)
-        return (label, tuple(draw(k, g, depth + 1) for k, g in below(nodes)) if depth < 24 else ())
+        return (label, tuple(draw(k, g, depth + 1) for k, g in below(nodes)) if depth < DEPTH else ())
 
     return draw(node.label, [node], 0), order
 
@@ -312,6 +330,14 @@ def match_trees(a: Tree, b: Tree) -> dict[int, int]:
     return dict(match(a, 0, b, 0)[1])
 
 
+def headline(root: Node) -> str:
+    """Text of the page's first h1 outside of furniture."""
+    for x in headings(root):
+        if x.tag == "h1" and (text := own_text([x])):
+            return text
+    return ""
+
+
 def own_text(nodes: list[Node]) -> str:
     """Text that stands in the nodes themselves or in inline elements in them."""
     out: list[str] = []
@@ -370,11 +396,36 @@ class Wrapper:
         for k, (_, _, c) in stats.items():
             if k not in self.constant:
                 mass[k if k >= 0 else -1 - k] += c
-        self.content = self._content(mass)
+        self.regions = self._regions(mass)
+        self.content = self.regions or frozenset([self._content(mass)])
         if not mass:
             self.constant = frozenset()
         self.aligned: dict[Tree, dict[int, int]] = {}
 
+    def _regions(self, mass: dict[int, int]) -> frozenset[int]:
+        """Article and main nodes of the template (of nested ones the articles) that hold slots, or all if nothing varies."""
+        found: dict[int, int] = {}
+
+        def below(t: Tree, k: int, inside: int) -> int:
+            """The number after k's subtree; inside: the region around, or -1."""
+            tag, _, names = t[0].partition(".")
+            node = Node(tag, names)
+            hidden = is_furniture(node, inside >= 0)
+            if not hidden and is_region(node) and (inside < 0 or tag == "article" and self.labels[inside] != "article"):
+                found.pop(inside, None)  # a main that holds articles stands for them
+                inside = k
+                found[k] = 0
+            if inside in found and not hidden:
+                found[inside] += mass.get(k, 0)
+            at = k + 1
+            for c in t[1]:
+                at = below(c, at, inside) if not hidden else at + _size(c)
+            return at
+
+        self.labels = [t[0].partition(".")[0] for t in _preorder(self.tree)]
+        below(self.tree, 0, -1)
+        return frozenset(k for k, n in found.items() if n or not mass)
+
     def _content(self, mass: dict[int, int]) -> int:
         def total(t: Tree, k: int) -> tuple[int, int]:
             """Characters of slots below k, and the number after k's subtree."""
@@ -399,17 +450,33 @@ class Wrapper:
             k = best[1]
         return k
 
-    def text(self, root: Node, tree: Tree, order: list[list[Node]]) -> str:
-        if found := regions(root):
-            return "\n\n".join(blocks(found, True))
+    def text(self, root: Node, tree: Tree, order: list[list[Node]]) -> tuple[str, bool]:
+        """The page's text, and whether alignment found its content."""
         pairs = self.aligned.get(tree)
         if pairs is None:
             if len(self.aligned) > 1000:
                 self.aligned.clear()
             pairs = self.aligned[tree] = match_trees(tree, self.tree)
-        roots = [x for k, nodes in enumerate(order) if pairs.get(k) == self.content for x in nodes] or [root]
-        constant = frozenset(id(x) for k, nodes in enumerate(order) if pairs.get(k) in self.constant for x in nodes)
-        return "\n\n".join(blocks(roots, False, constant))
+        roots = [x for k, nodes in enumerate(order) if pairs.get(k) in self.content for x in nodes]
+        aligned, inside = bool(roots), bool(self.regions)
+        if lone := [x for x in regions(root) if not any(x is y for r in roots for y in _nodes(r))]:
+            if inside or not aligned:
+                wanted = {id(x) for x in (*roots, *lone)}
+                roots = [x for x in _nodes(root) if id(x) in wanted]
+                inside = True
+        constant = frozenset(
+            id(x) for k, nodes in enumerate(order) if pairs.get(k) in self.constant for x in nodes if not (inside and re.fullmatch(r"h[1-6]|hgroup", x.tag))
+        )
+        return "\n\n".join(blocks(roots or [root], inside, constant)), aligned
+
+
+def _nodes(node: Node) -> Iterator[Node]:
+    """node and what is below it, in page order."""
+    work = [node]
+    while work:
+        x = work.pop()
+        yield x
+        work.extend(c for c in reversed(x.children) if isinstance(c, Node))
 
 
 def _templates(pages: DataFrame) -> DataFrame:
@@ -467,7 +534,7 @@ def _with_template(pages: DataFrame, templates: DataFrame, most: int, f, schema:
 
 
 def extract(pages: DataFrame, broadcast_bytes: int = BROADCAST_BYTES) -> DataFrame:
-    """page_id, url, text, n_chars for each row of pages (page_id, url, html)."""
+    """page_id, url, text, n_chars, aligned for each row of pages (page_id, url, html)."""
     import ast
 
     pages = pages.select("page_id", "url", "html")
@@ -478,7 +545,7 @@ def extract(pages: DataFrame, broadcast_bytes: int = BROADCAST_BYTES) -> DataFra
         aligned: dict[tuple, dict[int, int]] = {}
 
         def block(ids, urls, htmls):
-            out: dict[tuple[str, int], list[dict]] = {}
+            out: dict[tuple[str, int], tuple[int, list[dict]]] = {}
             for url, page in zip(urls, htmls):
                 root = parse(page or "")
                 tree, order = outline(root)
@@ -491,15 +558,18 @@ def extract(pages: DataFrame, broadcast_bytes: int = BROADCAST_BYTES) -> DataFra
                         aligned.clear()
                     pairs = aligned[group, tree] = match_trees(tree, trees[group])
                 found = page_texts(order, tree, pairs)
-                key = (group, _hash(repr(found)))
-                if key not in out:
-                    out[key] = [{"node": k, "hash": _hash(text), "chars": len(text)} for k, text in found]
-            return {"group": [k[0] for k in out], "page": [k[1] for k in out], "texts": list(out.values())}
+                digest = _hash(repr(found))
+                title = headline(root)
+                key = (group, _hash("h " + title) if title else digest)
+                if key not in out or digest < out[key][0]:
+                    out[key] = digest, [{"node": k, "hash": _hash(text), "chars": len(text)} for k, text in found]
+            return {"group": [k[0] for k in out], "page": [k[1] for k in out], "first": [{"digest": d, "texts": x} for d, x in out.values()]}
 
         return block
 
-    found = _with_template(pages, templates, broadcast_bytes, slots, "group string, page long, texts array<struct<node: int, hash: long, chars: long>>")
-    different = found.dropDuplicates(["group", "page"]).select("group", F.explode("texts").alias("t")).select("group", "t.*")
+    found = _with_template(pages, templates, broadcast_bytes, slots, "group string, page long, first struct<digest: long, texts: array<struct<node: int, hash: long, chars: long>>>")
+    # of pages with equal headlines one counts, whatever the partitions
+    different = found.groupBy("group", "page").agg(F.min("first").alias("first")).select("group", F.explode("first.texts").alias("t")).select("group", "t.*")
     by_text = different.groupBy("group", "node", "hash").agg(F.count("*").alias("n"), F.sum("chars").alias("chars"))
     by_node = by_text.groupBy("group", "node").agg(F.sum("n").alias("n"), F.max("n").alias("top"), F.sum("chars").alias("chars"))
     stats = by_node.groupBy("group").agg(F.sort_array(F.collect_list(F.struct("node", "n", "top", "chars"))).alias("stats"))  # a few a template
@@ -509,10 +579,11 @@ def extract(pages: DataFrame, broadcast_bytes: int = BROADCAST_BYTES) -> DataFra
         wrapped: dict[str, Wrapper] = {}
 
         def block(ids, urls, htmls):
-            out = []
+            out, aligned = [], []
             for url, page in zip(urls, htmls):
                 if not page:
                     out.append("")
+                    aligned.append(False)
                     continue
                 root = parse(page)
                 tree, order = outline(root)
@@ -520,10 +591,12 @@ def extract(pages: DataFrame, broadcast_bytes: int = BROADCAST_BYTES) -> DataFra
                 if group not in wrapped:
                     row = known()[group]
                     wrapped[group] = Wrapper(ast.literal_eval(row.tree), {s["node"]: (s["n"], s["top"], s["chars"]) for s in row.stats or []})
-                out.append(wrapped[group].text(root, tree, order))
-            return {"page_id": ids, "url": urls, "text": out, "n_chars": [len(t) for t in out]}
+                text, found = wrapped[group].text(root, tree, order)
+                out.append(text)
+                aligned.append(found)
+            return {"page_id": ids, "url": urls, "text": out, "n_chars": [len(t) for t in out], "aligned": aligned}
 
         return block
 
     kind = pages.schema["page_id"].dataType.simpleString()
-    return _with_template(pages, wrappers, broadcast_bytes, texts, f"page_id {kind}, url string, text string, n_chars long")
+    return _with_template(pages, wrappers, broadcast_bytes, texts, f"page_id {kind}, url string, text string, n_chars long, aligned boolean")
