@@ -1,23 +1,29 @@
 """WARC records in ZIP packages: writing, and reading without extraction.
 
 A package is a ZIP file with stored (uncompressed) members archive/data.warc.gz (a gzip member a record) and
-indexes/index.cdx (a line a record: offset, length, record id). The reader looks for the end-of-central-directory record at
-the package's end, follows ZIP64 where sizes or offsets need it, finds the stored members through the central directory and
-their local headers, and range-reads single records through the index.
+indexes/index.cdx (a line a record: url, time, and JSON with offset, length and the archive's file name). The reader looks for the
+end-of-central-directory record at the package's end, follows ZIP64 where sizes or offsets need it, finds the stored members
+through the central directory and their local headers, and range-reads records through all indexes (*.cdx, *.cdxj, also
+gzipped) of any archives in the package. Records without this writer's own header fields have a null page_id, and their sizes
+and digests are taken from the payload.
 
 Defined results: a null html is an empty payload; a null page_id is written as "null" and read back as null (it is a
 revisit if its payload has a smallest page_id, else a response); rows that repeat the smallest page_id with its payload are
-all responses; null urls are written as urn:page:<page_id>; extra columns are ignored; an empty table gives no package.
+all responses; null urls are written as urn:page:<page_id>, and line ends in urls as %0D and %0A; extra columns are ignored; an empty table gives no package.
 """
 
 from __future__ import annotations
 
 import base64
+import gzip
 import hashlib
 import io
+import json
+import re
 import struct
 import uuid
 import zlib
+from urllib.parse import quote
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -110,19 +116,36 @@ def zip_members(source, size: int) -> dict[str, tuple[int, int]]:
 # -- WARC records --------------------------------------------------------------------------------------------------
 
 
+def record_id(page_id: str) -> str:
+    return f"<urn:uuid:{uuid.uuid5(uuid.NAMESPACE_URL, 'urn:page:' + page_id)}>"
+
+
 def warc_record(kind: str, page_id: str, url: str, payload: bytes, digest: str, refers_to: str | None) -> bytes:
     http = b"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\n\r\n" + (payload if kind == "response" else b"")
-    url = url.replace("\r", "%0D").replace("\n", "%0A")
     head = [
-        "WARC/1.1", f"WARC-Type: {kind}", f"WARC-Record-ID: <urn:uuid:{uuid.uuid5(uuid.NAMESPACE_URL, page_id + ' ' + url)}>", "WARC-Date: 2024-01-01T00:00:00Z", f"WARC-Target-URI: {url}",
-        f"WARC-Payload-Digest: sha1:{digest}", f"X-Page-ID: {page_id}", f"X-Payload-Bytes: {len(payload)}", "Content-Type: application/http;msgtype=response", f"Content-Length: {len(http)}",
-    ]
+        "WARC/1.1",
+        f"WARC-Type: {kind}",
+        f"WARC-Record-ID: {record_id(page_id)}",
+        "WARC-Date: 2024-01-01T00:00:00Z",
+        f"WARC-Target-URI: {in_header(url)}",
+        f"WARC-Payload-Digest: sha1:{digest}",
+        f"X-Page-ID: {page_id}",
+        f"X-Payload-Bytes: {len(payload)}",
+        "Content-Type: application/http;msgtype=response",
+        f"Content-Length: {len(http)}",
+    ]
     if refers_to is not None:
-        head += ["WARC-Profile: http://netpreserve.org/warc/1.1/revisit/identical-payload-digest", f"X-Refers-To-Page-ID: {refers_to}"]
+        head.append("WARC-Profile: http://netpreserve.org/warc/1.1/revisit/identical-payload-digest")
+        head += [f"WARC-Refers-To: {record_id(refers_to)}", f"X-Refers-To-Page-ID: {refers_to}"]
     pack = zlib.compressobj(6, zlib.DEFLATED, 31)
     return pack.compress("\r\n".join(head).encode() + b"\r\n\r\n" + http + b"\r\n\r\n") + pack.flush()
 
 
+def in_header(url: str) -> str:
+    """The url without line ends, which a header can't hold."""
+    return url.replace("\r", "%0D").replace("\n", "%0A")
+
+
 def parse_record(raw: bytes) -> tuple[dict[str, str], bytes]:
     """Header fields (lower-case names) and the payload behind the HTTP head."""
     head, _, rest = zlib.decompress(raw, 31).partition(b"\r\n\r\n")
@@ -164,7 +187,8 @@ def write_packages(pages: DataFrame, out: str, least_bytes: int = 0, package_byt
                     name = "null" if page_id is None else str(page_id)
                     raw = warc_record("response" if refers_to is None else "revisit", name, f"urn:page:{name}" if url is None else url, body, sha1_base32(body), None if refers_to is None else str(refers_to))
                     chunks.append(raw)
-                    index.append(f"{at} {len(raw)} {name}\n")
+                    entry = {"url": url, "offset": str(at), "length": str(len(raw)), "filename": "data.warc.gz"}
+                    index.append(f"{quote(url or name)} 20240101000000 {json.dumps(entry)}\n")
                     at += len(raw)
                     if at >= package_bytes:
                         yield package()
@@ -175,21 +199,44 @@ def write_packages(pages: DataFrame, out: str, least_bytes: int = 0, package_byt
     return table(joined.mapInArrow(write, "path string, records long"), "packages")
 
 
-def read_packages(spark: SparkSession, manifest: DataFrame, records_at_once: int = 512) -> DataFrame:
-    """page_id, url, payload (null for revisits), payload_bytes, payload_digest, record_type, refers_to of every record."""
+def _entries(source, members: dict[str, tuple[int, int]]) -> dict[str, list[tuple[int, int]]]:
+    """For each archive member, (offset in the package, length) of its records by the package's indexes."""
+    out: dict[str, list[tuple[int, int]]] = {}
+    for name, (at, n) in members.items():
+        if name.startswith("indexes/") and re.search(r"\.cdxj?(\.gz)?$", name):
+            raw = read_range(source, at, n)
+            for line in (gzip.decompress(raw) if raw[:2] == b"\x1f\x8b" else raw).splitlines():
+                if (start := line.find(b"{")) >= 0:
+                    entry = json.loads(line[start:])
+                    archive = "archive/" + entry["filename"].rsplit("/", 1)[-1]
+                    out.setdefault(archive, []).append((members[archive][0] + int(entry["offset"]), int(entry["length"])))
+    return {k: sorted(v) for k, v in out.items()}
+
+
+def read_packages(spark: SparkSession, manifest: DataFrame, range_bytes: int = 4 << 20) -> DataFrame:
+    """page_id, url, payload (null for revisits), payload_bytes, payload_digest, record_type, refers_to of every record.
+
+    A range holds neighbouring records of about range_bytes (or one record).
+    """
+    # a number of its own, as ranges are short rows that stand for much: by their bytes all of them would go to one task
+    tasks = int(spark.conf.get("spark.sql.shuffle.partitions"))
 
     def ranges(batches):
         for batch in batches:
             for path in batch.column(0).to_pylist():
                 system, where = locate(path)
                 with system.open_input_file(where) as f:
-                    members = zip_members(f, f.size())
-                    data, index = members["archive/data.warc.gz"][0], members["indexes/index.cdx"]
-                    lines = [x.split(b" ", 2) for x in read_range(f, *index).splitlines()]
-                for i in range(0, len(lines), records_at_once):
-                    part = lines[i : i + records_at_once]
-                    a, b = int(part[0][0]), int(part[-1][0]) + int(part[-1][1])
-                    yield pa.RecordBatch.from_pydict({"path": [path], "start": [data + a], "lengths": [[int(x[1]) for x in part]]})
+                    entries = _entries(f, zip_members(f, f.size()))
+                out: list[tuple[int, list[int]]] = []
+                for records in entries.values():
+                    end, size = -1, 0
+                    for at, n in records:
+                        if at != end or size + n > range_bytes:
+                            out.append((at, []))
+                            size = 0
+                        out[-1][1].append(n)
+                        end, size = at + n, size + n
+                yield pa.RecordBatch.from_pydict({"path": [path] * len(out), "start": pa.array([x[0] for x in out], pa.int64()), "lengths": pa.array([x[1] for x in out], pa.list_(pa.int64()))})
 
     def records(batches):
         for batch in batches:
@@ -200,19 +247,20 @@ def read_packages(spark: SparkSession, manifest: DataFrame, records_at_once: int
                 out = {k: [] for k in ("page_id", "url", "payload", "payload_bytes", "payload_digest", "record_type", "refers_to")}
                 for n in r["lengths"]:
                     fields, body = parse_record(raw.read(n))
-                    own, kind = fields["x-page-id"], fields["warc-type"]
-                    if kind == "response" and "sha1:" + sha1_base32(body) != fields["warc-payload-digest"]:
-                        raise ValueError(f"page {own}: the payload doesn't have its digest")
+                    own, kind = fields.get("x-page-id", "null"), fields["warc-type"]
+                    digest = fields.get("warc-payload-digest") or "sha1:" + sha1_base32(body)
+                    if kind == "response" and digest.startswith("sha1:") and "sha1:" + sha1_base32(body) != digest:
+                        raise ValueError(f"record {fields.get('warc-record-id')}: the payload doesn't have its digest")
                     out["page_id"].append(None if own == "null" else int(own))
-                    out["url"].append(None if fields["warc-target-uri"] == f"urn:page:{own}" else fields["warc-target-uri"])
+                    out["url"].append(None if fields.get("warc-target-uri") == f"urn:page:{own}" else fields.get("warc-target-uri"))
                     out["payload"].append(body if kind == "response" else None)
-                    out["payload_bytes"].append(int(fields["x-payload-bytes"]))
-                    out["payload_digest"].append(fields["warc-payload-digest"].removeprefix("sha1:"))
+                    out["payload_bytes"].append(int(fields.get("x-payload-bytes", len(body))))
+                    out["payload_digest"].append(digest.removeprefix("sha1:"))
                     out["record_type"].append(kind)
                     out["refers_to"].append(int(fields["x-refers-to-page-id"]) if "x-refers-to-page-id" in fields else None)
                 yield pa.RecordBatch.from_pydict(out, pa.schema({"page_id": pa.int64(), "url": pa.string(), "payload": pa.binary(), "payload_bytes": pa.int64(), "payload_digest": pa.string(), "record_type": pa.string(), "refers_to": pa.int64()}))
 
-    located = manifest.select("path").mapInArrow(ranges, "path string, start long, lengths array<long>").repartition("path", "start")
+    located = manifest.select("path").mapInArrow(ranges, "path string, start long, lengths array<long>").repartition(tasks, "path", "start")
     return located.mapInArrow(records, "page_id long, url string, payload binary, payload_bytes long, payload_digest string, record_type string, refers_to long")
 
 
