@@ -38,9 +38,11 @@ def level(text: Column) -> Column:
 
 
 def parsed(lines: DataFrame, fail_fast: bool = False) -> DataFrame:
-    """lines with is_header and, for headers, ts_text, timestamp, pid, level, module, text (others have text = line)."""
-    is_header = F.col("line").rlike(HEADER)
-    part = lambda k: F.when(F.col("is_header"), F.regexp_extract("line", HEADER, k))
-    out = lines.withColumn("is_header", is_header).withColumns({"ts_text": part(1), "pid_text": part(2), "level": level(part(3)), "module": part(4), "text": F.coalesce(part(5), "line")})
+    """lines (without line feeds) with is_header and, for headers, ts_text, timestamp, pid, level, module, text (others have text = line)."""
+    # one scan: a header's parts come back a line each (a line holds no line feed itself), any other line as it was
+    found = F.split(F.regexp_replace("line", HEADER, "$1\n$2\n$3\n$4\n$5"), "\n", 5)
+    out = lines.withColumn("_part", found).withColumn("is_header", F.size("_part") == 5)
+    part = lambda k: F.when(F.col("is_header"), F.col("_part")[k])
+    out = out.withColumns({"ts_text": part(0), "pid_text": part(1), "level": level(part(2)), "module": part(3), "text": F.coalesce(part(4), "line")})
     pid = F.col("pid_text").cast("int") if fail_fast else F.col("pid_text").try_cast("int")
-    return out.withColumn("timestamp", timestamp(F.col("ts_text"), fail_fast)).withColumn("pid", pid).drop("pid_text")
+    return out.withColumn("timestamp", timestamp(F.col("ts_text"), fail_fast)).withColumn("pid", pid).drop("pid_text", "_part")

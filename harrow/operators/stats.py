@@ -2,15 +2,22 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from harrow.schemas import STATS
 
 
 def ingest_stats(archives: DataFrame, routed_members: DataFrame, log_rows: DataFrame, command_rows: DataFrame) -> DataFrame:
-    """report_name (null: total) and the five counters. Inputs have report_name; archives with nothing routed count too."""
-    part = lambda df, **one: df.select("report_name", *(F.lit(0).cast("long").alias(s) if s not in one else one[s].cast("long").alias(s) for s in STATS))
-    rows = part(archives, archives=F.lit(1)).unionByName(part(routed_members, log_files=(F.col("kind") == "log").cast("long"), command_files=(F.col("kind") == "command").cast("long")))
+    """report_name (null: total), the five counters and corrupt_archives. Inputs have report_name; archives with nothing routed count
+    too, and a member of kind "corrupt" stands for an archive that couldn't be read to its end."""
+    names = (*STATS, "corrupt_archives")
+
+    def part(df: DataFrame, **one: Column) -> DataFrame:
+        return df.select("report_name", *((one[s] if s in one else F.lit(0)).cast("long").alias(s) for s in names))
+
+    of_kind = lambda kind: (F.col("kind") == kind).cast("long")
+    members = part(routed_members, log_files=of_kind("log"), command_files=of_kind("command"), corrupt_archives=of_kind("corrupt"))
+    rows = part(archives, archives=F.lit(1)).unionByName(members)
     rows = rows.unionByName(part(log_rows, log_rows=F.lit(1))).unionByName(part(command_rows, command_rows=F.lit(1)))
-    return rows.rollup("report_name").agg(*(F.sum(s).alias(s) for s in STATS))
+    return rows.rollup("report_name").agg(*(F.sum(s).alias(s) for s in names))

@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import argparse
+import json
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -13,6 +15,7 @@ from harrow.operators.members import size_limit
 from harrow.operators.stats import ingest_stats
 from harrow.plans.tables import os_commands, os_logs
 from harrow.sources.archives import list_archives, read_members
+from harrow.sources.files import files_below, locate
 
 
 def default_out(reports_dir: str) -> str:
@@ -20,32 +23,91 @@ def default_out(reports_dir: str) -> str:
     return f"{parent or '.'}/harrow_tables"
 
 
-def ingest(spark: SparkSession, reports_dir: str, out: str | None = None, overwrite: bool = False, max_mb: int | None = 25, fail_fast: bool = False, on_corrupt: str = "fail") -> DataFrame:
-    """Append (or with overwrite rebuild) os_logs and os_commands under out, and return the counters of this run.
+def _finish(out: str, run: str) -> None:
+    """Move a run's files into the tables, from where it was left off: what the run's plan lists and is still in the run's folder.
 
-    Members are decoded once, into a table under out that the two tables and the counters read, and that the next run replaces.
+    With overwrite, what a table holds besides the run's files goes.
+    """
+    system, root = locate(out)
+    with system.open_input_file(f"{root}/_runs/{run}/plan.json") as f:
+        plan = json.loads(f.read())
+    for name, files in plan["tables"].items():
+        system.create_dir(f"{root}/{name}", recursive=True)
+        if plan["overwrite"]:
+            for path in files_below(f"{out}/{name}"):
+                if path.rsplit("/", 1)[-1] not in files:
+                    system.delete_file(path)
+        left = {p.rsplit("/", 1)[-1]: p for p in files_below(f"{out}/_runs/{run}/{name}")}
+        for file in files:
+            if file in left:
+                system.move(left[file], f"{root}/{name}/{file}")
+    system.delete_dir(f"{root}/_runs/{run}")
+
+
+def write_tables(spark: SparkSession, out: str, tables: dict[str, DataFrame], overwrite: bool = False) -> dict[str, DataFrame]:
+    """Append the frames to the Parquet tables of their names under out, all or none; returns them as written.
+
+    They are written aside first. Once all are, a plan of the run is written, and from then on the run counts: should moving the files
+    be interrupted, the next call finishes it. A run without a plan leaves nothing in the tables.
+    """
+    system, root = locate(out)
+    runs = {p.removeprefix(f"{root}/_runs/").split("/")[0] for p in files_below(f"{out}/_runs") if p.endswith("/plan.json")}
+    for run in sorted(runs):
+        _finish(out, run)
+    run = uuid.uuid4().hex
+    for name, df in tables.items():
+        df.write.parquet(f"{out}/_runs/{run}/{name}")
+    staged = {name: [p.rsplit("/", 1)[-1] for p in files_below(f"{out}/_runs/{run}/{name}") if p.endswith(".parquet")] for name in tables}
+    with system.open_output_stream(f"{root}/_runs/{run}/plan.part") as f:
+        f.write(json.dumps({"overwrite": overwrite, "tables": staged}).encode())
+    system.move(f"{root}/_runs/{run}/plan.part", f"{root}/_runs/{run}/plan.json")
+    _finish(out, run)
+    return {name: spark.read.schema(df.schema).parquet(*(f"{out}/{name}/{x}" for x in staged[name])) for name, df in tables.items()}
+
+
+def ingest(
+    spark: SparkSession,
+    reports_dir: str,
+    out: str | None = None,
+    overwrite: bool = False,
+    max_mb: int | None = 25,
+    fail_fast: bool = False,
+    on_corrupt: str = "fail",
+) -> DataFrame:
+    """Append (or with overwrite rebuild) os_logs and os_commands under out, and return the counters of this run, as written.
+
+    Members are decoded once, into a table under out that the two tables and the counters read; counters of rows come from the rows
+    written, so nothing is parsed twice and later runs don't change them.
     """
     out = (out or default_out(reports_dir)).rstrip("/")
-    paths = list_archives(reports_dir)
-    read_members(spark, paths, size_limit(max_mb), on_corrupt=on_corrupt).withColumn("source_file", member_name(F.col("name"))).write.mode("overwrite").parquet(f"{out}/_members")
-    members = spark.read.parquet(f"{out}/_members")
-    logs, commands = os_logs(lines_of(members.filter("kind = 'log'")), fail_fast), os_commands(members.filter("kind = 'command'"))
-    mode = "overwrite" if overwrite else "append"
+    return ingest_archives(spark, list_archives(reports_dir), out, overwrite, max_mb, fail_fast, on_corrupt)
 
-    for name, df in (("os_logs", logs), ("os_commands", commands)):
-        df.write.mode(mode).parquet(f"{out}/{name}")
+
+def ingest_archives(spark: SparkSession, paths: list[str], out: str, overwrite: bool, max_mb: int | None, fail_fast: bool, on_corrupt: str) -> DataFrame:
+    """ingest() of the archives at paths."""
+    system, root = locate(out)
+    run = f"_work/{uuid.uuid4().hex}"
+    found = read_members(spark, paths, size_limit(max_mb), on_corrupt=on_corrupt)
+    found.withColumn("source_file", member_name(F.col("name"))).write.parquet(f"{out}/{run}")
+    members = spark.read.parquet(f"{out}/{run}")
+    logs, commands = os_logs(lines_of(members.filter("kind = 'log'")), fail_fast), os_commands(members.filter("kind = 'command'"))
+    written = write_tables(spark, out, {"os_logs": logs, "os_commands": commands}, overwrite)
     archives = spark.createDataFrame([(p.rsplit("/", 1)[-1],) for p in paths], "report_name string")
-    return ingest_stats(archives, members, logs.select("report_name"), commands.select("report_name"))
+    counters = ingest_stats(archives, members, *(written[t].select("report_name") for t in ("os_logs", "os_commands")))
+    counters.write.parquet(f"{out}/_counters/{run.rpartition('/')[2]}")
+    system.delete_dir(f"{root}/{run}")
+    return spark.read.schema(counters.schema).parquet(f"{out}/_counters/{run.rpartition('/')[2]}")
 
 
-def main() -> None:
+def main(arguments: list[str] | None = None) -> None:
     parser = argparse.ArgumentParser(description="Ingest diagnostic archives into two Parquet tables")
     parser.add_argument("--reports-dir", required=True)
     parser.add_argument("--out")
     parser.add_argument("--clear-existing", action="store_true")
     parser.add_argument("--max-file-size-mb", type=int, default=10)
-    a = parser.parse_args()
-    ingest(SparkSession.builder.appName("ingest").getOrCreate(), a.reports_dir, a.out, a.clear_existing, a.max_file_size_mb).show(100, truncate=False)
+    a = parser.parse_args(arguments)
+    spark = SparkSession.builder.appName("ingest").getOrCreate()
+    ingest(spark, a.reports_dir, a.out, a.clear_existing, a.max_file_size_mb).show(100, truncate=False)
 
 
 if __name__ == "__main__":

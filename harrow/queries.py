@@ -19,10 +19,11 @@ from harrow.operators import members as M
 from harrow.operators.records import assembled
 from harrow.operators.stats import ingest_stats
 from harrow.plans import tables as T
+from harrow.plans.ingest import ingest, write_tables
 from harrow.schemas import OS_COMMANDS, OS_LOGS
 from harrow.sources.archives import list_archives, read_members, write_archives
 
-LIMIT = 5000
+LIMIT = M.size_limit(None)
 MODULES = "nova.compute.manager cinder.volume.manager ovn-controller keystone.auth neutron.agent oslo.service glance.api placement.wsgi swift.proxy heat.engine horizon.ui ironic.conductor manila.share octavia.worker barbican.api ceilometer.agent gnocchi.metricd aodh.evaluator tripleo.deploy podman.events director.ui openvswitch.db my.module containerd.shim".split()
 SOURCES = ["var/log/containers/nova/nova-compute.log", "var/log/neutron/server.log", "var/log/messages.log", "sosreport/var/log/containers/keystone/keystone.log"]
 PREFIXES = ["./sosreport-h/", "", "./", "sosreport-nova-0/"]
@@ -73,9 +74,11 @@ def members(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def shared(spark: SparkSession) -> str:
-    """A new folder that driver and executors share."""
+    """A new folder that driver and executors share; in local mode alone, a temporary one will do."""
     base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not base:
+        if spark.sparkContext.master.split("[")[0] != "local":
+            raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
         import tempfile
 
         base = "file://" + tempfile.mkdtemp(prefix="harrow-")
@@ -83,13 +86,23 @@ def shared(spark: SparkSession) -> str:
     return f"{base.rstrip('/')}/harrow-{uuid.uuid4().hex[:12]}"
 
 
-def _archived(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """documents packed into archives of 200 ids each, and read back."""
+def _archives(spark: SparkSession, sf_dir: str) -> str:
+    """A folder with documents packed into archives of 200 ids each."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
-    files = docs.select(F.concat(F.lit("report-"), F.expr("doc_id div 200").cast("string"), F.lit(".tar.xz")).alias("report_name"), F.concat(F.lit("./var/log/nova/doc-"), F.col("doc_id").cast("string"), F.lit(".log")).alias("name"), F.col("doc_id").alias("rank"), F.coalesce("text", F.lit("")).alias("body"))
+    files = docs.select(
+        F.concat(F.lit("report-"), F.expr("doc_id div 200").cast("string"), F.lit(".tar.xz")).alias("report_name"),
+        F.concat(F.lit("./var/log/nova/doc-"), F.col("doc_id").cast("string"), F.lit(".log")).alias("name"),
+        F.col("text").alias("body"),
+        F.col("doc_id").alias("rank"),
+    )
     out = shared(spark) + "/archives"
     write_archives(files, out).write.parquet(out + "-written")
-    return read_members(spark, list_archives(out), M.size_limit(None), every=True)
+    return out
+
+
+def _archived(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Those archives, read back."""
+    return read_members(spark, list_archives(_archives(spark, sf_dir)), M.size_limit(None), every=True)
 
 
 def archive_listing(spark, sf_dir):
@@ -101,6 +114,18 @@ def archive_lines(spark, sf_dir):
     return found.select("report_name", "source_file", F.size(F.split(F.make_valid_utf8(F.col("body").cast("string")), "\n")).cast("long").alias("n_lines"))
 
 
+def archive_text_lines(spark, sf_dir):
+    """Non-blank lines of the archives' log members."""
+    found = _archived(spark, sf_dir).withColumn("source_file", member_name(F.col("name"))).filter("kind = 'log'")
+    return L.lines_of(found).groupBy("report_name", "source_file").agg(F.count("*").alias("n_lines"), F.sum(F.length("line")).alias("n_chars"))
+
+
+def ingest_job(spark, sf_dir):
+    """Counters of the ingest of those archives into tables."""
+    folder = _archives(spark, sf_dir)
+    return ingest(spark, folder, folder + "-tables")
+
+
 def member_names(spark, sf_dir):
     return members(spark, sf_dir).select("doc_id", "name", member_name(F.col("name")).alias("source_file"))
 
@@ -169,10 +194,13 @@ def os_commands(spark, sf_dir):
 
 
 def rule_tokens(spark, sf_dir):
-    """How often each rule token stands in the member names of documents."""
-    tokens = rules.rule_table(spark).select(F.explode("tokens").alias("token")).union(spark.createDataFrame([(t,) for t in rules.COMMAND_ONLY], "token string")).distinct()
+    """How often each rule token stands in the member names of documents: each name meets the 30 tokens within one expression."""
+    tokens = [r.token for r in rules.rule_table(spark).select(F.explode("tokens").alias("token")).distinct().collect()] + rules.COMMAND_ONLY
     low = members(spark, sf_dir).select(F.lower(F.substring_index("name", "/", -1)).alias("base")).groupBy("base").agg(F.count("*").alias("n"))
-    return F.broadcast(tokens).join(low, F.col("base").contains(F.col("token")), "left").groupBy("token").agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n_members"))
+    held = F.array_compact(F.array(*(F.when(F.col("base").contains(t), F.lit(t)) for t in tokens)))
+    counted = low.select("n", F.explode(held).alias("token")).groupBy("token").agg(F.sum("n").alias("n_members"))
+    every = spark.createDataFrame([(t,) for t in tokens], "token string")
+    return every.join(counted, "token", "left").select("token", F.coalesce("n_members", F.lit(0)).alias("n_members"))
 
 
 def ingest_counters(spark, sf_dir):
@@ -203,18 +231,18 @@ def table_columns(spark, sf_dir):
 
 def append_overwrite(spark, sf_dir):
     """Rows of a written log table after a write, an append and a rebuild."""
-    logs, out = os_logs(spark, sf_dir), shared(spark) + "/os_logs"
+    logs, out = os_logs(spark, sf_dir), shared(spark)
     counts = []
-    for step, mode in (("write", "append"), ("append", "append"), ("rebuild", "overwrite")):
-        logs.write.mode(mode).parquet(out)
-        counts.append((step, spark.read.parquet(out).count()))
+    for step, overwrite in (("write", False), ("append", False), ("rebuild", True)):
+        write_tables(spark, out, {"os_logs": logs}, overwrite)
+        counts.append(spark.read.parquet(f"{out}/os_logs").agg(F.lit(step).alias("step"), F.count("*").alias("n")).first())
     return spark.createDataFrame(counts, "step string, n long")
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
-        archive_listing, archive_lines, member_names, member_routing, nonblank_lines, parsed_lines, parsed_timestamps, levels, service_classes, row_tags, assembled_records,
+        archive_listing, archive_lines, archive_text_lines, ingest_job, member_names, member_routing, nonblank_lines, parsed_lines, parsed_timestamps, levels, service_classes, row_tags, assembled_records,
         orphan_records, os_logs, os_commands, rule_tokens, ingest_counters, latest_per_module, module_counts, command_like, table_columns, append_overwrite,
     )
 }
@@ -222,7 +250,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 # -- The same in SQL -----------------------------------------------------------------------------------------------
 
 _HEADER = r"^(\d{4}-\d{2}-\d{2}[ T]\d{2}:\d{2}:\d{2}[.,]\d{3,6})\s+(\d+)\s+(DEBUG|INFO|WARNING|WARN|ERROR|CRITICAL|TRACE)\s+(\S+)\s+(?:\[[^\]]*\]\s+)?(.*)$"
-_SERVICES = "nova:compute:nova cinder:storage:cinder ovn:networking:ovn,openvswitch,ovs neutron:networking:neutron keystone:identity:keystone glance:image:glance placement:placement:placement swift:object-storage:swift heat:orchestration:heat horizon:dashboard:horizon ironic:baremetal:ironic manila:shared-filesystems:manila octavia:load-balancing:octavia barbican:key-management:barbican ceilometer:telemetry:ceilometer gnocchi:telemetry:gnocchi aodh:telemetry:aodh tripleo:deployment:tripleo,director podman:container-runtime:podman,container"
 
 
 def _any(column: str, tokens: list[str]) -> str:
@@ -230,15 +257,15 @@ def _any(column: str, tokens: list[str]) -> str:
 
 
 def _case(part: int) -> str:
-    rows = [r.split(":") for r in _SERVICES.split()]
-    return "CASE " + " ".join(f"WHEN {_any('low', r[2].split(','))} THEN '{r[part]}'" for r in rows) + " ELSE 'unknown' END"
+    rows = rules.RULES
+    return "CASE " + " ".join(f"WHEN {_any('low', r[2])} THEN '{r[part]}'" for r in rows) + " ELSE 'unknown' END"
 
 
 _TAGS = f"""array_to_string(list_sort(list_distinct(list_filter(['openstack', 'rhosp17',
   CASE WHEN {_any('all_low', ['container', 'podman'])} THEN 'containerized' END, CASE WHEN {_any('all_low', ['ovn', 'neutron', 'networking'])} THEN 'networking' END,
   CASE WHEN {_any('all_low', ['nova', 'compute'])} THEN 'compute' END, CASE WHEN {_any('all_low', ['cinder', 'storage'])} THEN 'storage' END,
   CASE WHEN contains(all_low, 'tripleo') THEN 'tripleo' END, CASE WHEN service <> 'unknown' THEN service END], lambda x: x IS NOT NULL))), ',')"""
-_TOKENS = sorted({t for r in _SERVICES.split() for t in r.split(":")[2].split(",")}) + "ip_ ip- ip. hostname systemctl ss_ ss-".split()
+_TOKENS = rules.command_tokens()
 
 
 def _enriched(source: str, module: str, columns: str) -> str:
@@ -274,6 +301,12 @@ def _columns(table: str, names: list[str]) -> str:
 ORACLE_SQL: dict[str, str] = {
     "archive_listing": f"SELECT {_ARCHIVE} AS report_name, count(*) AS n_members, CAST(sum(strlen(coalesce(text, ''))) AS BIGINT) AS n_bytes FROM documents GROUP BY 1",
     "archive_lines": f"SELECT {_ARCHIVE} AS report_name, 'var/log/nova/doc-' || CAST(doc_id AS VARCHAR) || '.log' AS source_file, CAST(len(string_split(text, chr(10))) AS BIGINT) AS n_lines FROM documents WHERE text <> '' AND strlen(text) <= 26214400",
+    "archive_text_lines": f"""SELECT report_name, source_file, count(*) AS n_lines, CAST(sum(length(line)) AS BIGINT) AS n_chars FROM (
+      SELECT {_ARCHIVE} AS report_name, 'var/log/nova/doc-' || CAST(doc_id AS VARCHAR) || '.log' AS source_file, regexp_replace(unnest(string_split(text, chr(10))), '[\\r\\n]+$', '') AS line
+      FROM documents WHERE text <> '') WHERE line <> '' GROUP BY report_name, source_file""",
+    "ingest_job": f"""SELECT report_name, CAST(count(DISTINCT report_name) AS BIGINT) AS archives, CAST(sum(CAST(text <> '' AS INTEGER)) AS BIGINT) AS log_files,
+      CAST(sum(CAST(regexp_matches(text, '[^\\r\\n]') AS INTEGER)) AS BIGINT) AS log_rows, CAST(0 AS BIGINT) AS command_files, CAST(0 AS BIGINT) AS command_rows, CAST(0 AS BIGINT) AS corrupt_archives
+      FROM (SELECT {_ARCHIVE} AS report_name, coalesce(text, '') AS text FROM documents) GROUP BY ROLLUP (report_name)""",
     "member_names": f"SELECT doc_id, name, ltrim(replace(name, '\\', '/'), './') AS source_file FROM ({_members(True)})",
     "member_routing": f"WITH {_ROUTED} SELECT doc_id, report_name, source_file, size, kind FROM routed",
     "nonblank_lines": f"WITH {_LINES} SELECT path, line_no, line FROM lines",
@@ -289,7 +322,7 @@ ORACLE_SQL: dict[str, str] = {
     "rule_tokens": f"WITH {_ROUTED}, tokens AS (SELECT unnest([{', '.join(repr(t) for t in _TOKENS)}]) AS token), bases AS (SELECT lower(regexp_extract(name, '[^/]*$')) AS base, count(*) AS n FROM named GROUP BY 1) SELECT token, CAST(coalesce(sum(n), 0) AS BIGINT) AS n_members FROM tokens LEFT JOIN bases ON contains(base, token) GROUP BY token",
     "ingest_counters": f"""WITH {_LOGS}, {_COMMANDS}, rows AS (SELECT DISTINCT report_name, 1 AS a, 0 AS b, 0 AS c, 0 AS d, 0 AS e FROM named UNION ALL SELECT report_name, 0, CAST(kind = 'log' AS INTEGER), 0, CAST(kind = 'command' AS INTEGER), 0 FROM routed
       UNION ALL SELECT report_name, 0, 0, 1, 0, 0 FROM logs UNION ALL SELECT report_name, 0, 0, 0, 0, 1 FROM commands)
-      SELECT report_name, CAST(sum(a) AS BIGINT) AS archives, CAST(sum(b) AS BIGINT) AS log_files, CAST(sum(c) AS BIGINT) AS log_rows, CAST(sum(d) AS BIGINT) AS command_files, CAST(sum(e) AS BIGINT) AS command_rows FROM rows GROUP BY ROLLUP (report_name)""",
+      SELECT report_name, CAST(sum(a) AS BIGINT) AS archives, CAST(sum(b) AS BIGINT) AS log_files, CAST(sum(c) AS BIGINT) AS log_rows, CAST(sum(d) AS BIGINT) AS command_files, CAST(sum(e) AS BIGINT) AS command_rows, CAST(0 AS BIGINT) AS corrupt_archives FROM rows GROUP BY ROLLUP (report_name)""",
     "latest_per_module": f"WITH {_LOGS} SELECT {_STAMP}, message FROM logs WHERE module = 'nova.compute.manager' ORDER BY \"timestamp\" DESC, message LIMIT 1",
     "module_counts": f"WITH {_LOGS} SELECT module, count(*) AS n FROM logs GROUP BY module",
     "command_like": f"WITH {_COMMANDS} SELECT source, report_name, CAST(length(output) AS BIGINT) AS n_chars FROM commands WHERE source LIKE '%podman_ps%' ORDER BY source, report_name, output LIMIT 1",

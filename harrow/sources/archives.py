@@ -13,16 +13,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from harrow.operators.members import route_name
+from harrow.sources.files import locate
 
 
 class ArchiveError(RuntimeError):
     """The folder of archives is missing or holds none, or an archive can't be read."""
 
 
-def locate(uri: str) -> tuple[fs.FileSystem, str]:
-    return fs.FileSystem.from_uri(uri) if "://" in uri or uri.startswith("file:") else (fs.LocalFileSystem(), uri)
-
-
 def list_archives(folder: str) -> list[str]:
     """Paths, in order: files of the folder that end in .tar.xz, and such files anywhere below its folders."""
     system, root = locate(folder.rstrip("/"))

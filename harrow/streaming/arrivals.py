@@ -15,13 +15,16 @@ from harrow.sources.archives import read_members
 
 def ingest_arrivals(spark: SparkSession, reports_dir: str, out: str, checkpoint: str, max_mb: int | None = 25) -> StreamingQuery:
     """Ingest what is there and new, then stop (available-now trigger). A batch writes its own sub-folder of each table by overwrite,
-    so a batch that is run again after a failure replaces itself."""
+    so a batch that is run again after a failure replaces itself. Archives whose names begin with a dot or an underscore are hidden from
+    file streams and left to ingest()."""
     files = spark.readStream.format("binaryFile").option("pathGlobFilter", "*.tar.xz").option("recursiveFileLookup", True).schema("path string, modificationTime timestamp, length long, content binary").load(reports_dir).select("path")
 
     def batch(df: DataFrame, number: int) -> None:
         paths = [r.path for r in df.collect()]  # names of the archives of one batch
         if paths:
-            members = read_members(spark, paths, size_limit(max_mb)).withColumn("source_file", member_name(F.col("name")))
+            found = read_members(spark, paths, size_limit(max_mb)).withColumn("source_file", member_name(F.col("name")))
+            found.write.mode("overwrite").parquet(f"{out}/_members/batch={number}")  # archives are decoded once
+            members = spark.read.parquet(f"{out}/_members/batch={number}")
             os_logs(lines_of(members.filter("kind = 'log'"))).write.mode("overwrite").parquet(f"{out}/os_logs/batch={number}")
             os_commands(members.filter("kind = 'command'")).write.mode("overwrite").parquet(f"{out}/os_commands/batch={number}")
 

@@ -70,7 +70,7 @@ def test_ingest_end_to_end(spark, tmp_path):
     put(tmp_path / "in/sub/_b.tar.xz", [("etc/none", b"x")])
     out = str(tmp_path / "out")
     stats = {r.report_name: r for r in ingest(spark, str(tmp_path / "in"), out).collect()}
-    assert tuple(stats[None])[1:] == (2, 2, 3, 1, 1) and tuple(stats["_b.tar.xz"])[1:] == (1, 0, 0, 0, 0)
+    assert tuple(stats[None])[1:] == (2, 2, 3, 1, 1, 0) and tuple(stats["_b.tar.xz"])[1:] == (1, 0, 0, 0, 0, 0)
     logs = {r.module: r for r in spark.read.parquet(out + "/os_logs").collect()}
     assert logs["unknown"].timestamp is None and logs["unknown"].level == "UNKNOWN" and logs["unknown"].message == "orphan"
     w = logs["ovn-controller"]
@@ -78,10 +78,50 @@ def test_ingest_end_to_end(spark, tmp_path):
     assert (w.service, w.category, w.tags) == ("nova", "compute", "compute,containerized,networking,nova,openstack,rhosp17")
     c = spark.read.parquet(out + "/os_commands").first()
     assert c.command == "podman_ps" and c.output == "CONTAINER ID\n�" and c.service == "podman"
-    ingest(spark, str(tmp_path / "in"), out).collect()
+    first = ingest(spark, str(tmp_path / "in"), out)
     assert spark.read.parquet(out + "/os_logs").count() == 6
     ingest(spark, str(tmp_path / "in"), out, overwrite=True).collect()
-    assert spark.read.parquet(out + "/os_logs").count() == 3
+    assert spark.read.parquet(out + "/os_logs").count() == 3 and spark.read.parquet(out + "/os_commands").count() == 1
+    assert {r.report_name: r for r in first.collect()} == stats  # later runs don't change counters
+
+
+def test_a_broken_run_leaves_nothing_or_is_finished(spark, tmp_path, monkeypatch):
+    from harrow.plans import ingest as I
+
+    out, rows = str(tmp_path / "t"), spark.range(5).select(F.col("id").cast("string").alias("x"))
+    broken = rows.select(F.when(F.col("x") == "3", F.raise_error(F.lit("broken"))).otherwise(F.col("x")).alias("x"))
+    with pytest.raises(Exception):  # noqa: B017
+        I.write_tables(spark, out, {"a": rows, "b": broken})
+    assert not (tmp_path / "t/a").exists()
+    finish = I._finish
+    monkeypatch.setattr(I, "_finish", lambda *_: 1 / 0)
+    with pytest.raises(ZeroDivisionError):
+        I.write_tables(spark, out, {"a": rows, "b": rows})
+    monkeypatch.setattr(I, "_finish", finish)
+    I.write_tables(spark, out, {"a": rows, "b": rows})
+    assert spark.read.parquet(out + "/a").count() == spark.read.parquet(out + "/b").count() == 10
+
+
+def test_command_line_and_default_target(spark, tmp_path, capsys):
+    from harrow.plans.ingest import main
+
+    put(tmp_path / "in/my report #1%20.tar.xz", [("var/log/nova/a.log", (HEAD + "INFO m x\n").encode())])
+    main(["--reports-dir", str(tmp_path / "in"), "--clear-existing"])
+    assert "my report #1%20.tar.xz" in capsys.readouterr().out
+    assert spark.read.parquet(str(tmp_path / "harrow_tables/os_logs")).first().report_name == "my report #1%20.tar.xz"
+
+
+def test_arrivals_once_each_with_odd_names(spark, tmp_path):
+    from harrow.streaming.arrivals import ingest_arrivals
+
+    def run():
+        ingest_arrivals(spark, str(tmp_path / "in"), str(tmp_path / "out"), str(tmp_path / "c")).awaitTermination()
+        return sorted(r.report_name for r in spark.read.parquet(str(tmp_path / "out/os_logs")).collect())
+
+    put(tmp_path / "in/my report.tar.xz", [("var/log/nova/a.log", (HEAD + "INFO m x\n").encode())])
+    assert run() == ["my report.tar.xz"]
+    put(tmp_path / "in/x/b.tar.xz", [("var/log/nova/b.log", (HEAD + "INFO m y\n").encode())])
+    assert run() == ["b.tar.xz", "my report.tar.xz"] and run() == ["b.tar.xz", "my report.tar.xz"]
 
 
 def test_missing_empty_and_corrupt(spark, tmp_path):
@@ -93,4 +133,5 @@ def test_missing_empty_and_corrupt(spark, tmp_path):
     (tmp_path / "e/x.tar.xz").write_bytes(b"broken")
     with pytest.raises(Exception):  # noqa: B017
         ingest(spark, str(tmp_path / "e"), str(tmp_path / "o"))
-    assert ingest(spark, str(tmp_path / "e"), str(tmp_path / "o2"), on_corrupt="skip").count() == 2
+    counted = {r.report_name: r for r in ingest(spark, str(tmp_path / "e"), str(tmp_path / "o2"), on_corrupt="skip").collect()}
+    assert counted["x.tar.xz"].corrupt_archives == counted[None].corrupt_archives == 1 and counted[None].log_rows == 0
