@@ -20,22 +20,20 @@ doc_id is written as -1 << 63 and read back as null; repeated rows are sequences
 from __future__ import annotations
 
 import hashlib
-from array import array
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import Recent, held, table
+from .common import held, table
 from .files import locate, write_once
-from .token_counts import CHUNK, PRETOKEN
+from .token_counts import PRETOKEN, SPACE
 
 NO_ID = -(1 << 63)
-#: Remembered words: twice as many at most.
-MEMO = 400_000
 
 
 class Feistel:
@@ -73,7 +71,7 @@ class Feistel:
 
 
 class Ids:
-    """Compiled vocabulary; remembers the ids of runs of text, as uint16 bytes. Those of new runs come from the vocabulary's library."""
+    """Compiled vocabulary. Of a block of texts each different word is encoded once, by the vocabulary's library."""
 
     def __init__(self, ranks: bytes) -> None:
         import base64
@@ -85,28 +83,60 @@ class Ids:
         if max(table.values()) >= 65535:
             raise ValueError("ids don't fit in 16 bits")
         self.end = len(table)
-        self.last = self.end.to_bytes(2, "little")
+        self.last = np.array([self.end], "<u2")
         self.encoding = tiktoken.Encoding("shards", pat_str=PRETOKEN, mergeable_ranks=table, special_tokens={})
-        self.chunks, self.odd = re.compile(CHUNK).findall, re.compile(r" (?:\s|\Z)").search
-        self.of_chunk = Recent(self._ids, MEMO)
-        self.of_word = Recent(lambda word: self._ids(" " + word), MEMO)
-
-    def _ids(self, chunk: str) -> bytes:
-        return array("H", self.encoding.encode_ordinary(chunk)).tobytes()
-
-    def encode(self, text: str | None) -> bytes:
-        """Ids of the text and the end mark. A space before a word always begins a pre-token, so texts whose spaces all stand before words
-        are cut there; the others are cut into runs of white space and a word."""
-        if not text:
-            return self.last
-        if self.odd(text):
-            return b"".join(map(self.of_chunk.__getitem__, self.chunks(text))) + self.last
-        first, *words = text.split(" ")
-        return (self.of_chunk[first] if first else b"") + b"".join(map(self.of_word.__getitem__, words)) + self.last
+        #: Whether an id's token begins with a space.
+        self.spaced = np.zeros(self.end, bool)
+        self.spaced[[i for token, i in table.items() if token.startswith(b" ")]] = True
+        #: The same, with all of a text as one pre-token.
+        self.piece = tiktoken.Encoding("pieces", pat_str="(?s:.+)", mergeable_ranks=table, special_tokens={})
+        self.runs = re.compile(f"([{SPACE}]{{1000,}})").split
+        self.odd = re.compile(r" (?:\s|\Z)").search
+
+    def whole(self, text: str) -> np.ndarray:
+        """Ids of a text. The library can't match white space that runs on for a million characters or so; texts with such runs are cut
+        there. All of a run is one pre-token, but for its last character if a word follows."""
+        try:
+            return self._ids(self.encoding, text)
+        except ValueError:
+            first, *rest = self.runs(text)
+        out = [self._ids(self.encoding, first)]
+        for run, words in zip(rest[::2], rest[1::2]):
+            out.append(self._ids(self.piece, run[:-1] if words else run))
+            out.append(self._ids(self.encoding, run[-1] + words if words else ""))
+        return np.concatenate(out)
+
+    def _ids(self, encoding, text: str) -> np.ndarray:
+        return encoding.encode_to_numpy(text, disallowed_special=()).astype("<u2")
+
+    def encode(self, texts: pa.Array) -> list[np.ndarray]:
+        """Ids of each text and the end mark. A space before a word always begins a pre-token, so texts whose spaces all stand before words
+        are cut there, and the words encoded together: none has a space inside, so each begins at a token that begins with one. The
+        other texts are encoded whole."""
+        strings = texts.to_pylist()
+        plain = [i for i, t in enumerate(strings) if t and not self.odd(t)]
+        out = [self.last if not t else None for t in strings]
+        cut = pc.split_pattern(texts.take(pa.array(plain, pa.int64())), " ")
+        ends = cut.offsets.to_numpy()
+        later = np.ones(ends[-1], bool)
+        later[ends[:-1]] = False  # a text's first word has no space before it
+        words = cut.flatten().filter(pa.array(later)).dictionary_encode()
+        body, first = np.zeros(0, "<u2"), np.zeros(1, "i8")
+        if len(words):
+            ids = self.whole(" " + " ".join(words.dictionary.to_pylist()))
+            begin = np.flatnonzero(self.spaced[ids])
+            which = words.indices.to_numpy()
+            size = np.diff(begin, append=len(ids))[which]
+            first = np.concatenate([first, np.cumsum(size)])
+            body = ids[np.repeat(begin[which] - first[:-1], size) + np.arange(first[-1])]
+        places = first[ends - np.arange(len(ends))].tolist()
+        for i, a, b in zip(plain, places, places[1:]):
+            out[i] = np.concatenate([self.whole(strings[i].split(" ", 1)[0]), body[a:b], self.last])
+        return [np.concatenate([self.whole(t), self.last]) if x is None else x for t, x in zip(strings, out)]
 
 
 def ids_of(ranks: bytes) -> Ids:
-    """Made once a worker process, which keeps what it remembers from task to task."""
+    """Made once a worker process."""
     return held(("ids", ranks), lambda: Ids(ranks))
 
 
@@ -114,12 +144,12 @@ def record_type(seq_len: int) -> np.dtype:
     return np.dtype([("doc_id", "<i8"), ("seq_no", "<i4"), ("n_tokens", "<i4"), ("ids", "<u2", (seq_len,))])
 
 
-def _blocks(batches: Iterator[pa.RecordBatch], size: int = 4 << 20) -> Iterator[tuple[list, list]]:
+def _blocks(batches: Iterator[pa.RecordBatch], size: int = 8 << 20) -> Iterator[tuple[list, pa.Array]]:
     for batch in batches:
         n = max(1, int(batch.num_rows * size / max(batch.nbytes, 1)))
         for start in range(0, batch.num_rows, n):
             part = batch.slice(start, n)
-            yield part.column(0).to_pylist(), part.column(1).to_pylist()
+            yield part.column(0).to_pylist(), part.column(1)
 
 
 def write_shards(documents: DataFrame, ranks_path: str, out: str, key: int = 20240229, seq_len: int = 256, per_shard: int = 32_768) -> DataFrame:
@@ -134,8 +164,7 @@ def write_shards(documents: DataFrame, ranks_path: str, out: str, key: int = 202
 
         ids, n, check = ids_of(ranks.value), 0, hashlib.sha256()
         for doc_ids, texts in _blocks(batches):
-            for doc_id, text in zip(doc_ids, texts):
-                tokens = len(ids.encode(text)) // 2
+            for doc_id, tokens in zip(doc_ids, map(len, ids.encode(texts))):
                 n += -(-tokens // seq_len)
                 check.update(b"%d,%d;" % (NO_ID if doc_id is None else doc_id, tokens))
         yield pa.RecordBatch.from_pydict({"part": [TaskContext.get().partitionId()], "n": [n], "check": [check.hexdigest()]}, pa.schema({"part": pa.int32(), "n": pa.int64(), "check": pa.string()}))
@@ -156,9 +185,8 @@ def write_shards(documents: DataFrame, ranks_path: str, out: str, key: int = 202
         schema = pa.schema({"shard": pa.int64(), "rows": pa.binary()})
         for doc_ids, texts in _blocks(batches):
             parts = []
-            for doc_id, text in zip(doc_ids, texts):
+            for doc_id, tokens in zip(doc_ids, ids.encode(texts)):
                 doc_id = NO_ID if doc_id is None else doc_id
-                tokens = np.frombuffer(ids.encode(text), "<u2")
                 check.update(b"%d,%d;" % (doc_id, len(tokens)))
                 k = -(-len(tokens) // seq_len)
                 rows = np.zeros(k, record)

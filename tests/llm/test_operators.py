@@ -7,6 +7,7 @@ import io
 
 import numpy as np
 import public_tokenizers as P
+import pyarrow as pa
 import pytest
 
 from harrow.llm import decontaminate, embedding_dedup, html_wrapper, language_id, minhash_dedup, sentencepiece_fst, token_counts, token_shards, toxicity, warc_zip
@@ -90,6 +91,30 @@ def test_token_shards(spark, tmp_path):
     assert part == rows[70:75] and tiktoken
 
 
+def test_shard_ids_of_odd_and_very_long_texts():
+    encoder = token_shards.Ids(open(P.path("byte_bpe_50k.tiktoken"), "rb").read())
+    marks = ["a", "Z", " ", "  ", "\n", "\t", "'s", "'ll", "9", "é", "\u3000", "\xa0", "\x1f", "\x85", "漢", "!", " b", " \u0301", "🙂"]
+    for some in (marks, [m for m in marks if m[0] != " "] + [" b", " '", " 1"]):
+        rng = random.Random(5)
+        texts = ["".join(rng.choices(some, k=rng.randrange(14))) for _ in range(5000)]
+        got = encoder.encode(pa.array([*texts, None, ""], pa.string()))
+        assert [x.tolist() for x in got] == [[*encoder.encoding.encode_ordinary(t), encoder.end] for t in [*texts, "", ""]]
+    # runs as short as the library still matches, cut in the same way as those that it doesn't
+    long = ["a b" + " " * 3000 + "c d\n" + "\n" * 2000 + "e" + "\t" * 1500, " " * 1200 + "x", "x" + "\n" * 1200]
+    expected = [encoder.encoding.encode_ordinary(t) for t in long]
+
+    class Refusing:
+        def encode_to_numpy(self, text, **_):
+            if len(text) > 1000:
+                raise ValueError
+            return np.array(plain.encode_ordinary(text), "u4")
+
+    plain, encoder.encoding = encoder.encoding, Refusing()
+    assert [encoder.whole(t).tolist() for t in long] == expected
+    encoder.encoding = plain
+    assert len(encoder.encode(pa.array([" " * 2_000_000 + "a"]))[0]) > 2
+
+
 def test_zip_and_zip64():
     for zip64 in (False, True):
         out = io.BytesIO()
