@@ -123,7 +123,8 @@ class Ids:
         words = cut.flatten().filter(pa.array(later)).dictionary_encode()
         body, first = np.zeros(0, "<u2"), np.zeros(1, "i8")
         if len(words):
-            ids = self.whole(" " + " ".join(words.dictionary.to_pylist()))
+            together = pc.binary_join(pa.ListArray.from_arrays([0, len(words.dictionary)], words.dictionary), " ")
+            ids = self.whole(" " + together[0].as_py())
             begin = np.flatnonzero(self.spaced[ids])
             which = words.indices.to_numpy()
             size = np.diff(begin, append=len(ids))[which]
