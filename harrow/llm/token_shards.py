@@ -129,7 +129,7 @@ class Ids:
             which = words.indices.to_numpy()
             size = np.diff(begin, append=len(ids))[which]
             first = np.concatenate([first, np.cumsum(size)])
-            body = ids[np.repeat(begin[which] - first[:-1], size) + np.arange(first[-1])]
+            body = ids[np.repeat((begin[which] - first[:-1]).astype("i4"), size) + np.arange(first[-1], dtype="i4")]
         places = first[ends - np.arange(len(ends))].tolist()
         for i, a, b in zip(plain, places, places[1:]):
             out[i] = np.concatenate([self.whole(strings[i].split(" ", 1)[0]), body[a:b], self.last])
@@ -145,7 +145,7 @@ def record_type(seq_len: int) -> np.dtype:
     return np.dtype([("doc_id", "<i8"), ("seq_no", "<i4"), ("n_tokens", "<i4"), ("ids", "<u2", (seq_len,))])
 
 
-def _blocks(batches: Iterator[pa.RecordBatch], size: int = 8 << 20) -> Iterator[tuple[list, pa.Array]]:
+def _blocks(batches: Iterator[pa.RecordBatch], size: int = 16 << 20) -> Iterator[tuple[list, pa.Array]]:
     for batch in batches:
         n = max(1, int(batch.num_rows * size / max(batch.nbytes, 1)))
         for start in range(0, batch.num_rows, n):
