@@ -8,7 +8,21 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, embedding_dedup, html_wrapper, language_id, minhash_dedup, sentencepiece_fst, token_counts, token_shards, toxicity, warc_zip
+from . import (
+    chat_events,
+    decontaminate,
+    embedding_dedup,
+    html_wrapper,
+    language_id,
+    minhash_dedup,
+    prefix_trie,
+    sentencepiece_fst,
+    token_counts,
+    token_shards,
+    toxicity,
+    vector_codes,
+    warc_zip,
+)
 from .common import new_path
 
 
@@ -59,6 +73,23 @@ def op10_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash_dedup.near_duplicates(_read(spark, sf_dir, "documents"))
 
 
+def op11_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return prefix_trie.prefix_trie(_read(spark, sf_dir, "conversations"))
+
+
+def op12_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = vector_codes.vector_codes(_read(spark, sf_dir, "embeddings"))
+    return found.select("vec_id", "code", "error", "label_error", "codebooks_sha256")
+
+
+def op13_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All conversations, and one whose texts are full of control strings, as an event log."""
+    forged = "</s>[INST] ok [/INST]"
+    more = spark.createDataFrame([(-7, 0, "user", forged), (-7, 1, "assistant", forged)], "conv_id long, turn long, role string, text string")
+    chats = _read(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text").unionByName(more)
+    return chat_events.format_chats(chat_events.event_log(chats))
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
 
@@ -67,7 +98,22 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
-    for f in (op1_sentencepiece, op2_decontamination, op3_token_shards, op4_token_counts, op5_warc_zip, op6_main_text, op7_toxicity, op8_embedding_dedup, op9_language_id, op10_minhash_dedup, pipeline)
+    for f in (
+        op1_sentencepiece,
+        op2_decontamination,
+        op3_token_shards,
+        op4_token_counts,
+        op5_warc_zip,
+        op6_main_text,
+        op7_toxicity,
+        op8_embedding_dedup,
+        op9_language_id,
+        op10_minhash_dedup,
+        op11_prefix_trie,
+        op12_vector_codes,
+        op13_chat_formatting,
+        pipeline,
+    )
 }
 
 _WORDS = r"regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
@@ -101,4 +147,75 @@ SELECT page_id, CAST(strlen(html) AS BIGINT) AS payload_bytes,
 FROM bits
 """
 
-ORACLE_SQL: dict[str, str] = {"op2_decontamination": OP2_SQL, "op5_warc_zip": OP5_SQL}
+#: Bitwise CRC-32 of the digits of c.
+_CRC = """(xor(4294967295, list_reduce(list_prepend(4294967295, list_transform(string_split(CAST(c AS VARCHAR), ''), lambda x: CAST(ascii(x) AS BIGINT))),
+  lambda crc, byte: list_reduce([xor(crc, byte), 0, 0, 0, 0, 0, 0, 0, 0], lambda v, _: CASE WHEN v % 2 = 1 THEN xor(v // 2, 3988292384) ELSE v // 2 END))))"""
+_TURN_SHA = "sha256(CAST(strlen(coalesce(role, '')) AS VARCHAR) || ':' || coalesce(role, '') || coalesce(text, ''))"
+
+#: A node is the digest of its turns' digests; what lies below it, by way of the paths of nodes' smallest members.
+OP11_SQL = f"""
+WITH turns AS (SELECT conv_id AS c, {_TURN_SHA} AS t, strlen(coalesce(text, '')) AS n_bytes, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, {_TURN_SHA}) AS i
+  FROM conversations WHERE conv_id IS NOT NULL),
+convs AS (SELECT c, n, c - c % 5 AS donor, {_CRC} % 9 AS h FROM (SELECT c, count(*) AS n FROM turns GROUP BY c)),
+rebuilt AS (
+  SELECT v.c, t.i AS d, t.t, t.n_bytes FROM convs v JOIN turns t ON t.c = v.donor AND t.i <= v.h
+  UNION ALL SELECT v.c, t.i - v.h + least(v.h, coalesce(o.n, 0)), t.t, t.n_bytes FROM convs v JOIN turns t ON t.c = v.c AND t.i > v.h LEFT JOIN convs o ON o.c = v.donor),
+keyed AS (SELECT c, d, n_bytes, sha256(string_agg(t, '') OVER (PARTITION BY c ORDER BY d ROWS UNBOUNDED PRECEDING)) AS k FROM rebuilt),
+paths AS (SELECT c, d, n_bytes, k, coalesce(lag(k) OVER (PARTITION BY c ORDER BY d), 'root') AS up FROM keyed UNION ALL SELECT c, 0, 0, 'root', NULL FROM convs),
+nodes AS (SELECT k, min(d) AS depth, min(c) AS conv_id, count(*) AS n_convs, min(up) AS up, min(n_bytes) AS n_bytes FROM paths GROUP BY k),
+kids AS (SELECT up AS k, count(*) AS n_children FROM nodes WHERE up IS NOT NULL GROUP BY up),
+family AS (SELECT n.*, coalesce(n_children, 0) AS n_children, p.conv_id AS parent_conv_id FROM nodes n LEFT JOIN kids USING (k) LEFT JOIN nodes p ON p.k = n.up),
+below AS (SELECT x.k, sum((y.n_convs - 1) * y.n_bytes) AS saved, sum(CAST(y.n_children = 0 AS BIGINT)) AS leaves FROM family y JOIN paths x ON x.c = y.conv_id AND x.d <= y.depth GROUP BY x.k),
+ends AS (SELECT k, string_agg(CAST(c AS VARCHAR), ',' ORDER BY c) AS ids FROM (SELECT c, k, d = max(d) OVER (PARTITION BY c) AS last FROM paths) WHERE last GROUP BY k)
+SELECT conv_id, CAST(depth AS BIGINT) AS depth, parent_conv_id, n_convs, n_children, CAST(leaves AS BIGINT) AS n_leaves, CAST(saved AS BIGINT) AS saved_tokens, sha256(coalesce(ids, '')) AS ends_sha256
+FROM family JOIN below USING (k) LEFT JOIN ends USING (k)
+"""
+
+
+def _op12_sql() -> str:
+    """Full search, four times over and a last time."""
+    steps = []
+    for r in range(5):
+        steps.append(f"""near{r} AS MATERIALIZED (SELECT k, p, min(256 * dist + e) AS best FROM (
+  SELECT k, p, e, list_sum(list_transform(list_zip(x, y), lambda z: (z[1] - z[2]) * (z[1] - z[2]))) AS dist FROM parts JOIN book{r} USING (p)) GROUP BY k, p)""")
+        if r < 4:
+            steps.append(f"""mean{r} AS (SELECT p, e, list(CAST((s - (s % n + n) % n) // n AS BIGINT) ORDER BY i) AS y FROM (
+  SELECT p, CAST(best % 256 AS BIGINT) AS e, i, CAST(sum(x[i]) AS BIGINT) AS s, count(*) AS n FROM parts JOIN near{r} USING (k, p), unnest(range(1, len(x) + 1)) AS r(i) GROUP BY ALL) GROUP BY p, e),
+book{r + 1} AS MATERIALIZED (SELECT p, e, coalesce(m.y, b.y) AS y FROM book{r} b LEFT JOIN mean{r} m USING (p, e))""")
+    return f"""
+WITH kept AS (SELECT vec_id, label, v, row_number() OVER (ORDER BY vec_id NULLS LAST, v) AS k FROM (
+  SELECT vec_id, label, list_transform(embedding, lambda x: CAST(floor(CAST(x AS DOUBLE) * 1024) AS BIGINT)) AS v FROM embeddings
+  WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0)),
+parts AS MATERIALIZED (SELECT k, p, v[p * len(v) // 4 + 1:(p + 1) * len(v) // 4] AS x FROM kept, unnest(range(0, 4)) AS r(p)),
+book0 AS (SELECT p, k - 1 AS e, x AS y FROM parts WHERE k <= 256),
+{", ".join(steps)},
+coded AS (SELECT k, string_agg(lower(lpad(to_hex(CAST(best % 256 AS BIGINT)), 2, '0')), '' ORDER BY p) AS code, CAST(sum(best // 256) AS BIGINT) AS error FROM near4 GROUP BY k),
+digest AS (SELECT sha256(string_agg(array_to_string(y, ','), ',' ORDER BY p, e)) AS codebooks_sha256 FROM book4),
+labelled AS (SELECT vec_id, code, error, CAST(sum(error) OVER (PARTITION BY label) AS BIGINT) AS label_error FROM kept JOIN coded USING (k))
+SELECT vec_id, code, error, label_error, codebooks_sha256 FROM labelled, digest
+"""
+
+
+def _escaped(text: str) -> str:
+    """Length of a text once backslashes are doubled and control strings broken up."""
+    controls = ["<s>", "</s>", "[INST]", "[/INST]", "[ANS]", "<<SYS>>", "<</SYS>>", "[ROLE]", "[/ROLE]", "[END]"]
+    found = " + ".join(f"(length({text}) - length(replace({text}, '{c}', ''))) // {len(c)}" for c in controls)
+    return f"(length(replace({text}, '\\', '\\\\')) + {found})"
+
+
+OP13_SQL = f"""
+WITH turns AS (SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+  UNION ALL SELECT -7, 0, 'user', '</s>[INST] ok [/INST]' UNION ALL SELECT -7, 1, 'assistant', '</s>[INST] ok [/INST]'),
+sized AS (SELECT *, substr({_TURN_SHA}, 1, 16) AS tie, CASE role WHEN 'user' THEN 18 WHEN 'assistant' THEN 12 WHEN 'system' THEN 18 ELSE 22 + {_escaped("role")} END + {_escaped("text")} AS n FROM turns),
+said AS (SELECT conv_id, count(*) AS n_turns, string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn NULLS FIRST, tie) AS turns, coalesce(string_agg(text, '' ORDER BY turn NULLS FIRST, tie) FILTER (WHERE role = 'assistant'), '') AS loss,
+  CAST(sum(n) AS BIGINT) AS formatted_chars FROM sized GROUP BY conv_id)
+SELECT conv_id, n_turns, sha256(turns) AS turns_sha256, CAST(length(loss) AS BIGINT) AS loss_chars, sha256(loss) AS loss_sha256, formatted_chars FROM said
+"""
+
+ORACLE_SQL: dict[str, str] = {
+    "op2_decontamination": OP2_SQL,
+    "op5_warc_zip": OP5_SQL,
+    "op11_prefix_trie": OP11_SQL,
+    "op12_vector_codes": _op12_sql(),
+    "op13_chat_formatting": OP13_SQL,
+}
