@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from harrow.functions.text import decode, without_line_end
+from harrow.functions.text import decode, member_name, without_line_end
 
 #: White space as a Unicode-aware engine without these four control characters lacks it.
 _S, _NOT_S = r"[\s\x1c-\x1f]", r"[^\s\x1c-\x1f]"
@@ -19,6 +19,12 @@ def lines_of(members: DataFrame, body: str = "body", keep: tuple[str, ...] = ("p
     return nonblank(exploded.withColumn("line_no", F.col("line_no").cast("long")))
 
 
+def lines_read(lines: DataFrame) -> DataFrame:
+    """path, member_idx, report_name, source_file, line_no and line of the log members' non-blank lines, as the archive reader gives lines."""
+    logs = lines.filter("kind = 'log' and line_no >= 0")
+    return nonblank(logs.select("path", "member_idx", "report_name", member_name(F.col("name")).alias("source_file"), "line_no", "line"))
+
+
 def nonblank(lines: DataFrame) -> DataFrame:
     """Lines that are not empty once their end is cut off; white space alone is kept."""
     return lines.withColumn("line", without_line_end(F.col("line"))).filter("line <> ''")

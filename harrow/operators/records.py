@@ -19,3 +19,9 @@ def assembled(parsed_lines: DataFrame, member: tuple[str, ...] = MEMBER) -> Data
     texts = F.transform(F.array_sort(F.collect_list(F.struct("line_no", "text"))), lambda x: x["text"])
     grouped = numbered.groupBy(*member, "rec").agg(F.max("timestamp").alias("timestamp"), F.max("pid").alias("pid"), F.max("level").alias("level"), F.max("module").alias("module"), F.array_join(texts, "\n").alias("message"))
     return grouped.withColumn("level", F.coalesce("level", F.lit("UNKNOWN"))).withColumn("module", F.coalesce("module", F.lit("unknown")))
+
+
+def record_counts(parsed_lines: DataFrame, member: tuple[str, ...] = MEMBER) -> DataFrame:
+    """member and n_rows: how many records assembled() makes, from header flags alone (one more if the first line is none)."""
+    counted = parsed_lines.groupBy(*member).agg(F.count_if("is_header").alias("headers"), F.min_by("is_header", "line_no").alias("begins"))
+    return counted.select(*member, (F.col("headers") + (~F.col("begins")).cast("long")).alias("n_rows"))

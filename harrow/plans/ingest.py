@@ -1,113 +1,118 @@
-"""The ingest job: archives to the two tables. Run it with spark-submit, or call ingest()."""
+"""The ingest job: archives to published tables. Run it with spark-submit, or call ingest()."""
 
 from __future__ import annotations
 
 import argparse
-import json
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
-from harrow.functions.text import member_name
-from harrow.operators.lines import lines_of
-from harrow.operators.members import size_limit
-from harrow.operators.stats import ingest_stats
-from harrow.plans.tables import os_commands, os_logs
-from harrow.sources.archives import list_archives, read_members
-from harrow.sources.files import files_below, locate
+from harrow.operators.lines import lines_read
+from harrow.operators.members import DEFAULT_MB, size_limit
+from harrow.operators.stats import Counts, ingest_stats, stats_of
+from harrow.plans.publish import Tables
+from harrow.plans.tables import os_commands, os_logs, quarantined
+from harrow.schemas import COUNTERS, OS_COMMANDS, OS_LOGS, QUARANTINE
+from harrow.sources.archives import LINES, TASK_BYTES, ArchiveError, Scan, listed, read_archives
+from harrow.sources.files import absolute
 
+#: Where reports lie if nothing is said, and the largest member in MB if the command line says nothing.
+DEFAULT_REPORTS, COMMAND_LINE_MB = "SOS_REPORTS", 10
+#: The tables of a target. Each run adds rows to some of them.
+SCHEMAS: dict[str, StructType] = {"os_logs": OS_LOGS, "os_commands": OS_COMMANDS, "os_quarantine": QUARANTINE, "ingest_counters": COUNTERS}
 
-def default_out(reports_dir: str) -> str:
-    parent = reports_dir.rstrip("/").rpartition("/")[0]
-    return f"{parent or '.'}/harrow_tables"
-
-
-def _finish(out: str, run: str) -> None:
-    """Move a run's files into the tables, from where it was left off: what the run's plan lists and is still in the run's folder.
 
-    With overwrite, what a table holds besides the run's files goes.
-    """
-    system, root = locate(out)
-    with system.open_input_file(f"{root}/_runs/{run}/plan.json") as f:
-        plan = json.loads(f.read())
-    for name, files in plan["tables"].items():
-        system.create_dir(f"{root}/{name}", recursive=True)
-        if plan["overwrite"]:
-            for path in files_below(f"{out}/{name}"):
-                if path.rsplit("/", 1)[-1] not in files:
-                    system.delete_file(path)
-        left = {p.rsplit("/", 1)[-1]: p for p in files_below(f"{out}/_runs/{run}/{name}")}
-        for file in files:
-            if file in left:
-                system.move(left[file], f"{root}/{name}/{file}")
-    system.delete_dir(f"{root}/_runs/{run}")
-
-
-def write_tables(spark: SparkSession, out: str, tables: dict[str, DataFrame], overwrite: bool = False) -> dict[str, DataFrame]:
-    """Append the frames to the Parquet tables of their names under out, all or none; returns them as written.
-
-    They are written aside first. Once all are, a plan of the run is written, and from then on the run counts: should moving the files
-    be interrupted, the next call finishes it. A run without a plan leaves nothing in the tables.
-    """
-    system, root = locate(out)
-    runs = {p.removeprefix(f"{root}/_runs/").split("/")[0] for p in files_below(f"{out}/_runs") if p.endswith("/plan.json")}
-    for run in sorted(runs):
-        _finish(out, run)
-    run = uuid.uuid4().hex
-    for name, df in tables.items():
-        df.write.parquet(f"{out}/_runs/{run}/{name}")
-    staged = {name: [p.rsplit("/", 1)[-1] for p in files_below(f"{out}/_runs/{run}/{name}") if p.endswith(".parquet")] for name in tables}
-    with system.open_output_stream(f"{root}/_runs/{run}/plan.part") as f:
-        f.write(json.dumps({"overwrite": overwrite, "tables": staged}).encode())
-    system.move(f"{root}/_runs/{run}/plan.part", f"{root}/_runs/{run}/plan.json")
-    _finish(out, run)
-    return {name: spark.read.schema(df.schema).parquet(*(f"{out}/{name}/{x}" for x in staged[name])) for name, df in tables.items()}
+def default_out(reports_dir: str) -> str:
+    """Beside the folder of reports."""
+    parent, slash, _ = reports_dir.rstrip("/").rpartition("/")
+    return f"{parent}/harrow_tables" if slash else "./harrow_tables"
 
 
 def ingest(
     spark: SparkSession,
-    reports_dir: str,
+    reports_dir: str | None = None,
     out: str | None = None,
     overwrite: bool = False,
-    max_mb: int | None = 25,
+    max_mb: int | None = DEFAULT_MB,
     fail_fast: bool = False,
     on_corrupt: str = "fail",
+    run: str | None = None,
+    database: str | None = None,
 ) -> DataFrame:
-    """Append (or with overwrite rebuild) os_logs and os_commands under out, and return the counters of this run, as written.
+    """Append (or with overwrite rebuild) the tables under out, and return the counters of this run.
+
+    run: the run's identity; one that is published already changes nothing. on_corrupt: "fail", or "quarantine" (also "skip"): unreadable
+    archives are listed in os_quarantine and counted, and what could be read of them is kept. database: also declare the
+    tables there, in Spark's catalogue.
+    """
+    reports_dir = absolute(reports_dir or DEFAULT_REPORTS)
+    tables = Tables(spark, absolute(out) if out else default_out(reports_dir))
+    run = run or uuid.uuid4().hex
+    if run not in tables.version()["runs"] and not ingest_archives(tables, listed(spark, reports_dir), run, overwrite, max_mb, fail_fast, on_corrupt):
+        raise ArchiveError(f"no archives in {reports_dir}")
+    if database:
+        tables.declare(SCHEMAS, database)
+    return spark.read.schema(COUNTERS).parquet(tables.folder(run, "ingest_counters"))
+
+
+def ingest_archives(tables: Tables, archives: DataFrame, run: str, overwrite: bool, max_mb: int | None, fail_fast: bool, on_corrupt: str) -> int:
+    """ingest() of the archives (path, bytes); returns how many there were, and publishes nothing if there were none.
 
-    Members are decoded once, into a table under out that the two tables and the counters read; counters of rows come from the rows
-    written, so nothing is parsed twice and later runs don't change them.
+    Archives are decoded once, into a table of lines that logs and commands are made of and that goes afterwards. All counters are metrics
+    taken while rows are written.
     """
-    out = (out or default_out(reports_dir)).rstrip("/")
-    return ingest_archives(spark, list_archives(reports_dir), out, overwrite, max_mb, fail_fast, on_corrupt)
-
-
-def ingest_archives(spark: SparkSession, paths: list[str], out: str, overwrite: bool, max_mb: int | None, fail_fast: bool, on_corrupt: str) -> DataFrame:
-    """ingest() of the archives at paths."""
-    system, root = locate(out)
-    run = f"_work/{uuid.uuid4().hex}"
-    found = read_members(spark, paths, size_limit(max_mb), on_corrupt=on_corrupt)
-    found.withColumn("source_file", member_name(F.col("name"))).write.parquet(f"{out}/{run}")
-    members = spark.read.parquet(f"{out}/{run}")
-    logs, commands = os_logs(lines_of(members.filter("kind = 'log'")), fail_fast), os_commands(members.filter("kind = 'command'"))
-    written = write_tables(spark, out, {"os_logs": logs, "os_commands": commands}, overwrite)
-    archives = spark.createDataFrame([(p.rsplit("/", 1)[-1],) for p in paths], "report_name string")
-    counters = ingest_stats(archives, members, *(written[t].select("report_name") for t in ("os_logs", "os_commands")))
-    counters.write.parquet(f"{out}/_counters/{run.rpartition('/')[2]}")
-    system.delete_dir(f"{root}/{run}")
-    return spark.read.schema(counters.schema).parquet(f"{out}/_counters/{run.rpartition('/')[2]}")
+    spark, work = tables.spark, f"{tables.out}/_work/{run}"
+    try:
+        found = Observation()
+        archives.select("path", "bytes").observe(found, F.count("*").alias("n"), F.coalesce(F.sum("bytes"), F.lit(0)).alias("bytes")).write.mode("overwrite").parquet(f"{work}/archives")
+        n, size = found.get["n"], found.get["bytes"]
+        if not n:
+            return 0
+        paths = spark.read.schema("path string, bytes long").parquet(f"{work}/archives")
+        scan = Scan(size_limit(max_mb), lines=True, on_corrupt="fail" if on_corrupt == "fail" else "quarantine")
+        read = read_archives(paths, scan, min(n, max(spark.sparkContext.defaultParallelism, -(-size // TASK_BYTES))))
+        counts = Counts(n)
+        is_member = lambda kind: (F.col("line_no") == -1) & (F.col("kind") == kind)
+        read = counts.of(read, log_files=is_member("log"), command_files=is_member("command"), corrupt_archives=is_member("corrupt"))
+        read.write.mode("overwrite").parquet(f"{work}/lines")
+        lines = spark.read.schema(LINES).parquet(f"{work}/lines")
+        logs = counts.of(os_logs(lines_read(lines), fail_fast), log_rows=F.lit(True))
+        commands = counts.of(os_commands(lines.filter("kind = 'command' and line_no >= 0"), F.col("line")), command_rows=F.lit(True))
+        made = {"os_logs": logs, "os_commands": commands}
+        for name, df in made.items():
+            df.write.mode("overwrite").parquet(tables.folder(run, name))
+        per_archive = counts.per_report()
+        if per_archive is None:  # more archives than metrics hold apart: counted from what was written
+            members = lines.filter("line_no = -1")
+            rows = (spark.read.schema(SCHEMAS[t]).parquet(tables.folder(run, t)).select("report_name") for t in made)
+            stats = ingest_stats(paths.select(F.substring_index("path", "/", -1).alias("report_name")), members, *rows)
+        else:
+            stats = stats_of(paths, per_archive)
+        stats.write.mode("overwrite").parquet(tables.folder(run, "ingest_counters"))
+        names = [*made, "ingest_counters"]
+        if counts.total("corrupt_archives"):
+            quarantined(lines).write.mode("overwrite").parquet(tables.folder(run, "os_quarantine"))
+            names.append("os_quarantine")
+        tables.publish(run, names, overwrite)
+        return n
+    finally:
+        tables.files.delete(work)
 
 
 def main(arguments: list[str] | None = None) -> None:
-    parser = argparse.ArgumentParser(description="Ingest diagnostic archives into two Parquet tables")
-    parser.add_argument("--reports-dir", required=True)
-    parser.add_argument("--out")
-    parser.add_argument("--clear-existing", action="store_true")
-    parser.add_argument("--max-file-size-mb", type=int, default=10)
+    parser = argparse.ArgumentParser(description="Ingest diagnostic archives into published Parquet tables")
+    parser.add_argument("--reports-dir", default=DEFAULT_REPORTS, help="folder with .tar.xz archives")
+    parser.add_argument("--out", help="target folder; beside the reports if not given")
+    parser.add_argument("--clear-existing", action="store_true", help="rebuild the tables from this run alone")
+    parser.add_argument("--max-file-size-mb", type=int, default=COMMAND_LINE_MB, help="larger members are skipped")
+    parser.add_argument("--fail-fast", action="store_true", help="impossible timestamps and process ids fail the job")
+    parser.add_argument("--on-corrupt", choices=["fail", "quarantine"], default="fail", help="what unreadable archives do")
+    parser.add_argument("--database", help="declare the tables in this database of Spark's catalogue")
     a = parser.parse_args(arguments)
     spark = SparkSession.builder.appName("ingest").getOrCreate()
-    ingest(spark, a.reports_dir, a.out, a.clear_existing, a.max_file_size_mb).show(100, truncate=False)
+    ingest(spark, a.reports_dir, a.out, a.clear_existing, a.max_file_size_mb, a.fail_fast, a.on_corrupt, None, a.database).show(100, truncate=False)
 
 
 if __name__ == "__main__":

@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from harrow.functions.rules import enrich
-from harrow.functions.text import base_name, decode
+from harrow.functions.text import base_name, decode, member_name
 from harrow.operators.lines import parsed
 from harrow.operators.records import assembled
 from harrow.schemas import OS_COMMANDS, OS_LOGS, VERSION
@@ -18,7 +18,16 @@ def os_logs(lines: DataFrame, fail_fast: bool = False) -> DataFrame:
     return enrich(records, "module").withColumn("rhosp_version", F.lit(VERSION)).select(OS_LOGS.names)
 
 
-def os_commands(members: DataFrame) -> DataFrame:
-    """The command table of members (report_name, source_file, body)."""
-    named = members.select("report_name", "source_file", F.col("source_file").alias("source"), base_name(F.col("source_file")).alias("command"), F.coalesce(decode(F.col("body")), F.lit("")).alias("output"))
+def os_commands(members: DataFrame, output: Column | None = None) -> DataFrame:
+    """The command table of members (report_name, source_file or name, and output or else body)."""
+    if "source_file" not in members.columns:
+        members = members.withColumn("source_file", member_name(F.col("name")))
+    text = decode(F.col("body")) if output is None else output
+    source = F.col("source_file")
+    named = members.select("report_name", source, source.alias("source"), base_name(source).alias("command"), F.coalesce(text, F.lit("")).alias("output"))
     return enrich(named, "command").withColumn("rhosp_version", F.lit(VERSION)).select(OS_COMMANDS.names)
+
+
+def quarantined(lines: DataFrame) -> DataFrame:
+    """The archives that couldn't be read to their end, and why."""
+    return lines.filter("kind = 'corrupt'").select("path", "report_name", F.col("name").alias("error"), F.col("line").alias("message"))

@@ -11,17 +11,21 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from harrow.functions import rules
 from harrow.functions.text import member_name
 from harrow.operators import lines as L
 from harrow.operators import members as M
-from harrow.operators.records import assembled
+from harrow.operators.records import assembled, record_counts
 from harrow.operators.stats import ingest_stats
 from harrow.plans import tables as T
-from harrow.plans.ingest import ingest, write_tables
-from harrow.schemas import OS_COMMANDS, OS_LOGS
-from harrow.sources.archives import list_archives, read_members, write_archives
+from harrow.plans.ingest import ingest
+from harrow.plans.publish import Tables
+from harrow.schemas import OS_COMMANDS, OS_LOGS, QUARANTINE
+from harrow.sources.archives import FORMAT, LINES, register, write_archives
+from harrow.sources.files import DriverFiles
+from harrow.streaming.arrivals import ingest_arrivals
 
 LIMIT = M.size_limit(None)
 MODULES = "nova.compute.manager cinder.volume.manager ovn-controller keystone.auth neutron.agent oslo.service glance.api placement.wsgi swift.proxy heat.engine horizon.ui ironic.conductor manila.share octavia.worker barbican.api ceilometer.agent gnocchi.metricd aodh.evaluator tripleo.deploy podman.events director.ui openvswitch.db my.module containerd.shim".split()
@@ -100,32 +104,87 @@ def _archives(spark: SparkSession, sf_dir: str) -> str:
     return out
 
 
-def _archived(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Those archives, read back."""
-    return read_members(spark, list_archives(_archives(spark, sf_dir)), M.size_limit(None), every=True)
+def _archived(spark: SparkSession, sf_dir: str, columns: str, **options: str) -> DataFrame:
+    """Columns of those archives, read back by the data source."""
+    register(spark)
+    return spark.read.format(FORMAT).options(**options).schema(columns).load(_archives(spark, sf_dir))
 
 
 def archive_listing(spark, sf_dir):
-    return _archived(spark, sf_dir).groupBy("report_name").agg(F.count("*").alias("n_members"), F.sum("size").alias("n_bytes"))
+    """Bodies aren't asked for, so they stay in the archives."""
+    found = _archived(spark, sf_dir, "report_name string, size long", every="true")
+    return found.groupBy("report_name").agg(F.count("*").alias("n_members"), F.sum("size").alias("n_bytes"))
 
 
 def archive_lines(spark, sf_dir):
-    found = _archived(spark, sf_dir).withColumn("source_file", member_name(F.col("name"))).filter("kind = 'log'")
-    return found.select("report_name", "source_file", F.size(F.split(F.make_valid_utf8(F.col("body").cast("string")), "\n")).cast("long").alias("n_lines"))
+    found = _archived(spark, sf_dir, "report_name string, name string, kind string, body binary").filter("kind = 'log'")
+    n_lines = F.size(F.split(F.make_valid_utf8(F.col("body").cast("string")), "\n")).cast("long")
+    return found.select("report_name", member_name(F.col("name")).alias("source_file"), n_lines.alias("n_lines"))
 
 
 def archive_text_lines(spark, sf_dir):
-    """Non-blank lines of the archives' log members."""
-    found = _archived(spark, sf_dir).withColumn("source_file", member_name(F.col("name"))).filter("kind = 'log'")
-    return L.lines_of(found).groupBy("report_name", "source_file").agg(F.count("*").alias("n_lines"), F.sum(F.length("line")).alias("n_chars"))
+    """Non-blank lines of the archives' log members, as the reader's decoder gives them."""
+    found = L.lines_read(_archived(spark, sf_dir, LINES, content="lines"))
+    return found.groupBy("report_name", "source_file").agg(F.count("*").alias("n_lines"), F.sum(F.length("line")).alias("n_chars"))
+
+
+def _reports(spark: SparkSession, sf_dir: str, kinds: tuple[str, ...] = ("report", "docs")) -> str:
+    """A folder with archives of the derived log files (report-...) and of documents as members (docs-...)."""
+    where = F.when(F.col("member_idx") % 4 == 0, PREFIXES[0]).when(F.col("member_idx") % 4 == 1, PREFIXES[1]).when(F.col("member_idx") % 4 == 2, PREFIXES[2]).otherwise(PREFIXES[3])
+    lines = log_lines(spark, sf_dir).select(
+        F.concat(F.replace("report_name", F.lit(".tar.xz"), F.lit("-")), F.split_part("path", F.lit("-"), F.lit(2)), F.lit(".tar.xz")).alias("report_name"),
+        F.concat(where, F.lit("m"), F.col("member_idx").cast("string"), F.lit("/"), "source_file").alias("name"), "line_no", "line",
+    )
+    texts = F.transform(F.array_sort(F.collect_list(F.struct("line_no", "line"))), lambda x: x["line"])
+    logs = lines.groupBy("report_name", "name").agg(F.array_join(texts, "\n").alias("body"), F.min("line_no").alias("rank"))
+    docs = members(spark, sf_dir).select(
+        F.concat(F.lit("docs-"), F.expr("doc_id div 200").cast("string"), F.lit(".tar.xz")).alias("report_name"),
+        F.concat(F.lit("d"), F.col("doc_id").cast("string"), F.lit("/"), "name").alias("name"), F.col("text").alias("body"), F.col("doc_id").alias("rank"),
+    )
+    out = shared(spark) + "/reports"
+    write_archives(logs.unionByName(docs), out).write.parquet(out + "-written")
+    return out
 
 
 def ingest_job(spark, sf_dir):
-    """Counters of the ingest of those archives into tables."""
-    folder = _archives(spark, sf_dir)
+    """Counters of the ingest of reports with log files and command captures into tables."""
+    folder = _reports(spark, sf_dir)
     return ingest(spark, folder, folder + "-tables")
 
 
+def _ingested(spark: SparkSession, sf_dir: str, name: str, schema: StructType) -> DataFrame:
+    folder = _reports(spark, sf_dir)
+    ingest(spark, folder, folder + "-tables")
+    return Tables(spark, folder + "-tables").read(name, schema)
+
+
+def ingested_logs(spark, sf_dir):
+    """The log table as that ingest has published it."""
+    return _ingested(spark, sf_dir, "os_logs", OS_LOGS)
+
+
+def ingested_commands(spark, sf_dir):
+    return _ingested(spark, sf_dir, "os_commands", OS_COMMANDS)
+
+
+def shared_target(spark, sf_dir):
+    """Rows of one target that the job and two runs of the stream have written, beside a broken archive that the stream puts aside."""
+    folder = _reports(spark, sf_dir)
+    out = folder + "-tables"
+    ingest(spark, folder, out)
+    files = DriverFiles(spark)
+    files.create_new(f"{folder}-more/broken.tar.xz", b"broken")
+    for name in files.names(folder):
+        if name.startswith("docs-"):
+            files.create_new(f"{folder}-more/{name}", files.read(f"{folder}/{name}"))
+    for _ in range(2):
+        ingest_arrivals(spark, folder + "-more", out, folder + "-checkpoint").awaitTermination()
+    tables = Tables(spark, out)
+    parts = (("os_logs", OS_LOGS), ("os_commands", OS_COMMANDS), ("os_quarantine", QUARANTINE))
+    rows = [tables.read(t, schema).select(F.lit(t).alias("table_name"), "report_name") for t, schema in parts]
+    return rows[0].unionByName(rows[1]).unionByName(rows[2]).groupBy("table_name", "report_name").agg(F.count("*").alias("n"))
+
+
 def member_names(spark, sf_dir):
     return members(spark, sf_dir).select("doc_id", "name", member_name(F.col("name")).alias("source_file"))
 
@@ -205,7 +264,8 @@ def rule_tokens(spark, sf_dir):
 
 def ingest_counters(spark, sf_dir):
     every = members(spark, sf_dir)
-    return ingest_stats(every.select("report_name").distinct(), M.routed(every, LIMIT), T.os_logs(_kept(spark, sf_dir)), os_commands(spark, sf_dir))
+    routed = M.routed(every, LIMIT)
+    return ingest_stats(every.select("report_name").distinct(), routed, record_counts(L.parsed(_kept(spark, sf_dir))), routed.filter("kind = 'command'"))
 
 
 def latest_per_module(spark, sf_dir):
@@ -230,25 +290,27 @@ def table_columns(spark, sf_dir):
 
 
 def append_overwrite(spark, sf_dir):
-    """Rows of a written log table after a write, an append and a rebuild."""
-    logs, out = os_logs(spark, sf_dir), shared(spark)
-    counts = []
-    for step, overwrite in (("write", False), ("append", False), ("rebuild", True)):
-        write_tables(spark, out, {"os_logs": logs}, overwrite)
-        counts.append(spark.read.parquet(f"{out}/os_logs").agg(F.lit(step).alias("step"), F.count("*").alias("n")).first())
+    """Rows of a published log table after a write, an append, a repeated append and a rebuild."""
+    logs, tables, counts = os_logs(spark, sf_dir), Tables(spark, shared(spark)), []
+    for step, run, overwrite in (("write", "a", False), ("append", "b", False), ("repeat", "b", False), ("rebuild", "c", True)):
+        tables.write(run, {"os_logs": logs}, overwrite)
+        counts.append(tables.read("os_logs", OS_LOGS).agg(F.lit(step).alias("step"), F.count("*").alias("n")).first())
     return spark.createDataFrame(counts, "step string, n long")
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
-        archive_listing, archive_lines, archive_text_lines, ingest_job, member_names, member_routing, nonblank_lines, parsed_lines, parsed_timestamps, levels, service_classes, row_tags, assembled_records,
-        orphan_records, os_logs, os_commands, rule_tokens, ingest_counters, latest_per_module, module_counts, command_like, table_columns, append_overwrite,
+        archive_listing, archive_lines, archive_text_lines, ingest_job, ingested_logs, ingested_commands, shared_target,
+        member_names, member_routing, nonblank_lines, parsed_lines, parsed_timestamps, levels, service_classes, row_tags,
+        assembled_records, orphan_records, os_logs, os_commands, rule_tokens, ingest_counters, latest_per_module, module_counts,
+        command_like, table_columns, append_overwrite,
     )
 }
 
 # -- The same in SQL -----------------------------------------------------------------------------------------------
 
+#: Fixed value, spelled here for itself.
 _HEADER = r"^(\d{4}-\d{2}-\d{2}[ T]\d{2}:\d{2}:\d{2}[.,]\d{3,6})\s+(\d+)\s+(DEBUG|INFO|WARNING|WARN|ERROR|CRITICAL|TRACE)\s+(\S+)\s+(?:\[[^\]]*\]\s+)?(.*)$"
 
 
@@ -275,25 +337,41 @@ def _enriched(source: str, module: str, columns: str) -> str:
 
 
 _LINES = f"lines AS (SELECT * FROM ({_lines(True)}) WHERE line <> '')"
-_PARSED = f"""{_LINES}, parsed AS (SELECT *, CASE WHEN is_header THEN regexp_extract(line, '{_HEADER}', 1) END AS ts_text, CASE WHEN is_header THEN CAST(regexp_extract(line, '{_HEADER}', 2) AS INTEGER) END AS pid,
+_PARSE = f"""parsed AS (SELECT *, CASE WHEN is_header THEN regexp_extract(line, '{_HEADER}', 1) END AS ts_text, CASE WHEN is_header THEN CAST(regexp_extract(line, '{_HEADER}', 2) AS INTEGER) END AS pid,
   CASE WHEN is_header THEN replace(regexp_extract(line, '{_HEADER}', 3) || '|', 'WARN|', 'WARNING|') END AS level_bar, CASE WHEN is_header THEN regexp_extract(line, '{_HEADER}', 4) END AS module,
   CASE WHEN is_header THEN regexp_extract(line, '{_HEADER}', 5) ELSE line END AS text FROM (SELECT *, regexp_matches(line, '{_HEADER}') AS is_header FROM lines)),
 stamped AS (SELECT *, rtrim(level_bar, '|') AS level, CAST(replace(replace(ts_text, 'T', ' '), ',', '.') AS TIMESTAMP) AS "timestamp" FROM parsed)"""
-_RECORDS = f"""{_PARSED}, records AS (SELECT path, member_idx, report_name, source_file, rec, max("timestamp") AS "timestamp", max(pid) AS pid, coalesce(max(level), 'UNKNOWN') AS level, coalesce(max(module), 'unknown') AS module,
+_RECORD = f"""records AS (SELECT path, member_idx, report_name, source_file, rec, max("timestamp") AS "timestamp", max(pid) AS pid, coalesce(max(level), 'UNKNOWN') AS level, coalesce(max(module), 'unknown') AS module,
   string_agg(text, chr(10) ORDER BY line_no) AS message FROM (SELECT *, CAST(sum(CAST(is_header AS INTEGER)) OVER (PARTITION BY path, member_idx, report_name, source_file ORDER BY line_no ROWS UNBOUNDED PRECEDING) AS BIGINT) AS rec FROM stamped)
   GROUP BY path, member_idx, report_name, source_file, rec)"""
-_LOGS = f"""{_RECORDS}, logs AS (SELECT "timestamp", pid, level, module, message, service, category, source_file, report_name, tags, '17.x' AS rhosp_version FROM {_enriched('records', 'module', '*')})"""
-_ROUTED = f"""named AS (SELECT *, ltrim(replace(name, '\\', '/'), './') AS source_file FROM ({_members(True)})),
-routed AS (SELECT * FROM (SELECT *, CASE WHEN NOT is_reg OR size <= 0 OR size > {LIMIT} THEN NULL
+_LOG = f"""logs AS (SELECT "timestamp", pid, level, module, message, service, category, source_file, report_name, tags, '17.x' AS rhosp_version FROM {_enriched('records', 'module', '*')})"""
+_PARSED = f"{_LINES}, {_PARSE}"
+_RECORDS = f"{_PARSED}, {_RECORD}"
+_LOGS = f"{_RECORDS}, {_LOG}"
+_ROUTE = f"""routed AS (SELECT * FROM (SELECT *, CASE WHEN NOT is_reg OR size <= 0 OR size > {LIMIT} THEN NULL
   WHEN regexp_matches(lower(source_file), '\\.(log|txt|out|err)$') AND contains('/' || lower(source_file), '/var/log/') AND NOT regexp_matches(lower(source_file), '/httpd/|access\\.log|_error\\.log') AND regexp_matches(lower(source_file), 'nova|cinder|ovn|openvswitch|ovs|neutron') THEN 'log'
   WHEN contains(lower(source_file), 'sos_commands/') AND {_any('lower(source_file)', _TOKENS)} THEN 'command' END AS kind FROM named) WHERE kind IS NOT NULL)"""
-_COMMANDS = f"""{_ROUTED}, commands AS (SELECT source_file AS source, command, output, service, category, source_file, report_name, tags, '17.x' AS rhosp_version
+_ROUTED = f"""named AS (SELECT *, ltrim(replace(name, '\\', '/'), './') AS source_file FROM ({_members(True)})), {_ROUTE}"""
+_COMMAND = f"""commands AS (SELECT source_file AS source, command, output, service, category, source_file, report_name, tags, '17.x' AS rhosp_version
   FROM {_enriched("routed WHERE kind = 'command'", 'command', "source_file, report_name, text AS output, regexp_extract(source_file, '[^/]*$') AS command")})"""
+_COMMANDS = f"{_ROUTED}, {_COMMAND}"
 _PAIRS = f"""{_PARSED}, {_ROUTED}, pairs AS (SELECT DISTINCT module, source_file FROM (SELECT module, source_file FROM parsed WHERE is_header UNION ALL SELECT regexp_extract(name, '[^/]*$'), source_file FROM named))"""
 _STAMP = "strftime(\"timestamp\", '%Y-%m-%d %H:%M:%S.%f') AS stamp"
 _ARCHIVE = "'report-' || CAST(doc_id // 200 AS VARCHAR) || '.tar.xz'"
 
 
+#: Members of the reports that the ingest queries read, their lines, and the two tables.
+_REPORTS = f"""event_files AS (SELECT report_name, name, string_agg(line, chr(10) ORDER BY line_no) AS text FROM (
+  SELECT replace(report_name, '.tar.xz', '-') || split_part(path, '-', 2) || '.tar.xz' AS report_name, {_pick(PREFIXES, 'member_idx % 4', True)} || 'm' || CAST(member_idx AS VARCHAR) || '/' || source_file AS name, line_no, line
+  FROM ({_lines(True)})) GROUP BY report_name, name),
+files AS (SELECT * FROM event_files UNION ALL SELECT 'docs-' || CAST(doc_id // 200 AS VARCHAR) || '.tar.xz', 'd' || CAST(doc_id AS VARCHAR) || '/' || name, text FROM ({_members(True)})),
+named AS (SELECT *, report_name || name AS path, ltrim(replace(name, '\\', '/'), './') AS source_file, strlen(text) AS size, true AS is_reg FROM files), {_ROUTE},
+lines AS (SELECT path, 0 AS member_idx, report_name, source_file, line_no, line FROM (SELECT path, report_name, source_file, i AS line_no, regexp_replace(list_extract(parts, i), '[\\r\\n]+$', '') AS line
+  FROM (SELECT *, string_split(text, chr(10)) AS parts FROM routed WHERE kind = 'log'), unnest(range(1, len(parts) + 1)) AS r(i)) WHERE line <> ''),
+{_PARSE}, {_RECORD}, {_LOG}, {_COMMAND}"""
+_COUNTERS = "CAST(sum(a) AS BIGINT) AS archives, CAST(sum(b) AS BIGINT) AS log_files, CAST(sum(c) AS BIGINT) AS log_rows, CAST(sum(d) AS BIGINT) AS command_files, CAST(sum(e) AS BIGINT) AS command_rows, CAST(0 AS BIGINT) AS corrupt_archives"
+
+
 def _columns(table: str, names: list[str]) -> str:
     return " UNION ALL ".join(f"SELECT '{table}' AS table_name, '{n}' AS column_name, count(\"{n}\") AS n FROM {table.removeprefix('os_')}" for n in names)
 
@@ -304,9 +382,12 @@ ORACLE_SQL: dict[str, str] = {
     "archive_text_lines": f"""SELECT report_name, source_file, count(*) AS n_lines, CAST(sum(length(line)) AS BIGINT) AS n_chars FROM (
       SELECT {_ARCHIVE} AS report_name, 'var/log/nova/doc-' || CAST(doc_id AS VARCHAR) || '.log' AS source_file, regexp_replace(unnest(string_split(text, chr(10))), '[\\r\\n]+$', '') AS line
       FROM documents WHERE text <> '') WHERE line <> '' GROUP BY report_name, source_file""",
-    "ingest_job": f"""SELECT report_name, CAST(count(DISTINCT report_name) AS BIGINT) AS archives, CAST(sum(CAST(text <> '' AS INTEGER)) AS BIGINT) AS log_files,
-      CAST(sum(CAST(regexp_matches(text, '[^\\r\\n]') AS INTEGER)) AS BIGINT) AS log_rows, CAST(0 AS BIGINT) AS command_files, CAST(0 AS BIGINT) AS command_rows, CAST(0 AS BIGINT) AS corrupt_archives
-      FROM (SELECT {_ARCHIVE} AS report_name, coalesce(text, '') AS text FROM documents) GROUP BY ROLLUP (report_name)""",
+    "ingest_job": f"""WITH {_REPORTS}, rows AS (SELECT DISTINCT report_name, 1 AS a, 0 AS b, 0 AS c, 0 AS d, 0 AS e FROM files UNION ALL SELECT report_name, 0, CAST(kind = 'log' AS INTEGER), 0, CAST(kind = 'command' AS INTEGER), 0 FROM routed
+      UNION ALL SELECT report_name, 0, 0, 1, 0, 0 FROM logs UNION ALL SELECT report_name, 0, 0, 0, 0, 1 FROM commands) SELECT report_name, {_COUNTERS} FROM rows GROUP BY ROLLUP (report_name)""",
+    "ingested_logs": f"WITH {_REPORTS} SELECT * FROM logs",
+    "ingested_commands": f"WITH {_REPORTS} SELECT * FROM commands",
+    "shared_target": f"""WITH {_REPORTS} SELECT 'os_logs' AS table_name, report_name, CASE WHEN report_name LIKE 'docs-%' THEN 2 ELSE 1 END * count(*) AS n FROM logs GROUP BY report_name
+      UNION ALL SELECT 'os_commands', report_name, CASE WHEN report_name LIKE 'docs-%' THEN 2 ELSE 1 END * count(*) FROM commands GROUP BY report_name UNION ALL SELECT 'os_quarantine', 'broken.tar.xz', 1""",
     "member_names": f"SELECT doc_id, name, ltrim(replace(name, '\\', '/'), './') AS source_file FROM ({_members(True)})",
     "member_routing": f"WITH {_ROUTED} SELECT doc_id, report_name, source_file, size, kind FROM routed",
     "nonblank_lines": f"WITH {_LINES} SELECT path, line_no, line FROM lines",
@@ -322,10 +403,10 @@ ORACLE_SQL: dict[str, str] = {
     "rule_tokens": f"WITH {_ROUTED}, tokens AS (SELECT unnest([{', '.join(repr(t) for t in _TOKENS)}]) AS token), bases AS (SELECT lower(regexp_extract(name, '[^/]*$')) AS base, count(*) AS n FROM named GROUP BY 1) SELECT token, CAST(coalesce(sum(n), 0) AS BIGINT) AS n_members FROM tokens LEFT JOIN bases ON contains(base, token) GROUP BY token",
     "ingest_counters": f"""WITH {_LOGS}, {_COMMANDS}, rows AS (SELECT DISTINCT report_name, 1 AS a, 0 AS b, 0 AS c, 0 AS d, 0 AS e FROM named UNION ALL SELECT report_name, 0, CAST(kind = 'log' AS INTEGER), 0, CAST(kind = 'command' AS INTEGER), 0 FROM routed
       UNION ALL SELECT report_name, 0, 0, 1, 0, 0 FROM logs UNION ALL SELECT report_name, 0, 0, 0, 0, 1 FROM commands)
-      SELECT report_name, CAST(sum(a) AS BIGINT) AS archives, CAST(sum(b) AS BIGINT) AS log_files, CAST(sum(c) AS BIGINT) AS log_rows, CAST(sum(d) AS BIGINT) AS command_files, CAST(sum(e) AS BIGINT) AS command_rows, CAST(0 AS BIGINT) AS corrupt_archives FROM rows GROUP BY ROLLUP (report_name)""",
+      SELECT report_name, {_COUNTERS} FROM rows GROUP BY ROLLUP (report_name)""",
     "latest_per_module": f"WITH {_LOGS} SELECT {_STAMP}, message FROM logs WHERE module = 'nova.compute.manager' ORDER BY \"timestamp\" DESC, message LIMIT 1",
     "module_counts": f"WITH {_LOGS} SELECT module, count(*) AS n FROM logs GROUP BY module",
     "command_like": f"WITH {_COMMANDS} SELECT source, report_name, CAST(length(output) AS BIGINT) AS n_chars FROM commands WHERE source LIKE '%podman_ps%' ORDER BY source, report_name, output LIMIT 1",
     "table_columns": f"WITH {_LOGS}, {_COMMANDS} {_columns('os_logs', OS_LOGS.names)} UNION ALL {_columns('os_commands', OS_COMMANDS.names)}",
-    "append_overwrite": f"WITH {_LOGS} SELECT 'write' AS step, count(*) AS n FROM logs UNION ALL SELECT 'append', 2 * count(*) FROM logs UNION ALL SELECT 'rebuild', count(*) FROM logs",
+    "append_overwrite": f"WITH {_LOGS} SELECT 'write' AS step, count(*) AS n FROM logs UNION ALL SELECT 'append', 2 * count(*) FROM logs UNION ALL SELECT 'repeat', 2 * count(*) FROM logs UNION ALL SELECT 'rebuild', count(*) FROM logs",
 }

@@ -11,12 +11,17 @@ from harrow.functions import rules
 from harrow.functions.text import member_name
 from harrow.operators import lines as L
 from harrow.operators import members as M
-from harrow.plans.ingest import ingest
+from harrow.plans.ingest import SCHEMAS, ingest
+from harrow.plans.publish import Tables
 from harrow.sources.archives import ArchiveError
 
 HEAD = "2026-07-09 11:27:48.123 45672 "
 
 
+def read(spark, out, name):
+    return Tables(spark, out).read(name, SCHEMAS[name])
+
+
 def put(path, files):
     path.parent.mkdir(parents=True, exist_ok=True)
     with tarfile.open(path, "w:xz") as t:
@@ -57,8 +62,53 @@ def test_routes_agree(spark):
     assert (M.size_limit(None), M.size_limit(0), M.size_limit(-1)) == (25 << 20, 1 << 20, 1 << 20)
 
 
-def test_rule_tokens():
-    assert len(rules.log_tokens()) == 23 and len(rules.command_tokens()) == 30
+#: Fixed values, spelled for themselves: a token, and the service and category that it gives.
+CLASSES = """nova nova compute
+cinder cinder storage
+ovn ovn networking
+openvswitch ovn networking
+ovs ovn networking
+neutron neutron networking
+keystone keystone identity
+glance glance image
+placement placement placement
+swift swift object-storage
+heat heat orchestration
+horizon horizon dashboard
+ironic ironic baremetal
+manila manila shared-filesystems
+octavia octavia load-balancing
+barbican barbican key-management
+ceilometer ceilometer telemetry
+gnocchi gnocchi telemetry
+aodh aodh telemetry
+tripleo tripleo deployment
+director tripleo deployment
+podman podman container-runtime
+container podman container-runtime"""
+COMMAND_TOKENS = ["ip_", "ip-", "ip.", "hostname", "systemctl", "ss_", "ss-"]
+
+
+def test_each_rule_and_token(spark):
+    expected = [x.split() for x in CLASSES.split("\n")]
+    df = spark.createDataFrame([(f"X.{t.upper()}.y", "z/q") for t, _, _ in expected] + [("else", "q")], "module string, source_file string")
+    assert [(r.service, r.category) for r in rules.enrich(df, "module").collect()] == [(s, c) for _, s, c in expected] + [("unknown", "unknown")]
+    assert rules.command_tokens() == sorted(t for t, _, _ in expected) + COMMAND_TOKENS
+    for token in [t for t, _, _ in expected] + COMMAND_TOKENS:
+        assert M.route_name(f"sos_commands/{token}", 1, True, 9) == "command"
+    # of several rules the first decides, wherever its token stands
+    both = [(a[0], b[0], min(i, j)) for i, a in enumerate(expected) for j, b in enumerate(expected)]
+    got = rules.enrich(spark.createDataFrame([x[:2] for x in both], "module string, source_file string"), "module").collect()
+    assert [(r.service, r.category) for r in got] == [tuple(expected[k][1:]) for _, _, k in both]
+
+
+def test_tags(spark):
+    rows = [("podman", "x"), ("ovn", "x"), ("networking", "x"), ("compute", "x"), ("storage", "x"), ("tripleo", "x"), ("swift", "x"), ("else", "x")]
+    got = [r.tags for r in rules.enrich(spark.createDataFrame(rows, "module string, source_file string"), "module").collect()]
+    assert got == [
+        "containerized,openstack,podman,rhosp17", "networking,openstack,ovn,rhosp17", "networking,openstack,rhosp17", "compute,openstack,rhosp17",
+        "openstack,rhosp17,storage", "openstack,rhosp17,tripleo", "openstack,rhosp17,storage,swift", "openstack,rhosp17",
+    ]
 
 
 def test_ingest_end_to_end(spark, tmp_path):
@@ -71,57 +121,33 @@ def test_ingest_end_to_end(spark, tmp_path):
     out = str(tmp_path / "out")
     stats = {r.report_name: r for r in ingest(spark, str(tmp_path / "in"), out).collect()}
     assert tuple(stats[None])[1:] == (2, 2, 3, 1, 1, 0) and tuple(stats["_b.tar.xz"])[1:] == (1, 0, 0, 0, 0, 0)
-    logs = {r.module: r for r in spark.read.parquet(out + "/os_logs").collect()}
+    logs = {r.module: r for r in read(spark, out, "os_logs").collect()}
     assert logs["unknown"].timestamp is None and logs["unknown"].level == "UNKNOWN" and logs["unknown"].message == "orphan"
     w = logs["ovn-controller"]
     assert w.level == "WARNING" and w.message == "lost\nTraceback (most recent call last):\n  \n  File x\nError: end"
     assert (w.service, w.category, w.tags) == ("nova", "compute", "compute,containerized,networking,nova,openstack,rhosp17")
-    c = spark.read.parquet(out + "/os_commands").first()
+    c = read(spark, out, "os_commands").first()
     assert c.command == "podman_ps" and c.output == "CONTAINER ID\n�" and c.service == "podman"
     first = ingest(spark, str(tmp_path / "in"), out)
-    assert spark.read.parquet(out + "/os_logs").count() == 6
+    assert read(spark, out, "os_logs").count() == 6
     ingest(spark, str(tmp_path / "in"), out, overwrite=True).collect()
-    assert spark.read.parquet(out + "/os_logs").count() == 3 and spark.read.parquet(out + "/os_commands").count() == 1
+    assert read(spark, out, "os_logs").count() == 3 and read(spark, out, "os_commands").count() == 1
     assert {r.report_name: r for r in first.collect()} == stats  # later runs don't change counters
 
 
-def test_a_broken_run_leaves_nothing_or_is_finished(spark, tmp_path, monkeypatch):
-    from harrow.plans import ingest as I
+def test_command_line_and_default_target(spark, tmp_path, capsys, monkeypatch):
+    from harrow.plans.ingest import default_out, main
 
-    out, rows = str(tmp_path / "t"), spark.range(5).select(F.col("id").cast("string").alias("x"))
-    broken = rows.select(F.when(F.col("x") == "3", F.raise_error(F.lit("broken"))).otherwise(F.col("x")).alias("x"))
-    with pytest.raises(Exception):  # noqa: B017
-        I.write_tables(spark, out, {"a": rows, "b": broken})
-    assert not (tmp_path / "t/a").exists()
-    finish = I._finish
-    monkeypatch.setattr(I, "_finish", lambda *_: 1 / 0)
-    with pytest.raises(ZeroDivisionError):
-        I.write_tables(spark, out, {"a": rows, "b": rows})
-    monkeypatch.setattr(I, "_finish", finish)
-    I.write_tables(spark, out, {"a": rows, "b": rows})
-    assert spark.read.parquet(out + "/a").count() == spark.read.parquet(out + "/b").count() == 10
-
-
-def test_command_line_and_default_target(spark, tmp_path, capsys):
-    from harrow.plans.ingest import main
-
-    put(tmp_path / "in/my report #1%20.tar.xz", [("var/log/nova/a.log", (HEAD + "INFO m x\n").encode())])
-    main(["--reports-dir", str(tmp_path / "in"), "--clear-existing"])
+    put(tmp_path / "SOS_REPORTS/my report #1%20.tar.xz", [("var/log/nova/a.log", (HEAD + "INFO m x\n").encode())])
+    (tmp_path / "SOS_REPORTS/bad.tar.xz").write_bytes(b"broken")
+    monkeypatch.chdir(tmp_path)
+    main(["--clear-existing", "--on-corrupt", "quarantine"])
     assert "my report #1%20.tar.xz" in capsys.readouterr().out
-    assert spark.read.parquet(str(tmp_path / "harrow_tables/os_logs")).first().report_name == "my report #1%20.tar.xz"
-
-
-def test_arrivals_once_each_with_odd_names(spark, tmp_path):
-    from harrow.streaming.arrivals import ingest_arrivals
-
-    def run():
-        ingest_arrivals(spark, str(tmp_path / "in"), str(tmp_path / "out"), str(tmp_path / "c")).awaitTermination()
-        return sorted(r.report_name for r in spark.read.parquet(str(tmp_path / "out/os_logs")).collect())
-
-    put(tmp_path / "in/my report.tar.xz", [("var/log/nova/a.log", (HEAD + "INFO m x\n").encode())])
-    assert run() == ["my report.tar.xz"]
-    put(tmp_path / "in/x/b.tar.xz", [("var/log/nova/b.log", (HEAD + "INFO m y\n").encode())])
-    assert run() == ["b.tar.xz", "my report.tar.xz"] and run() == ["b.tar.xz", "my report.tar.xz"]
+    assert read(spark, str(tmp_path / "harrow_tables"), "os_logs").first().report_name == "my report #1%20.tar.xz"
+    assert [default_out(x) for x in ("/in", "in", "a/in/", "s3://b/in")] == ["/harrow_tables", "./harrow_tables", "a/harrow_tables", "s3://b/harrow_tables"]
+    put(tmp_path / "t/x.tar.xz", [("var/log/nova/a.log", b"2026-13-01 00:00:00.000 1 INFO m x\n")])
+    with pytest.raises(Exception):  # noqa: B017
+        main(["--reports-dir", "t", "--out", "f", "--fail-fast"])
 
 
 def test_missing_empty_and_corrupt(spark, tmp_path):
