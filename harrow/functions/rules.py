@@ -40,30 +40,32 @@ def any_of(text: Column, tokens: list[str]) -> Column:
     return text.rlike("|".join(re.escape(t) for t in tokens))
 
 
-def classify(module: Column, source_file: Column) -> Column:
-    """struct(service, category) of the first rule that matches, or unknown."""
-    text = F.lower(F.concat_ws(" ", module, source_file))
-    chain = F
-    for service, category, tokens in RULES:
-        value = F.struct(F.lit(service).alias("service"), F.lit(category).alias("category"))
-        chain = chain.when(any_of(text, tokens), value)
-    return chain.otherwise(F.struct(F.lit("unknown").alias("service"), F.lit("unknown").alias("category")))
-
-
-def tags(service: Column, category: Column, module: Column, source_file: Column) -> Column:
-    """The sorted, comma-joined tag set."""
-    text = F.lower(F.concat_ws(" ", service, category, module, source_file))
-    parts = [F.lit("openstack"), F.lit("rhosp17"), *(F.when(any_of(text, ws), F.lit(tag)) for tag, ws in TAG_WORDS), F.when(service != "unknown", service)]
-    return F.array_join(F.array_sort(F.array_distinct(F.array_compact(F.array(*parts)))), ",")
+def _tag_set(rank: int, found: int) -> str:
+    """The sorted, comma-joined tags of a rule (or of none, rank len(RULES)), found having a bit for each of TAG_WORDS in module and source file."""
+    service, category = RULES[rank][:2] if rank < len(RULES) else ("unknown", "unknown")
+    tags = {"openstack", "rhosp17"} | ({service} if service != "unknown" else set())
+    for i, (tag, words) in enumerate(TAG_WORDS):
+        if found >> i & 1 or any(w in f"{service} {category}" for w in words):
+            tags.add(tag)
+    return ",".join(sorted(tags))
 
 
 def enrich(df: DataFrame, module: str, source_file: str = "source_file") -> DataFrame:
-    """df with service, category and tags.
+    """df with service, category (of the first rule with a token in module and source file, or unknown) and tags.
 
-    They depend on the pair alone, so within a plan the pair's text is made once and each rule scans it once.
+    No token has a blank, so it stands in one of the parts of a text that blanks join: what the words of service and category add to the
+    tags depends on the rule alone. A row needs one text, its scans, and a look into three small tables of literals.
     """
-    df = df.withColumn("_class", classify(F.col(module), F.col(source_file))).withColumn("service", F.col("_class.service")).withColumn("category", F.col("_class.category")).drop("_class")
-    return df.withColumn("tags", tags(F.col("service"), F.col("category"), F.col(module), F.col(source_file)))
+    df = df.withColumn("_low", F.lower(F.concat_ws(" ", F.col(module), F.col(source_file))))
+    low, chain, none = F.col("_low"), F, len(RULES)
+    for rank, (_, _, tokens) in enumerate(RULES):
+        chain = chain.when(any_of(low, tokens), F.lit(rank))
+    bits = [F.when(any_of(low, words), F.lit(1 << i)).otherwise(F.lit(0)) for i, (_, words) in enumerate(TAG_WORDS)]
+    df = df.withColumns({"_rank": chain.otherwise(F.lit(none)), "_bits": sum(bits[1:], bits[0])})
+    table = lambda values: F.array(*(F.lit(v) for v in values))
+    sets = table(_tag_set(rank, found) for rank in range(none + 1) for found in range(1 << len(TAG_WORDS)))
+    named = {"service": table([*(s for s, _, _ in RULES), "unknown"])[F.col("_rank")], "category": table([*(c for _, c, _ in RULES), "unknown"])[F.col("_rank")]}
+    return df.withColumns(named | {"tags": sets[F.col("_rank") * (1 << len(TAG_WORDS)) + F.col("_bits")]}).drop("_low", "_rank", "_bits")
 
 
 def rule_table(spark: SparkSession) -> DataFrame:

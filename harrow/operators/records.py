@@ -2,23 +2,44 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 MEMBER = ("path", "member_idx", "report_name", "source_file")
 
 
-def assembled(parsed_lines: DataFrame, member: tuple[str, ...] = MEMBER) -> DataFrame:
+def _fields(message: Column) -> list[Column]:
+    return [*(F.max(c).alias(c) for c in ("timestamp", "pid", "level", "module")), message.alias("message")]
+
+
+def _joined(order: str, text: str) -> Column:
+    """The texts of a group, in order, a line each."""
+    texts = F.sort_array(F.collect_list(F.struct(order, text)))[text]
+    return F.array_join(texts, "\n")
+
+
+def assembled(parsed_lines: DataFrame, member: tuple[str, ...] = MEMBER, span: int | None = None) -> DataFrame:
     """A row a record: member columns, rec (0: before the first header), timestamp, pid, level, module, message.
 
-    The window and the aggregate share one exchange by member. A member is bounded by the size limit, so a window
-    partition is too.
+    Without span, the window and the aggregate share one exchange by member, and a member is a window partition: right for members that a
+    size limit bounds. With span, members are split into ranges of so many line numbers, which are worked on apart: headers are
+    counted within a range, the counts of earlier ranges (a row a range) are added, and a record that goes on across
+    ranges is put together from its pieces.
     """
-    order = Window.partitionBy(*member).orderBy("line_no").rowsBetween(Window.unboundedPreceding, 0)
-    numbered = parsed_lines.withColumn("rec", F.sum(F.col("is_header").cast("long")).over(order))
-    texts = F.transform(F.array_sort(F.collect_list(F.struct("line_no", "text"))), lambda x: x["text"])
-    grouped = numbered.groupBy(*member, "rec").agg(F.max("timestamp").alias("timestamp"), F.max("pid").alias("pid"), F.max("level").alias("level"), F.max("module").alias("module"), F.array_join(texts, "\n").alias("message"))
-    return grouped.withColumn("level", F.coalesce("level", F.lit("UNKNOWN"))).withColumn("module", F.coalesce("module", F.lit("unknown")))
+    rec = F.sum(F.col("is_header").cast("long"))
+    if span is None:
+        order = Window.partitionBy(*member).orderBy("line_no").rowsBetween(Window.unboundedPreceding, 0)
+        records = parsed_lines.withColumn("rec", rec.over(order)).groupBy(*member, "rec").agg(*_fields(_joined("line_no", "text")))
+    else:
+        part = (*member, "_range")
+        lines = parsed_lines.withColumn("_range", F.floor(F.col("line_no") / span))
+        before = Window.partitionBy(*member).orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
+        offsets = lines.groupBy(*part).agg(F.count_if("is_header").alias("_n")).select(*part, F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_before"))
+        order = Window.partitionBy(*part).orderBy("line_no").rowsBetween(Window.unboundedPreceding, 0)
+        pieces = lines.withColumn("_rec", rec.over(order)).groupBy(*part, "_rec").agg(*_fields(_joined("line_no", "text")))
+        pieces = pieces.join(offsets, [*part]).withColumn("rec", F.col("_before") + F.col("_rec"))
+        records = pieces.groupBy(*member, "rec").agg(*_fields(_joined("_range", "message")))
+    return records.withColumn("level", F.coalesce("level", F.lit("UNKNOWN"))).withColumn("module", F.coalesce("module", F.lit("unknown")))
 
 
 def record_counts(parsed_lines: DataFrame, member: tuple[str, ...] = MEMBER) -> DataFrame:

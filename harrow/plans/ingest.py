@@ -20,6 +20,8 @@ from harrow.sources.files import absolute
 
 #: Where reports lie if nothing is said, and the largest member in MB if the command line says nothing.
 DEFAULT_REPORTS, COMMAND_LINE_MB = "SOS_REPORTS", 10
+#: Members of up to so many bytes are assembled whole, in one task each; where larger ones are let in, in ranges of so many lines.
+WHOLE_MEMBER, RANGE_LINES = 64 << 20, 1 << 17
 #: The tables of a target. Each run adds rows to some of them.
 SCHEMAS: dict[str, StructType] = {"os_logs": OS_LOGS, "os_commands": OS_COMMANDS, "os_quarantine": QUARANTINE, "ingest_counters": COUNTERS}
 
@@ -78,7 +80,8 @@ def ingest_archives(tables: Tables, archives: DataFrame, run: str, overwrite: bo
         read = counts.of(read, log_files=is_member("log"), command_files=is_member("command"), corrupt_archives=is_member("corrupt"))
         read.write.mode("overwrite").parquet(f"{work}/lines")
         lines = spark.read.schema(LINES).parquet(f"{work}/lines")
-        logs = counts.of(os_logs(lines_read(lines), fail_fast), log_rows=F.lit(True))
+        span = RANGE_LINES if scan.limit > WHOLE_MEMBER else None
+        logs = counts.of(os_logs(lines_read(lines), fail_fast, span), log_rows=F.lit(True))
         commands = counts.of(os_commands(lines.filter("kind = 'command' and line_no >= 0"), F.col("line")), command_rows=F.lit(True))
         made = {"os_logs": logs, "os_commands": commands}
         for name, df in made.items():

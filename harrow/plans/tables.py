@@ -12,9 +12,9 @@ from harrow.operators.records import assembled
 from harrow.schemas import OS_COMMANDS, OS_LOGS, VERSION
 
 
-def os_logs(lines: DataFrame, fail_fast: bool = False) -> DataFrame:
-    """The log table of non-blank lines (path, member_idx, report_name, source_file, line_no, line)."""
-    records = assembled(parsed(lines, fail_fast))
+def os_logs(lines: DataFrame, fail_fast: bool = False, span: int | None = None) -> DataFrame:
+    """The log table of non-blank lines (path, member_idx, report_name, source_file, line_no, line); span as in assembled()."""
+    records = assembled(parsed(lines, fail_fast), span=span)
     return enrich(records, "module").withColumn("rhosp_version", F.lit(VERSION)).select(OS_LOGS.names)
 
 

@@ -1,6 +1,7 @@
 """Lines, records, routing, archives and the job, on small literal inputs."""
 
 import io
+import random
 import re
 import tarfile
 
@@ -11,6 +12,7 @@ from harrow.functions import rules
 from harrow.functions.text import member_name
 from harrow.operators import lines as L
 from harrow.operators import members as M
+from harrow.operators.records import assembled, record_counts
 from harrow.plans.ingest import SCHEMAS, ingest
 from harrow.plans.publish import Tables
 from harrow.sources.archives import ArchiveError
@@ -111,6 +113,30 @@ def test_tags(spark):
     ]
 
 
+@pytest.mark.parametrize("span", [1, 3, 7, 1000])
+def test_records_by_ranges_equal_whole_members(spark, span):
+    rng, lines = random.Random(span), []
+    for member in range(12):
+        for n in range(rng.choice([1, 5, 40, 200])):
+            text = rng.choice(["trace", "  x", HEAD + "INFO m a", HEAD + "WARN n b"]) if member % 4 else rng.choice(["only", "folded"])
+            if rng.random() < 0.9:  # blank lines are gone already
+                lines.append((f"p{member // 3}", member, "r", "f", n, f"{text} {n}"))
+    parsed = L.parsed(spark.createDataFrame(lines, "path string, member_idx int, report_name string, source_file string, line_no long, line string").repartition(5))
+    whole, parts = (sorted(map(tuple, assembled(parsed, span=s).collect()), key=str) for s in (None, span))
+    assert whole == parts and len(whole) > 12
+    counted = {r.member_idx: r.n_rows for r in record_counts(parsed).collect()}
+    assert counted == {m: sum(r[1] == m for r in whole) for m in counted}
+
+
+def test_a_large_member_is_worked_on_in_ranges(spark):
+    lines = spark.range(50_000).select(F.lit("p").alias("path"), F.lit(0).alias("member_idx"), F.lit("r").alias("report_name"), F.lit("f").alias("source_file"), F.col("id").alias("line_no"), F.concat(F.lit(HEAD + "INFO m "), "id").alias("line"))
+    records = assembled(L.parsed(lines), span=1000)
+    plan = records._jdf.queryExecution().executedPlan().toString()
+    assert records.agg(F.countDistinct("message"), F.max("rec")).first() == (50_000, 50_000)
+    of_lines = [x for x in plan.split("\n") if "Exchange hashpartitioning" in x and "line_no" not in x]
+    assert of_lines and any("_range" in x for x in of_lines)
+
+
 def test_ingest_end_to_end(spark, tmp_path):
     trace = b"Traceback (most recent call last):\n  \n  File x\n\nError: end\n"
     put(tmp_path / "in/a.tar.xz", [

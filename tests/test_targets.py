@@ -251,7 +251,7 @@ def test_members_far_above_a_block_are_read_as_lines(spark, tmp_path):
     line = HEAD + "INFO m " + "x" * 100 + "\n"
     put(tmp_path / "in/a.tar.xz", [("var/log/nova/big.log", line.encode() * 60_000), ("var/log/nova/cut.log", b"abc\n" + line.encode() + b"\xe2\x82")])
     out = str(tmp_path / "out")
-    I.ingest(spark, str(tmp_path / "in"), out, max_mb=64)
+    I.ingest(spark, str(tmp_path / "in"), out, max_mb=65)
     found = {(r.source_file, r.message) for r in read(spark, out, "os_logs").collect()}
     assert found == {("var/log/nova/big.log", "x" * 100), ("var/log/nova/cut.log", "abc"), ("var/log/nova/cut.log", "x" * 100 + "\n�")}
     assert read(spark, out, "os_logs").count() == 60_002
