@@ -7,7 +7,7 @@ the share of foreign n-grams that a language's slice lets through, (hits - n f)
 
 A language contains the n-grams (2 to 5 characters of lower-cased words with their borders marked, so single letters count with a
 border) that make up at least LEAST of all n-grams of its learned texts, and so at most 1 / LEAST different ones, whatever other
-languages contain. It learns from about SAMPLE of its labelled texts, drawn by a hash of their id; predictions read whole texts.
+languages contain; a language with few or short texts thus contains all n-grams that stand in them. It learns from about SAMPLE of its labelled texts, drawn by a hash of their id; predictions read whole texts.
 
 Defined results: `und` with score 0 if a text is null, has no letter, or nothing could be learned; the score is the language's
 part of all languages' corrected counts; ties go to the language with most labelled texts, then by name. A null doc_id is not
@@ -167,7 +167,7 @@ def fit(documents: DataFrame, sample: int = SAMPLE, least: float = LEAST) -> Lan
         return block
 
     counted = map_rows(drawn.select("lang", "text"), task, "lang string, gram string, n long", 4 << 20).groupBy("lang", "gram").agg(F.sum("n").alias("n"))
-    counted = table(counted.filter("n > 1"), "grams")
+    counted = table(counted, "grams")
     total = {r.lang: r.n for r in counted.groupBy("lang").agg(F.sum("n").alias("n")).collect()}  # a row a language
     if not total:
         return LanguageFilter([], {})

@@ -3,6 +3,7 @@
 import itertools
 import math
 import random
+import zlib
 import re
 import struct
 
@@ -270,3 +271,48 @@ def test_pipeline(spark, tmp_path):
     for _, stage in corpus_pipeline.STAGES[:-1]:
         out = stage(spark, empty, str(tmp_path))
         assert out.columns == documents.columns and out.count() == 0
+
+
+def test_small_languages_are_learned(spark):
+    """A language with one short text, and ties, which go to the language with most texts and then by name."""
+    from harrow.llm import language_id
+
+    held = lambda i: zlib.crc32(str(i).encode()) % 4 == 2
+    ids = [i for i in range(400) if not held(i)]
+    rows = [(ids[0], "the dog barks", "en"), (ids[1], "der hund bellt laut", "de"), (ids[2], "der hund schläft", "de"), (ids[3], "same words", "aa"), (ids[4], "same words", "bb")]
+    asked = [(1000, "the dog barks", None), (1001, "der hund", None), (1002, "same words", None), (1003, "…", None), (1004, None, None)]
+    got = {r.doc_id: r for r in language_id.identify(spark.createDataFrame(rows + asked, "doc_id long, text string, lang string")).collect()}
+    assert [got[i].lang_pred for i in range(1000, 1005)] == ["en", "de", "aa", "und", "und"]
+    assert got[1000].score > 0.8 and got[1002].score == pytest.approx(0.5)
+
+
+def test_language_query_against_sets(spark):
+    """identify() over a whole table equals counting n-grams in plain sets, but for the filter's false positives."""
+    from collections import Counter
+
+    from harrow.llm import language_id, queries
+
+    path = "/root/testdata/sf0.01"
+    rows = spark.read.parquet(f"{path}/documents.parquet").select("doc_id", "text", "lang").collect()
+    of: dict = {}
+    for r in rows:
+        if r.lang is not None and zlib.crc32(str(r.doc_id).encode()) % 4 != 2:
+            of.setdefault(r.lang, Counter()).update(g for w in language_id.words_of(r.text) for g in language_id.grams(w))
+    known = {lang: {g for g, n in c.items() if n >= sum(c.values()) * language_id.LEAST} for lang, c in of.items()}
+    differ, by_id = 0, {r.doc_id: r for r in rows}
+    for r in queries.op9_language_id(spark, path).collect():
+        plain = by_id[r.doc_id]
+        found = [g for w in language_id.words_of(plain.text) for g in language_id.grams(w)]
+        hits = {lang: sum(g in k for g in found) for lang, k in known.items()}
+        best = max(hits.values(), default=0)
+        differ += (r.lang_pred not in [k for k, n in hits.items() if n == best]) if found else r.lang_pred != "und"
+    assert differ == 0
+
+
+def test_lengths_of_vectors_do_not_overflow(spark):
+    from harrow.llm import embedding_dedup
+
+    for k in (1e200, 1e-200, 5e-324):
+        rows = [(1, [k, k], 1), (2, [2 * k, 2 * k], 1), (3, [k, -k], 1), (4, [0.0, 0.0], 1)]
+        got = {r.vec_id: r for r in embedding_dedup.near_duplicates(spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int")).collect()}
+        assert [got[i].n_links for i in (1, 2, 3, 4)] == [1, 1, 0, 0] and got[2].component_id == 1
