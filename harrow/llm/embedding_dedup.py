@@ -37,7 +37,9 @@ WAVE_BYTES = 64 << 20
 
 
 def unit(vectors: np.ndarray) -> np.ndarray:
+    """Rows of length 1. Rows are first scaled by a power of two, which rounds nothing, so that squares neither overflow nor vanish."""
     v = np.asarray(vectors, "f8")
+    v = np.ldexp(v, -np.frexp(np.abs(v).max(axis=1))[1][:, None])
     return v / np.sqrt((v * v).sum(axis=1))[:, None]
 
 
