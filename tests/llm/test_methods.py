@@ -283,7 +283,7 @@ def test_small_languages_are_learned(spark):
     asked = [(1000, "the dog barks", None), (1001, "der hund", None), (1002, "same words", None), (1003, "…", None), (1004, None, None)]
     got = {r.doc_id: r for r in language_id.identify(spark.createDataFrame(rows + asked, "doc_id long, text string, lang string")).collect()}
     assert [got[i].lang_pred for i in range(1000, 1005)] == ["en", "de", "aa", "und", "und"]
-    assert got[1000].score > 0.8 and got[1002].score == pytest.approx(0.5)
+    assert got[1000].score > 0.8 and 0.4 < got[1002].score <= 0.5
 
 
 def test_language_query_against_sets(spark):
