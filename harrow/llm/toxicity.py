@@ -3,15 +3,22 @@
 Kernel: the string subsequence kernel of order 3, which counts the subsequences that two strings share and discounts each by the
 length it spans, so that insults with gaps or inserted characters stay near the plain form. Landmarks are pieces of words (with the
 word's start as a character of its own) that mark toxic training documents in any language: they are chosen one by one for the toxic
-documents that they add, on one half of the training documents, and have to hold on the other half. A token's feature is the largest normalised kernel with a landmark
-of its windows of the landmark's length and of SLACK more (of its beginning, if the landmark is one), squared; a sentence's is the
-largest of its tokens', and those of STRONG or more add up, to WORST at most. Nystroem features (times the landmarks' Gram matrix to the power -1/2) go to a linear SVM that is trained on sentences: of
-each document the sum of the WORST ones with the largest margins, chosen anew between fits (those of clean documents add up).
-That sum's margin is the document's, mapped to 0..1 by a logistic function.
+documents that they add, on one half of the training documents, and have to hold on the other half.
+
+A token's feature says how much of a landmark stands in one of its windows: the window's kernel with the landmark over the landmark's with
+itself, mapped to 0..1 by a ramp from LOW to HIGH. A letter inserted into a word leaves 0.83 or more of it, two leave 0.69 or more, a
+letter left out takes 0.4 or more of a five-letter word; windows that lack a character of the landmark altogether count as 0, as letters that repeat
+would make up for it. Where clean training documents hold a landmark strongly as well (SURE), as syllables of common words do, gapped forms tell
+little, and the feature is the squared kernel over both strings' own kernels instead, which wanes sooner. Windows have the landmark's length, or hold up to SLACK characters more: of a landmark with a word's start
+only if the word ends there (so "losing" words that merely go on differently aren't drawn in), of others anywhere. A
+sentence's feature is the largest of its tokens', and those of STRONG or more add up, to WORST at most. Nystroem features (times the landmarks' Gram
+matrix to the power -1/2) go to a linear SVM that is trained on sentences: of each document the sum of the WORST ones with the
+largest margins, chosen anew between fits (those of clean documents add up). That sum's margin is the document's, mapped to 0..1 by a
+logistic function. A landmark that hardly any clean training document holds strongly (SURE) is given weight enough for one strong
+feature to reach a score of 0.5: the SVM alone shares the weight out among insults that come together.
 
 Every text is scored whole. Only fitting works on a bounded sample: about SAMPLE labelled documents, drawn by a hash of
-their id, each with all its sentences. A token that lacks over a fifth of a landmark's different characters, or over two fifths of its
-pairs of neighbours (up to two characters apart), isn't compared with it, and features under FLOOR count as 0.
+their id, each with all its sentences.
 
 Defined results: null and empty texts get the score of a sentence without any landmark; null doc_ids are scored, never
 learned from, and not held out; if a document has several labels the largest counts; without training documents of both kinds
@@ -32,15 +39,17 @@ from pyspark.sql import functions as F
 from .common import Memo, filter_rows, held, map_rows, table
 
 SAMPLE, LANDMARKS, CANDIDATES, ORDER, DECAY = 12_000, 96, 8_000, 3, 0.8
-#: Features are taken to the power SHARP; below FLOOR they count as 0.
-SHARP, FLOOR, LETTERS, PAIRS, SLACK, WIDTH = 2, 0.15, 0.8, 0.6, 2, 32
-#: From here on features of different tokens add up.
+#: Share of a landmark at which a feature is 0, and from which on it is 1.
+LOW, HIGH, SLACK, WIDTH = 0.5, 0.7, 2, 32
+#: From here on features of different tokens add up, and a single one suffices.
 STRONG = 0.8
 #: Lengths of the word pieces that can become landmarks, with the mark of a word's start.
 PIECE = range(4, 13)
 START = "^"
 #: How many times as often a landmark has to stand in toxic documents as in clean ones.
 PURE = 4
+#: How many times as many toxic documents as clean ones have to hold a landmark strongly for one such feature to suffice.
+SURE = 20
 #: Sentences whose features add up to a document's.
 WORST = 3
 MEMO_BYTES = 48 << 20
@@ -94,19 +103,13 @@ def codes(strings: list[str], width: int, pad: int) -> np.ndarray:
     return np.where(out == 0, np.int32(pad), out)
 
 
-def _bits(values: np.ndarray) -> np.ndarray:
-    return np.uint64(1) << (values & np.uint64(63))
+def letters_of(text: np.ndarray) -> np.ndarray:
+    """A bit mask of each row's characters."""
+    return np.bitwise_or.reduce(np.where(text >= 0, np.uint64(1) << (text.astype("i8").astype("u8") & np.uint64(63)), np.uint64(0)), axis=1)
 
 
-def sketches(text: np.ndarray, reach: int) -> tuple[np.ndarray, np.ndarray]:
-    """Bit masks of each row's characters, and of its ordered pairs of characters up to reach places apart."""
-    real, wide = text >= 0, text.astype("i8").astype("u8")
-    letters = np.bitwise_or.reduce(np.where(real, _bits(wide), np.uint64(0)), axis=1)
-    pairs = np.zeros(len(text), "u8")
-    for gap in range(1, reach + 1):
-        mixed = (wide[:, :-gap] * np.uint64(0x9E3779B97F4A7C15) + wide[:, gap:] * np.uint64(0xC2B2AE3D27D4EB4F)) >> np.uint64(57)
-        pairs |= np.bitwise_or.reduce(np.where(real[:, :-gap] & real[:, gap:], _bits(mixed), np.uint64(0)), axis=1)
-    return letters, pairs
+def ramp(share: np.ndarray) -> np.ndarray:
+    return np.clip((share - np.float32(LOW)) / np.float32(HIGH - LOW), 0, 1)
 
 
 def added(features: np.ndarray) -> np.ndarray:
@@ -115,23 +118,19 @@ def added(features: np.ndarray) -> np.ndarray:
 
 
 class Landmarks:
-    """Features of tokens; remembers tokens."""
+    """Features of tokens; remembers tokens. loose: of each landmark, whether the ramp applies."""
 
-    def __init__(self, names: list[str]) -> None:
-        self.names = names
+    def __init__(self, names: list[str], loose: list[bool] | None = None) -> None:
+        self.names, self.loose = names, np.array(loose if loose is not None else [True] * len(names), bool)
         width = max(map(len, names), default=1)
         self.codes = codes(names, width, -2)
         own = codes(names, width, -1)
-        self.norm = np.sqrt(subsequence_kernel(own, self.codes))
+        self.own = subsequence_kernel(own, self.codes)
         i, j = np.indices((len(names), len(names)))
         cross = subsequence_kernel(own[i.ravel()], self.codes[j.ravel()]).reshape(i.shape)
-        self.gram = (cross / self.norm / self.norm[:, None]).astype("f8") ** SHARP
-        self.letters, self.pairs = sketches(own, 1)
-        self.need = np.ceil(LETTERS * np.bitwise_count(self.letters)).astype("u1"), np.ceil(PAIRS * np.bitwise_count(self.pairs)).astype("u1")
+        self.gram = ramp(cross / np.sqrt(self.own) / np.sqrt(self.own)[:, None]).astype("f8")
+        self.letters = letters_of(own)
         self.by_length: dict[int, np.ndarray] = {n: np.array([k for k, x in enumerate(names) if len(x) == n]) for n in {len(x) for x in names}}
-        different = codes(["".join(map(chr, range(65, 65 + n))) for n in range(PIECE.stop + SLACK)], PIECE.stop + SLACK, -1)
-        #: Kernels of 0, 1, ... different characters with themselves.
-        self.least = subsequence_kernel(different, np.where(different < 0, -2, different)) * np.float32(1 - 1e-4)
         self.anchored = np.array([x.startswith(START) for x in names])
         #: Tokens with features, as (landmarks, features); and those without.
         self.hot: dict[str, tuple[np.ndarray, np.ndarray]] = {}
@@ -139,7 +138,7 @@ class Landmarks:
         self.used = 0
 
     def features(self, strings: list[str]) -> list[tuple[np.ndarray, np.ndarray] | None]:
-        """Of strings with marked starts: (landmarks, features above FLOOR)."""
+        """Of strings with marked starts: (landmarks, features above 0)."""
         spans = [(k, w) for k, w in enumerate(strings) if 3 < len(w) <= WIDTH]
         spans += [(k, w[a : a + WIDTH]) for k, w in enumerate(strings) if len(w) > WIDTH for a in range(0, len(w) - WIDTH + 16, WIDTH - 16)]
         spans.sort(key=lambda x: len(x[1]))
@@ -149,33 +148,35 @@ class Landmarks:
             length = np.array([len(s) for _, s in part])
             longest = int(length[-1])
             text = codes([s for _, s in part], longest + PIECE.stop + SLACK, -1)
-            letters, pairs = sketches(text[:, : longest + 1], 3)
+            letters = letters_of(text[:, : longest + 1])
             for n, marks in self.by_length.items():
-                near = (np.bitwise_count(letters[:, None] & self.letters[marks]) >= self.need[0][marks]) & (np.bitwise_count(pairs[:, None] & self.pairs[marks]) >= self.need[1][marks])
-                rows, at = np.nonzero(near)
-                # windows of the landmark's length and SLACK more; landmarks at a word's start meet only that
-                many = np.where(self.anchored[marks[at]], 1, np.maximum(length[rows] - n + 1, 1))
-                first = np.repeat(np.cumsum(many) - many, many)
-                begin = np.arange(many.sum()) - first
-                rows, at = np.repeat(rows, many), np.repeat(marks[at], many)
-                wide = begin + n < length[rows]
-                rows, at, begin = np.concatenate([rows, rows[wide]]), np.concatenate([at, at[wide]]), np.concatenate([begin, begin[wide]])
-                size = np.full(len(rows), n)
-                size[len(wide) :] += SLACK
-                for a in range(0, len(rows), 16_384):
-                    r, k, z = rows[a : a + 16_384], at[a : a + 16_384], np.arange(n + SLACK)
+                own = self.letters[marks]
+                rows, at = np.nonzero(letters[:, None] & own == own)
+                at = marks[at]
+                # windows of the landmark's length; landmarks at a word's start meet only that
+                many = np.where(self.anchored[at], 1, np.maximum(length[rows] - n + 1, 1))
+                begin = np.arange(many.sum()) - np.repeat(np.cumsum(many) - many, many)
+                all_rows, all_at = np.repeat(rows, many), np.repeat(at, many)
+                # and with room for what is put in between
+                wide = (length[all_rows] > begin + n) & (~self.anchored[all_at] | (length[all_rows] <= n + SLACK))
+                size = np.concatenate([np.full(len(all_rows), n), np.full(int(wide.sum()), n + SLACK)])
+                all_rows, all_at, begin = (np.concatenate([x, x[wide]]) for x in (all_rows, all_at, begin))
+                for a in range(0, len(all_rows), 16_384):
+                    r, k, z = all_rows[a : a + 16_384], all_at[a : a + 16_384], np.arange(n + SLACK)
                     window = text[r[:, None], begin[a : a + 16_384, None] + z]
                     window[z >= size[a : a + 16_384, None]] = -1
-                    cross = subsequence_kernel(window, self.codes[k][:, :n]) / self.norm[k]
-                    # a window's kernel with itself is at least that of as many different characters
-                    may = cross**SHARP >= FLOOR * self.least[(window >= 0).sum(axis=1)] ** (SHARP / 2)
-                    r, k, window, cross = r[may], k[may], window[may], cross[may]
-                    own_kernel = np.maximum(subsequence_kernel(window, np.where(window < 0, -2, window)), 1e-12)
-                    value = (cross / np.sqrt(own_kernel)) ** SHARP
-                    hit = value >= FLOOR
+                    whole = np.ones(len(r), bool)
+                    for z in range(n):
+                        whole &= (window == self.codes[k, z, None]).any(axis=1)
+                    r, k, window = r[whole], k[whole], window[whole]
+                    cross, loose = subsequence_kernel(window, self.codes[k][:, :n]), self.loose[k]
+                    value = ramp(cross / self.own[k])
+                    own = subsequence_kernel(window[~loose], np.where(window[~loose] < 0, -2, window[~loose]))
+                    value[~loose] = cross[~loose] ** 2 / np.maximum(own * self.own[k[~loose]], 1e-12)
+                    hit = value > 0
                     for i, j, v in zip(r[hit].tolist(), k[hit].tolist(), value[hit].tolist()):
-                        own = found.setdefault(part[i][0], np.zeros(len(self.names), "f4"))
-                        own[j] = max(own[j], v)
+                        mine = found.setdefault(part[i][0], np.zeros(len(self.names), "f4"))
+                        mine[j] = max(mine[j], v)
         return [(np.nonzero(v)[0], v[v > 0]) if (v := found.get(k)) is not None else None for k in range(len(strings))]
 
     def look_up(self, tokens: set[str]) -> None:
@@ -210,9 +211,9 @@ class Landmarks:
         return out
 
 
-def landmarks(names: tuple[str, ...]) -> Landmarks:
+def landmarks(names: tuple[str, ...], loose: tuple[bool, ...] | None = None) -> Landmarks:
     """Made once a worker process, which keeps what it remembers from task to task."""
-    return held(("toxicity", names), lambda: Landmarks(list(names)))
+    return held(("toxicity", names, loose), lambda: Landmarks(list(names), loose))
 
 
 def pieces(word: str) -> set[str]:
@@ -356,14 +357,14 @@ def worst(sentences: np.ndarray, weights: np.ndarray) -> np.ndarray:
 class Scorer:
     """The fitted model: landmark names, weights on features, and the logistic map of margins."""
 
-    def __init__(self, names: list[str], weights: np.ndarray, bias: float, scale: tuple[float, float]) -> None:
-        self.names, self.weights, self.bias, self.scale = tuple(names), weights, bias, scale
+    def __init__(self, names: list[str], weights: np.ndarray, bias: float, scale: tuple[float, float], loose: tuple[bool, ...] = ()) -> None:
+        self.names, self.weights, self.bias, self.scale, self.loose = tuple(names), weights, bias, scale, loose
 
     def scores(self, texts: list[str | None]) -> list[float]:
         a, b = self.scale
         margin = np.full(len(texts), self.bias)
         if self.names:
-            for i, x in enumerate(landmarks(self.names).sentences(texts)):
+            for i, x in enumerate(landmarks(self.names, self.loose).sentences(texts)):
                 if len(x):
                     margin[i] += worst(x, self.weights) @ self.weights
         return (1 / (1 + np.exp(-np.clip(a * margin + b, -30, 30)))).tolist()
@@ -381,6 +382,24 @@ def _witnesses(vectors: DataFrame, weights: np.ndarray) -> tuple[np.ndarray, np.
     return rows.column("toxic").to_numpy(), np.frombuffer(b"".join(rows.column("best").to_pylist()), "<f4").reshape(-1, len(weights)).astype("f8")
 
 
+def _strong(vectors: DataFrame, n: int) -> tuple[np.ndarray, np.ndarray]:
+    """For each landmark, how many toxic and how many clean documents have a sentence that holds it strongly."""
+
+    def run(batches):
+        counts = np.zeros((2, n), "i8")
+        for batch in batches:
+            for toxic, x in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                counts[toxic] += (np.frombuffer(x, "<f4").reshape(-1, n) >= STRONG).any(axis=0)
+        yield pa.RecordBatch.from_pydict({"counts": [counts.ravel().tolist()]}, pa.schema({"counts": pa.list_(pa.int64())}))
+
+    both = sum(np.array(r.counts).reshape(2, n) for r in vectors.select("toxic", "vectors").mapInArrow(run, "counts array<long>").collect())  # a row a task
+    return both[1], both[0]
+
+
+def _sure(toxic: np.ndarray, clean: np.ndarray) -> np.ndarray:
+    return toxic >= np.maximum(SURE * clean, 1)
+
+
 def fit(documents: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Scorer:
     """Learn from labelled documents that are not held out."""
     learn = labels.filter(F.col("toxic").isNotNull() & F.col("doc_id").isNotNull()).groupBy("doc_id").agg((F.max("toxic") > 0).cast("int").alias("toxic")).filter(~held_out("doc_id", 5, 0))
@@ -394,11 +413,19 @@ def fit(documents: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Scorer
         p = min(max(base, 1e-6), 1 - 1e-6)
         return Scorer([], np.zeros(0), 0.0, (1.0, float(np.log(p / (1 - p)))))
 
-    def task():
-        marks = landmarks(tuple(names))
-        return lambda toxic, texts: {"toxic": toxic, "vectors": [x.tobytes() for x in marks.sentences(texts)]}
+    def featured(loose: tuple[bool, ...]) -> DataFrame:
+        def task():
+            marks = landmarks(tuple(names), loose)
+            return lambda toxic, texts: {"toxic": toxic, "vectors": [x.tobytes() for x in marks.sentences(texts)]}
+
+        return table(map_rows(rows.select("toxic", "text"), task, "toxic int, vectors binary"), "sentences")
 
-    vectors = table(map_rows(rows.select("toxic", "text"), task, "toxic int, vectors binary"), "sentences")
+    loose = (True,) * len(names)
+    vectors = featured(loose)
+    sure = _sure(*_strong(vectors, len(names)))
+    if not sure.all():
+        loose = tuple(sure.tolist())
+        vectors = featured(loose)
     value, vector = np.linalg.eigh(Landmarks(names).gram)
     root = vector @ np.diag(1 / np.sqrt(np.maximum(value, 1e-3))) @ vector.T
     w, bias = np.ones(len(names)), -1.0  # on features
@@ -416,7 +443,10 @@ def fit(documents: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Scorer
         if done:
             break
     toxic, best = _witnesses(vectors, w)
-    return Scorer(names, w, bias, _scale(bias + best @ w, toxic.astype("f8")))
+    scale = _scale(bias + best @ w, toxic.astype("f8"))
+    sure = _sure(*_strong(vectors, len(names)))
+    enough = (-scale[1] / scale[0] - bias) / STRONG * 1.01
+    return Scorer(names, np.where(sure, np.maximum(w, enough), w), bias, scale, loose)
 
 
 def toxicity(documents: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> DataFrame:

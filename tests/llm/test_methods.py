@@ -105,26 +105,32 @@ def test_kernel_against_enumeration():
 
 def test_features_against_plain_windows():
     names = ["^idiot", "blorg", "^réeu"]
-    marks = toxicity.Landmarks(names)
+    marks = toxicity.Landmarks(names, [True, True, False])
 
     def kernel(a, b):
         return float(toxicity.subsequence_kernel(toxicity.codes([a], 40, -1), toxicity.codes([b], 40, -2))[0])
 
-    def plain(word, name):
-        n = len(name)
+    def plain(word, name, loose):
+        n, slack = len(name), toxicity.SLACK
         starts = [0] if name[0] == "^" else range(max(1, len(word) - n + 1))
-        windows = {word[a : a + m] for a in starts for m in (n, n + toxicity.SLACK)}
-        return max(kernel(w, name) ** 2 / (kernel(w, w) or 1) / kernel(name, name) for w in windows)
-
-    for word in ["idiot", "idxiot", "idixot", "i-d-i-o-t", "réeuxau", "éreux", "blxorg", "xxblorgxx", "harmless", "id"]:
+        windows = [word[a : a + n] for a in starts]
+        if name[0] != "^" or len(word) <= n + slack:
+            windows += [word[a : a + n + slack] for a in starts]
+        windows = [w for w in windows if set(name) <= set(w)]
+        if not loose:
+            return max([kernel(w, name) ** 2 / kernel(w, w) / kernel(name, name) for w in windows], default=0)
+        share = max([kernel(w, name) / kernel(name, name) for w in windows], default=0)
+        return min(max((share - toxicity.LOW) / (toxicity.HIGH - toxicity.LOW), 0), 1)
+
+    seen = []
+    for word in ["idiot", "idxiot", "idixot", "idxixot", "i-d-i-o-t", "idiots", "idio", "idixotics", "réeuxau", "éreux", "blxorg", "xxblorgxx", "xxblxorgxx", "harmless", "id"]:
         bare = toxicity.bare(word)
         found = marks.features([bare])[0]
         got = dict(zip(found[0].tolist(), found[1].tolist())) if found else {}
         for k, name in enumerate(names):
-            want = plain(bare, name)
-            assert got.get(k, 0) <= want + 1e-4
-            if want > 0.3:
-                assert math.isclose(got[k], want, rel_tol=1e-3), (word, name)
+            assert math.isclose(got.get(k, 0), plain(bare, name, marks.loose[k]), rel_tol=1e-3, abs_tol=1e-4), (word, name)
+        seen.append(round(max(got.values(), default=0), 2))
+    assert min(seen[:6]) > 0.9 and seen[6] == seen[7] == 0
 
 
 def test_language_filter_against_sets():
@@ -316,3 +322,15 @@ def test_lengths_of_vectors_do_not_overflow(spark):
         rows = [(1, [k, k], 1), (2, [2 * k, 2 * k], 1), (3, [k, -k], 1), (4, [0.0, 0.0], 1)]
         got = {r.vec_id: r for r in embedding_dedup.near_duplicates(spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int")).collect()}
         assert [got[i].n_links for i in (1, 2, 3, 4)] == [1, 1, 0, 0] and got[2].component_id == 1
+
+
+def test_insults_with_inserted_letters(spark):
+    """With landmarks learned from the given tables: plain insults on their own, with one letter put in, and with two."""
+    path = "/root/testdata/sf0.1"
+    model = toxicity.fit(*(spark.read.parquet(f"{path}/{t}.parquet") for t in ("documents", "labels")))
+    for word in "idiot stupid trash pathetic worthless moron loser scum clown disgusting".split():
+        one = [word[:i] + "x" + word[i:] for i in range(1, len(word))]
+        two = [w[:i] + "q" + w[i:] for w in one for i in range(1, len(w))]
+        assert min(model.scores([f"you are {w}." for w in [word, " ".join(word), "-".join(word), *one]])) >= 0.5, word
+        assert len(word) < 8 or min(model.scores([f"you are {w}." for w in two])) >= 0.5, word
+    assert max(model.scores(["you are kind.", "the idol is not here.", "close the closet.", "some columns.", "crown and clover.", "", None])) < 0.5
