@@ -10,6 +10,7 @@ import struct
 import numpy as np
 import public_tokenizers as P
 import pytest
+from pyspark.sql import functions as F
 
 import corpus_pipeline
 from harrow.llm import decontaminate, embedding_dedup, html_wrapper, language_id, minhash_dedup, sentencepiece_fst, token_counts, token_shards, toxicity, warc_zip
@@ -334,3 +335,39 @@ def test_insults_with_inserted_letters(spark):
         assert min(model.scores([f"you are {w}." for w in [word, " ".join(word), "-".join(word), *one]])) >= 0.5, word
         assert len(word) < 8 or min(model.scores([f"you are {w}." for w in two])) >= 0.5, word
     assert max(model.scores(["you are kind.", "the idol is not here.", "close the closet.", "some columns.", "crown and clover.", "", None])) < 0.5
+
+
+def test_near_duplicates_do_not_depend_on_the_layout(spark):
+    """Weights and components of one table under several layouts, and exact weighted similarity by brute force."""
+    path = "/root/testdata/sf0.01"
+    rows = spark.read.parquet(f"{path}/documents.parquet").select("doc_id", "text").union(spark.createDataFrame([(5, "one two three four five six"), (5, "one two three four five six"), (None, "x")], "doc_id long, text string"))
+    seen = []
+    for df in (rows.coalesce(1), rows.repartition(3), rows.orderBy(F.desc("doc_id")).repartition(7)):
+        named = df.filter("doc_id is not null").select(F.col("doc_id").cast("long").alias("id"), F.col("text").cast("binary").alias("text"))
+        w = minhash_dedup.weights_of(named, minhash_dedup._scan(named))
+        groups = {(r.doc_id, r.component_id, r.kept) for r in minhash_dedup.near_duplicates(df).collect()}
+        seen.append((w, groups))
+    assert all((s[0].steps == seen[0][0].steps).all() and s[1] == seen[0][1] for s in seen)
+    # all pairs that share a shingle, by exact weighted similarity, are in one component
+    w, component = seen[0][0], {d: c for d, c, _ in seen[0][1]}
+    docs, holders = {}, {}
+    for r in spark.read.parquet(f"{path}/documents.parquet").select("doc_id", "text").collect():
+        h, tf = minhash_dedup.shingles((r.text or "").encode())
+        if len(h) and r.doc_id != 5:
+            docs[r.doc_id] = (h, w.of(h, tf))
+            for x in h.tolist():
+                holders.setdefault(x, []).append(r.doc_id)
+    pairs = {(a, b) for of in holders.values() if 1 < len(of) < 200 for i, a in enumerate(of) for b in of[i + 1 :]}
+    near = [(a, b) for a, b in pairs if minhash_dedup.weighted_jaccard(*docs[a], *docs[b]) >= 0.8]
+    assert near and all(component[a] == component[b] for a, b in near)
+    linked: dict = {d: d for d in docs}
+
+    def root(d):
+        while linked[d] != d:
+            d = linked[d]
+        return d
+
+    for a, b in near:
+        a, b = root(a), root(b)
+        linked[max(a, b)] = min(a, b)
+    assert {d: root(d) for d in docs} == {d: component[d] for d in docs}
