@@ -4,9 +4,11 @@ Pages of one host with the same outline form a group. The DOM of the group's fir
 is its template; every page's DOM is aligned with it by simple tree matching (the largest order- and parent-preserving set
 of node pairs with equal labels). Over the different pages of the group (pages with equal headlines, or without one with equal text
 outside of furniture, count once, so that copies don't make an article constant) a template node whose own text is nearly always
-the same is constant, the others are slots. What elements, classes, ids and roles say is a prior over the template's nodes:
-furniture is never content, as menus vary from page to page too; if an article or main element of the template holds slots, such
-elements are the group's content, else the lowest container beside which no varying text stands. Text that has no partner in
+the same is constant, the others are slots. The content is found by what varies: from the root down, always the container that holds most of the
+slots' text (DOMINANT), up to where blocks of varying text stand side by side. Siblings of one name are told apart by their
+shape (blocks, containers, bare text), so this needs no names. Names are a prior at its borders: what elements, classes, ids and roles
+call furniture is no content, as menus vary from page to page too; article or main elements of the template that hold slots and lie in
+the content, or around it, give the exact borders. Text that has no partner in
 the template counts for the nearest ancestor that has one. A page's text is that of its nodes aligned with the content, without
 furniture and without the own text of constant nodes (headings in an article are never taken for constant); article or
 main elements of a page that the template lacks are content as well. If nothing varies, nothing is constant. The column aligned
@@ -241,6 +243,28 @@ def regions_below(node: Node) -> Iterator[Node]:
 
 #: A drawn-together tree: (label, children).
 Tree = tuple
+#: Between a label and the shape of what the node holds.
+SHAPE = "\x1f"
+#: A container with at least this share of what varies in its parent goes on being the content; its siblings don't.
+DOMINANT = 0.5
+#: But containers of blocks with at least this share belong together.
+BESIDE = 0.2
+
+
+def shaped(node: Node) -> str:
+    """The label with the node's shape: text in blocks of their own (b), containers (c), nothing but bare text (t), or nothing. So siblings of
+    one name that hold different things aren't drawn together, whatever they are called."""
+    if node.tag in TEXTUAL or node.tag in ("#root", "html", "body"):
+        return node.label
+    tags = {c.tag for c in node.children if isinstance(c, Node) and c.tag not in INLINE}
+    shape = "b" if tags & (TEXTUAL - {"ul", "ol", "hr"}) else "c" if tags else "t" if any(not isinstance(c, str) or c.strip() for c in node.children) else ""
+    return f"{node.label}{SHAPE}{shape}"
+
+
+def _named(label: str) -> Node:
+    """A node of a template's label."""
+    tag, _, names = label.partition(SHAPE)[0].partition(".")
+    return Node(tag, names)
 
 
 def outline(node: Node) -> tuple[Tree, list[list[Node]]]:
@@ -252,10 +276,11 @@ def outline(node: Node) -> tuple[Tree, list[list[Node]]]:
         for x in nodes:
             for c in x.children:
                 if isinstance(c, Node) and c.tag not in INLINE:
-                    if runs and runs[-1][0] == c.label:
+                    label = shaped(c)
+                    if runs and runs[-1][0] == label:
                         runs[-1][1].append(c)
                     else:
-                        runs.append((c.label, [c]))
+                        runs.append((label, [c]))
         merged: dict[str, list[Node]] = {}
         if len(runs) > RUNS:  # long alternations are drawn together by label
             for label, group in runs:
@@ -274,7 +299,7 @@ def group_of(url: str | None, tree: Tree) -> str:
     """Host and outline: the labels below body."""
     host = re.match(r"^[a-zA-Z][\w+.-]*://(?:[^/?#@]*@)?([^/?#:]*)", url or "")
     body = next((t for t in _walk(tree, 3) if t[0].split(".")[0] == "body"), tree)
-    return (host[1].lower() if host else "") + " " + "|".join(dict.fromkeys(c[0] for c in body[1]))
+    return (host[1].lower() if host else "") + " " + "|".join(dict.fromkeys(c[0].partition(SHAPE)[0] for c in body[1]))
 
 
 def _walk(tree: Tree, depth: int) -> Iterator[Tree]:
@@ -352,28 +377,30 @@ def own_text(nodes: list[Node]) -> str:
 
 
 def page_texts(order: list[list[Node]], tree: Tree, pairs: dict[int, int]) -> list[tuple[int, str]]:
-    """(template node, own text) outside of furniture; text below node k that has no partner comes as node -1 - k."""
+    """(template node, own text) outside of furniture; text in blocks below node k that have no partner comes as node -1 - k. Containers that have
+    none say nothing about the template."""
     out: list[tuple[int, str]] = []
     lone: dict[int, list[str]] = {}
     k = 0
 
-    def below(t: Tree, near: int) -> None:
+    def below(t: Tree, near: int, block: bool) -> None:
         nonlocal k
         nodes = [x for x in order[k] if not is_furniture(x, False)]
         partner = pairs.get(k)
         k += 1
-        if text := own_text(nodes):
+        block = partner is not None or block and order[k - 1][0].tag in TEXTUAL
+        if block and (text := own_text(nodes)):
             if partner is None:
                 lone.setdefault(near, []).append(text)
             else:
                 out.append((partner, text))
         if nodes:
             for c in t[1]:
-                below(c, near if partner is None else partner)
+                below(c, near if partner is None else partner, block)
         else:
             k += sum(map(_size, t[1]))
 
-    below(tree, 0)
+    below(tree, 0, True)
     return out + [(-1 - near, "\n".join(texts)) for near, texts in lone.items()]
 
 
@@ -396,8 +423,15 @@ class Wrapper:
         for k, (_, _, c) in stats.items():
             if k not in self.constant:
                 mass[k if k >= 0 else -1 - k] += c
-        self.regions = self._regions(mass)
-        self.content = self.regions or frozenset([self._content(mass)])
+        lone = frozenset(-1 - k for k, (_, _, c) in stats.items() if k < 0 and k not in self.constant and c)
+        enough = max((n for n, _, _ in stats.values()), default=0) >= LEAST_PAGES
+        main, regions = self._content(mass, lone, DOMINANT if enough else 1.0), self._regions(mass)
+        end = {k: k + _size(t) for k, t in enumerate(_preorder(tree))}
+        within = frozenset(k for k in regions if main <= k < end[main])
+        around = frozenset(k for k in regions if k < main < end[k])
+        #: Article and main elements in the content, or around it, give it its exact borders; elsewhere they don't count.
+        self.regions = regions if not mass else within or around
+        self.content = self.regions or frozenset([main])
         if not mass:
             self.constant = frozenset()
         self.aligned: dict[Tree, dict[int, int]] = {}
@@ -408,10 +442,9 @@ class Wrapper:
 
         def below(t: Tree, k: int, inside: int) -> int:
             """The number after k's subtree; inside: the region around, or -1."""
-            tag, _, names = t[0].partition(".")
-            node = Node(tag, names)
+            node = _named(t[0])
             hidden = is_furniture(node, inside >= 0)
-            if not hidden and is_region(node) and (inside < 0 or tag == "article" and self.labels[inside] != "article"):
+            if not hidden and is_region(node) and (inside < 0 or node.tag == "article" and self.labels[inside] != "article"):
                 found.pop(inside, None)  # a main that holds articles stands for them
                 inside = k
                 found[k] = 0
@@ -422,31 +455,40 @@ class Wrapper:
                 at = below(c, at, inside) if not hidden else at + _size(c)
             return at
 
-        self.labels = [t[0].partition(".")[0] for t in _preorder(self.tree)]
+        self.labels = [_named(t[0]).tag for t in _preorder(self.tree)]
         below(self.tree, 0, -1)
         return frozenset(k for k, n in found.items() if n or not mass)
 
-    def _content(self, mass: dict[int, int]) -> int:
+    def _content(self, mass: dict[int, int], lone: frozenset[int], share: float) -> int:
+        """From the root down, the container that holds most of what varies (share), as long as there is one that isn't a block of text and
+        no blocks of varying text, or large containers of such, stand beside it. lone: nodes with such blocks that the template's page lacks."""
+
         def total(t: Tree, k: int) -> tuple[int, int]:
-            """Characters of slots below k, and the number after k's subtree."""
-            tag, _, names = t[0].partition(".")
-            own = 0 if is_furniture(Node(tag, names), False) else mass.get(k, 0)
+            """Characters of slots in and below k, and the number after k's subtree."""
+            tags.append(_named(t[0]).tag)
+            shapes.append(t[0].partition(SHAPE)[2])
+            hidden = is_furniture(_named(t[0]), False)
+            own = 0 if hidden else mass.get(k, 0)
             at = k + 1
             kids = []
             for c in t[1]:
                 n, after = total(c, at)
                 kids.append((n, at))
                 at = after
-            if is_furniture(Node(tag, names), False):
+            if hidden:
                 kids = []
             sums[k] = (own + sum(n for n, _ in kids), kids)
             return sums[k][0], at
 
         sums: dict[int, tuple[int, list[tuple[int, int]]]] = {}
-        tags: list[str] = [t[0].partition(".")[0] for t in _preorder(self.tree)]
-        whole, _ = total(self.tree, 0)
+        tags: list[str] = []
+        shapes: list[str] = []
+        total(self.tree, 0)
         k = 0
-        while whole and (kids := sums[k][1]) and (best := max(kids))[0] == whole and tags[best[1]] not in TEXTUAL:
+        while sums[k][0] and (kids := [x for x in sums[k][1] if tags[x[1]] not in TEXTUAL]) and (best := max(kids))[0] >= share * sums[k][0]:
+            beside = [(n, i) for n, i in sums[k][1] if n and i != best[1]]
+            if k in lone or any(tags[i] in TEXTUAL or shapes[i] == "b" and n >= BESIDE * sums[k][0] for n, i in beside):
+                break  # headings and paragraphs beside it belong to it
             k = best[1]
         return k
 

@@ -371,3 +371,31 @@ def test_near_duplicates_do_not_depend_on_the_layout(spark):
         a, b = root(a), root(b)
         linked[max(a, b)] = min(a, b)
     assert {d: root(d) for d in docs} == {d: component[d] for d in docs}
+
+
+def test_alignment_needs_no_names(spark):
+    """Over a whole table: with all structural elements renamed to div, and without classes, ids and roles, the texts stay what a plain walk over the
+    named pages gives."""
+    def stripped(h):
+        h = re.sub(r"<(/?)(article|main|nav|header|footer|aside|section)\b", r"<\1div", h or "", flags=re.I)
+        return re.sub(r"\s(class|id|role|itemprop)\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s>]+)", "", h, flags=re.I)
+
+    pages = spark.read.parquet("/root/testdata/sf0.1/pages.parquet").filter("page_id < 1500")
+    rows = pages.select("page_id", "url", "html").collect()
+    expected = {}
+    for r in rows:
+        root = html_wrapper.parse(r.html or "")
+        expected[r.page_id] = "\n\n".join(html_wrapper.blocks(html_wrapper.regions(root), True))
+    named = {r.page_id: r.text for r in html_wrapper.extract(pages).collect()}
+    bare = spark.createDataFrame([(r.page_id, r.url, stripped(r.html)) for r in rows], "page_id long, url string, html string")
+    unnamed = {r.page_id: r.text for r in html_wrapper.extract(bare).collect()}
+    assert named == expected and unnamed == expected
+
+
+def test_content_beside_other_text(spark):
+    """No names: an advert that varies, comments that vary, and headings beside the body's container."""
+    body = "<div><h1>Title {0}</h1><div><p>{1}</p><p>second {0}</p></div></div>"
+    page = "<body><div>advert {0} buy</div>" + body + "<div><div>reader {0} says</div><div>other {0}</div></div><div>(c) constant</div></body>"
+    rows = [(i, "http://h.example/x", page.format(i, f"words {i} " * 40)) for i in range(12)]
+    got = {r.page_id: r.text for r in html_wrapper.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert got == {i: f"Title {i}\n\n{(f'words {i} ' * 40).strip()}\n\nsecond {i}" for i in range(12)}
