@@ -30,6 +30,8 @@ MEMBERS = "path string, report_name string, member_idx int, name string, size lo
 LINES = "path string, report_name string, member_idx int, name string, size long, is_reg boolean, kind string, line_no long, line string"
 #: Bytes of archives that one task reads (or one archive), of a block of a member, and of a batch of rows.
 TASK_BYTES, BLOCK, BATCH = 64 << 20, 1 << 20, 16 << 20
+#: Tasks that the data source makes at least, as long as there are archives for them.
+MIN_TASKS = 32
 #: Of the xz writer: the fastest.
 PRESET = 0
 
@@ -262,14 +264,14 @@ class ArchiveReader(DataSourceReader):
             self.of = replace(self.of, kinds=self.allowed["kind"])
 
     def partitions(self) -> list[InputPartition]:
-        """Archives together up to TASK_BYTES."""
+        """Archives together up to TASK_BYTES, or less if that leaves fewer than MIN_TASKS."""
         own, folders = top_level(self.folder)
         found = own + [x for f in folders for x in _found(_below(f, True), _folder(f)[2])]
         of_path, of_report = self.allowed.get("path"), self.allowed.get("report_name")
         found = [(p, n) for p, n in found if (of_path is None or p in of_path) and (of_report is None or p.rsplit("/", 1)[-1] in of_report)]
-        out, held = [], 0
+        out, held, most = [], 0, min(TASK_BYTES, sum(n for _, n in found) // MIN_TASKS)
         for path, n in sorted(found):
-            if not out or held + n > TASK_BYTES:
+            if not out or held + n > most:
                 out.append([])
                 held = 0
             out[-1].append(path)
