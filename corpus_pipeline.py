@@ -12,31 +12,32 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 from harrow.llm import decontaminate, language_id, minhash_dedup, sentencepiece_fst, toxicity
-from harrow.llm.common import table
+from harrow.llm.common import drop_table, table
 
 
 def toxicity_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that are predicted toxic go."""
+    """Documents that are predicted toxic go. Null and empty texts hold no insult and stay."""
     return toxicity.reject_toxic(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
 
 
 def language_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents in no learned language go."""
+    """Documents in no learned language go, and so do null texts and texts without a letter."""
     return language_id.reject_unknown(docs)
 
 
 def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near-duplicates the document with the smallest doc_id stays."""
+    """Of each group of near-duplicates the document with the smallest doc_id stays. Texts without words are in no group and stay."""
     return minhash_dedup.drop_near_duplicates(docs)
 
 
 def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents of which at least a twentieth of the words are benchmark passages go; the others stay as they are."""
+    """Documents of which at least a twentieth of the words are benchmark passages go; the others, and texts without words, stay as they
+    are."""
     return decontaminate.decontaminate(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
 
 
 def token_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """SentencePiece ids of every text, and whether they decode to it."""
+    """SentencePiece ids of every text (null: none, as for an empty one), and whether they decode to it."""
     return sentencepiece_fst.encode(docs, public_tokenizers.path("piece_bpe_32k.model"))
 
 
@@ -55,5 +56,7 @@ ORACLE_SQL = None
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for name, stage in STAGES:
-        docs = table(stage(spark, docs, sf_dir), name)
+        before, docs = docs, table(stage(spark, docs, sf_dir), name)
+        if hasattr(before, "table_path"):  # the next stage's output is written, so nothing reads it any more
+            drop_table(before)
     return docs
