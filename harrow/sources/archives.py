@@ -312,4 +312,7 @@ def write_archives(files: DataFrame, out: str) -> DataFrame:
         system.move(part, where)
         return pa.table({"path": [path], "members": [rows.num_rows]})
 
-    return files.select("report_name", "name", "rank", F.col("body").cast("binary").alias("body")).groupBy("report_name").applyInArrow(write, "path string, members long")
+    # a number of its own: by their bytes few tasks would do, but packing takes its time
+    tasks = int(files.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    packed = files.select("report_name", "name", "rank", F.col("body").cast("binary").alias("body")).repartition(tasks, "report_name")
+    return packed.groupBy("report_name").applyInArrow(write, "path string, members long")
