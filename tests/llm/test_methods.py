@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 import corpus_pipeline
 from harrow.llm import decontaminate, embedding_dedup, html_wrapper, language_id, minhash_dedup, sentencepiece_fst, token_counts, token_shards, toxicity, warc_zip
-from harrow.llm.common import Recent
+from harrow.llm.common import Recent, words
 
 DOCS = "doc_id long, text string, lang string, source string, n_chars long"
 
@@ -145,6 +145,20 @@ def test_language_filter_against_sets():
     assert language_id.words_of("Ab1c_dé नमस्ते x́y") == ["ab", "c", "dé", "नमस्ते", "x́y"]
 
 
+def test_word_hashes_stand_for_words():
+    """Equal words and no others have equal hashes, wherever they stand, also around the borders of pieces."""
+    piece, rng = minhash_dedup.PIECE, random.Random(4)
+    texts = [None, b"", b" ", b"a", b" A a-a ", b"x" * (3 * piece), b"a " * piece, b" " * (piece + 5) + b"a"]
+    texts += [b" " * lead + b"a" * n + b" b c" for lead in (0, 1) for n in range(piece - 3, piece + 2)]
+    texts += [bytes(rng.choice(b"ab\xc3 ,") for _ in range(n)) for n in (*range(40), *range(piece - 3, piece + 3))]
+    hash_of, word_of = {}, {}
+    for text in texts:
+        hashes, plain = minhash_dedup.word_hashes(text).tolist(), words(text)
+        assert len(hashes) == len(plain)
+        for w, h in zip(plain, hashes):
+            assert hash_of.setdefault(w, h) == h and word_of.setdefault(h, w) == w
+
+
 def test_signatures_estimate_weighted_similarity():
     rng = np.random.default_rng(10)
     h = rng.integers(1, 1 << 63, 400).astype("u8")
