@@ -22,7 +22,6 @@ import unicodedata
 from collections import Counter
 
 import numpy as np
-import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -49,8 +48,9 @@ def words_of(text: str | None) -> list[str]:
     return [w for w in "".join(c if c in _MARKS or c.isalpha() else " " for c in text).split() if not _MARKS.issuperset(w)]
 
 
-#: Bits of a packed per-language count.
-SLOT = 48
+#: Bits of a packed per-language count, and words looked up at a time.
+SLOT, LOOKED_UP = 48, 5000
+_MUL = np.uint64(0x9E3779B97F4A7C15)
 
 
 def grams(word: str) -> list[str]:
@@ -64,8 +64,25 @@ def _positions(hashes: np.ndarray) -> np.ndarray:
     return ((hashes[:, None] + np.arange(HASHES, dtype="u8") * step[:, None]) & np.uint64(POSITIONS - 1)).astype("i8")
 
 
+def _points(text: str) -> np.ndarray:
+    """Code points, from one on."""
+    return np.frombuffer(text.encode("utf-32-le", "surrogatepass"), "<u4").astype("u8") + np.uint64(1)
+
+
+def _spread(folded: np.ndarray) -> np.ndarray:
+    folded = (folded ^ (folded >> np.uint64(32))) * _MUL
+    return folded ^ (folded >> np.uint64(29))
+
+
 def _hashes(strings: list[str]) -> np.ndarray:
-    return np.array([xxhash.xxh3_64_intdigest(s) for s in strings], "u8")
+    """Hashes of strings with at least one character: code points folded by a multiplier, then spread."""
+    points, lengths = _points("".join(strings)), np.fromiter(map(len, strings), "i8", len(strings))
+    starts = np.cumsum(lengths) - lengths
+    folded = points[starts]
+    for i in range(1, int(lengths.max(initial=0))):
+        longer = np.flatnonzero(lengths > i)
+        folded[longer] = folded[longer] * _MUL + points[starts[longer] + i]
+    return _spread(folded)
 
 
 class LanguageFilter:
@@ -90,19 +107,39 @@ class LanguageFilter:
 
     def containing(self, strings: list[str]) -> np.ndarray:
         """(n-grams, languages): whether the language contains the n-gram (or the filter says so)."""
-        at = _positions(_hashes(strings))
+        return self._containing(_hashes(strings))
+
+    def _containing(self, hashes: np.ndarray) -> np.ndarray:
+        at = _positions(hashes)
         found = [np.bitwise_and.reduce(s[at], axis=1) for s in self.slices]
-        return np.stack([(found[i // 64] >> found[i // 64].dtype.type(i % 64)) & 1 for i in range(len(self.languages))], 1)
+        return np.stack([(found[i // 64] >> found[i // 64].dtype.type(i % 64)).astype("u1") & 1 for i in range(len(self.languages))], 1)
+
+    def hits(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """(words, languages) counts of each word's grams() that the language contains, and the numbers of grams().
+
+        The words stand in a row, with their borders; the n-grams that begin at a place are hashed from those one shorter.
+        """
+        points = _points(f"^{'$^'.join(words)}$")
+        lengths = np.fromiter(map(len, words), "i8", len(words)) + 2
+        ends = np.cumsum(lengths)
+        left = np.repeat(ends, lengths) - np.arange(len(points))  # places up to the word's end
+        found = np.zeros((len(points), len(self.languages)), "u1")
+        at, folded = np.arange(len(points)), points
+        for n in range(2, LONGEST + 1):
+            fits = left[at] >= n
+            at = at[fits]
+            folded = folded[fits] * _MUL + points[at + n - 1]
+            found[at] += self._containing(_spread(folded))
+        each = sum(np.maximum(lengths - n + 1, 0) for n in range(2, LONGEST + 1))
+        return np.add.reduceat(found, ends - lengths, axis=0, dtype="i8"), each
 
     def look_up(self, words: set[str]) -> dict[str, int]:
         """The words' packed counts: hits a language, then the number of n-grams."""
-        known = {w: self.memo[w] for w in words if w in self.memo}
+        known = {w: packed for w in words if (packed := self.memo.get(w)) is not None}
         new = [w for w in words if w not in known]
-        for start in range(0, len(new), 5000):
-            part = new[start : start + 5000]
-            parts = [grams(w) for w in part]
-            n = np.array([len(p) for p in parts])
-            hits = np.add.reduceat(self.containing([g for p in parts for g in p]).astype("i8"), np.concatenate([[0], np.cumsum(n)[:-1]]), axis=0)
+        for start in range(0, len(new), LOOKED_UP):
+            part = new[start : start + LOOKED_UP]
+            hits, n = self.hits(part)
             for w, row, k in zip(part, hits.tolist(), n.tolist()):
                 packed = k
                 for x in reversed(row):

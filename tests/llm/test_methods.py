@@ -145,6 +145,19 @@ def test_language_filter_against_sets():
     assert language_id.words_of("Ab1c_dé नमस्ते x́y") == ["ab", "c", "dé", "नमस्ते", "x́y"]
 
 
+@pytest.mark.parametrize("n_languages", [3, 70])
+def test_hits_of_words_against_their_grams(n_languages):
+    """Words hashed in a row have the n-grams that they have one by one: short ones, long ones, marks and characters beyond 16 bits."""
+    rng = random.Random(6)
+    asked = ["a", "é", "\U0001d400b", "x́", "ab" * 2000] + ["".join(rng.choice("abcdé\U0001d400") for _ in range(rng.randrange(1, 12))) for _ in range(400)]
+    names = [f"l{i}" for i in range(n_languages)]
+    sets = {name: {g for w in rng.sample(asked, 20) for g in language_id.grams(w)} for name in names}
+    f = language_id.LanguageFilter(names, {name: sorted(of) for name, of in sets.items()})
+    hits, n = f.hits(asked)
+    assert n.tolist() == [len(language_id.grams(w)) for w in asked]
+    assert hits.tolist() == [[sum(g in sets[name] for g in language_id.grams(w)) for name in names] for w in asked]
+
+
 def test_word_hashes_stand_for_words():
     """Equal words and no others have equal hashes, wherever they stand, also around the borders of pieces."""
     piece, rng = minhash_dedup.PIECE, random.Random(4)
