@@ -1,12 +1,14 @@
 """Near-duplicates by improved consistent weighted sampling (ICWS) over TF-IDF weighted five-word shingles.
 
 1. Documents with equal words form a class (its smallest doc_id stands for it); only classes go on.
-2. Weights: TF-IDF, (1 + ln tf) (1 + ln(N / max(df, N / COMMON))) / (1 + ln COMMON), with document frequencies over families of
-   copies: in a group of copies that holds a third of all documents the shared shingles would otherwise be common and lose their
+2. Weights: TF-IDF, (1 + ln tf) (1 + ln(N / max(df, N / COMMON))) / (1 + ln COMMON). N and the document frequencies df come from all
+   shingles of all documents with words, of which each counts by its share, and a family of copies shares one count among its
+   members: in a group of copies that holds a third of all documents the shared shingles would otherwise be common and lose their
    weight, while each copy's own edits keep theirs, so members would fall below the threshold just because there are many. A
-   document's anchors are its ANCHORS shingles with the smallest hashes, of which near copies nearly always share one; a document
-   is counted if no document with a smaller id has one of its anchors, whatever the layout of the input and the order of its rows.
-   Counts over all tasks are kept by two hashes of the shingle in
+   document's anchors are its ANCHORS shingles with the smallest hashes; if more than a quarter of them are held by m documents or
+   more each, its share is 1 / m for the largest such m, whatever the layout of the input and the order of its rows. A passage that
+   documents have in common takes nothing from them, unless it gives them more than a quarter of their anchors. Shares are whole
+   numbers of 1 / UNIT, so that sums don't depend on their order. Counts over all tasks are kept by two hashes of the shingle in
    tables of COUNTERS each (whose size doesn't depend on the input; the smaller count less what rare shingles add on average is the
    frequency), so a weight is a function of the shingle alone, the same for all documents.
 3. ICWS: BANDS * ROWS samples; documents whose ROWS samples of a band agree share a bucket. At similarity 0.8 a pair
@@ -32,13 +34,14 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import WORD_BYTES, connected_components, drop_table, held, table, words
 
 SHINGLE, SIMILARITY, BANDS, ROWS, COMMON = 5, 0.8, 10, 3, 500
-ANCHORS = 3
+#: Anchors of a document, and what a document that has no copies counts for.
+ANCHORS, UNIT = 8, 1 << 30
 #: Counters of a table of shingle counts, sent in CHUNK at a time.
 COUNTERS, CHUNK = 1 << 20, 1 << 14
 #: Parities kept of a document's rare shingles, 64 a column.
@@ -221,58 +224,72 @@ def _scan(docs: DataFrame) -> DataFrame:
     return docs.mapInArrow(run, "id long, data binary, anchors array<long>")
 
 
-def _families(scanned: DataFrame) -> DataFrame:
-    """id: of each document that is the first, by id, with each of its anchors."""
-    held_by = scanned.select("id", F.explode("anchors").alias("anchor")).distinct()
-    first = held_by.groupBy("anchor").agg(F.min("id").alias("id")).groupBy("id").agg(F.count("*").alias("first"))
-    own = held_by.groupBy("id").agg(F.count("*").alias("own"))
-    return own.join(first, "id").filter("own = first").select(F.col("id").alias("counted"))
+def _shares(scanned: DataFrame, repeated: bool) -> tuple[DataFrame, DataFrame]:
+    """of, share: ids of the documents that count for less than UNIT, and what they count for. And the table that it reads."""
+    held_by = scanned.select("id", F.explode("anchors").alias("anchor"), F.size("anchors").alias("own"))
+    if repeated:  # the anchors of all rows of an id, in unsigned order
+        one = Window.partitionBy("id")
+        rank = F.row_number().over(one.orderBy(F.col("anchor").bitwiseXOR(F.lit(-1 << 63))))
+        first = held_by.select("id", "anchor").distinct().withColumn("rank", rank).filter(F.col("rank") <= ANCHORS)
+        held_by = first.select("id", "anchor", F.count("*").over(one).alias("own"))
+    counted = held_by.groupBy("anchor").agg(F.count("*").alias("holders")).filter("holders > 1")
+    shared = table(counted.select(F.col("anchor").alias("same"), "holders"), "shared")
+    # a plain join, as an anchor can be hot; merged at every size, as the table grows with the documents
+    found = held_by.join(shared.hint("merge"), F.col("anchor") == F.col("same")).groupBy("id")
+    sizes = found.agg(F.sort_array(F.collect_list("holders"), asc=False).alias("sizes"), F.first("own").alias("own"))
+    size = F.get("sizes", F.expr("cast(own div 4 as int)"))  # null if too few anchors are held by others
+    shares = sizes.select(F.col("id").alias("of"), size.alias("size")).filter("size is not null")
+    return shares.select("of", F.greatest(F.expr(f"{UNIT} div size"), F.lit(1)).alias("share")), shared
 
 
 def _counts(docs: DataFrame) -> DataFrame:
-    """chunk, n, data: chunks of the counts that each task makes, and its documents."""
+    """chunk, n, data: chunks of the counts that each task makes, and its documents; docs: share, text. n and counts are in UNITs' parts."""
     schema = pa.schema({"chunk": pa.int32(), "n": pa.int64(), "data": pa.binary()})
 
     def run(batches):
-        counts, n_counted = np.zeros((2, COUNTERS), "u4"), 0
-        for _, texts in _text_blocks(batches):
-            n_counted += len(texts)
-            for row, at in zip(counts, counters(np.concatenate([shingles(text)[0] for text in texts]))):
-                row += np.bincount(at, minlength=COUNTERS).astype("u4")
-        if n_counted:
+        counts, n = np.zeros((2, COUNTERS), "u8"), 0
+        for shares, texts in _text_blocks(batches):
+            found = [shingles(text)[0] for text in texts]
+            n += sum(share for share, hashes in zip(shares, found) if len(hashes))
+            each = np.repeat(np.array(shares, "f8"), [len(hashes) for hashes in found])
+            for row, at in zip(counts, counters(np.concatenate(found))):
+                row += np.bincount(at, each, COUNTERS).astype("u8")  # whole numbers far below 2^53
+        if n:
             chunks = counts.reshape(-1, CHUNK)
-            yield pa.RecordBatch.from_arrays([pa.array(range(len(chunks)), pa.int32()), pa.array([n_counted] * len(chunks), pa.int64()), pa.array([zlib.compress(c.astype("<u4").tobytes(), 1) for c in chunks], pa.binary())], schema=schema)
+            yield pa.RecordBatch.from_arrays([pa.array(range(len(chunks)), pa.int32()), pa.array([n] * len(chunks), pa.int64()), pa.array([zlib.compress(c.astype("<u8").tobytes(), 1) for c in chunks], pa.binary())], schema=schema)
 
     return docs.mapInArrow(run, "chunk int, n long, data binary")
 
 
 def weights_of(docs: DataFrame, scanned: DataFrame) -> Weights:
     """The weights of all shingles. docs: id, text; scanned: _scan() of them."""
-    counted = table(_families(scanned), "families")
+    repeated = not scanned.groupBy("id").agg(F.count("*").alias("n")).filter("n > 1").isEmpty()
+    found, shared = _shares(scanned, repeated)
+    shares = table(found, "shares")
+    every = docs.dropDuplicates(["id", "text"]) if repeated else docs  # rows that repeat are one document
     # sorted and merged at every size: a table of ids grows with the documents
-    some = docs.join(counted.hint("merge"), F.col("id") == F.col("counted"), "left_semi")
-    if not scanned.groupBy("id").agg(F.count("*").alias("n")).filter("n > 1").isEmpty():
-        some = some.dropDuplicates(["id", "text"])  # rows that repeat are one document
-    out = Weights(*_counted(_counts(some)))
-    drop_table(counted)
+    every = every.join(shares.hint("merge"), F.col("id") == F.col("of"), "left")
+    out = Weights(*_counted(_counts(every.select(F.coalesce("share", F.lit(UNIT)).alias("share"), "text"))))
+    for old in (shared, shares):
+        drop_table(old)
     return out
 
 
-def _counted(counts: DataFrame) -> tuple[int, np.ndarray]:
+def _counted(counts: DataFrame) -> tuple[float, np.ndarray]:
     """Counted documents, and the two tables of counts: sums over tasks, in two levels, so that no task adds up very many."""
 
     def add(rows: pa.Table) -> pa.Table:
         total = np.zeros(CHUNK, "u8")
         for data in rows.column("data"):
-            total += np.frombuffer(zlib.decompress(data.as_py()), "<u4")
-        return pa.table({"chunk": pa.array([rows.column("chunk")[0].as_py()], pa.int32()), "n": [sum(rows.column("n").to_pylist())], "data": [zlib.compress(np.minimum(total, 0xFFFFFFFF).astype("<u4").tobytes(), 1)]})
+            total += np.frombuffer(zlib.decompress(data.as_py()), "<u8")
+        return pa.table({"chunk": pa.array([rows.column("chunk")[0].as_py()], pa.int32()), "n": [sum(rows.column("n").to_pylist())], "data": [zlib.compress(total.astype("<u8").tobytes(), 1)]})
 
     schema = "chunk int, n long, data binary"
     parts = counts.withColumn("part", F.pmod(F.xxhash64("data"), F.lit(32)))
     sums = parts.groupBy("chunk", "part").applyInArrow(add, schema).groupBy("chunk").applyInArrow(add, schema).toArrow()  # the tables' size
     tables, n = np.zeros((2 * COUNTERS // CHUNK, CHUNK)), 0
     for chunk, k, data in zip(*(sums.column(c).to_pylist() for c in ("chunk", "n", "data"))):
-        tables[chunk], n = np.frombuffer(zlib.decompress(data), "<u4"), k
+        tables[chunk], n = np.frombuffer(zlib.decompress(data), "<u8") / UNIT, k / UNIT
     return n, tables.reshape(2, COUNTERS)
 
 

@@ -400,6 +400,53 @@ def test_near_duplicates_do_not_depend_on_the_layout(spark):
     assert {d: root(d) for d in docs} == {d: component[d] for d in docs}
 
 
+def _weights(spark, texts):
+    df = spark.createDataFrame([(i, t.encode()) for i, t in enumerate(texts)], "id long, text binary").repartition(3)
+    return minhash_dedup.weights_of(df, minhash_dedup._scan(df))
+
+
+def _plain_weight(df, n):
+    return (1 + math.log(n / max(df, n / minhash_dedup.COMMON))) / (1 + math.log(minhash_dedup.COMMON))
+
+
+def test_weights_count_every_document(spark):
+    """Documents that begin alike but are no copies all count, so weights are those of plain document frequencies."""
+    rng = random.Random(5)
+    # the opening that holds the smallest hash, so that it is among the smallest of every document
+    opening = min(([f"open{k}x{i}" for i in range(8)] for k in range(200)), key=lambda words: minhash_dedup.shingles(" ".join(words).encode())[0][0])
+    passage = [f"pass{i}" for i in range(9)]
+    texts = [" ".join([*opening, *(passage if i % 10 == 0 else []), *(f"w{rng.randrange(1 << 40)}" for _ in range(150))]) for i in range(400)]
+    found = [minhash_dedup.shingles(t.encode())[0] for t in texts]
+    plain: dict = {}
+    for h in np.concatenate(found).tolist():
+        plain[h] = plain.get(h, 0) + 1
+    assert {1, 40, 400} <= set(plain.values()) and all(400 in [plain[x] for x in h[:3].tolist()] for h in found)
+    w = _weights(spark, texts)
+    hashes = np.array(list(plain), "u8")
+    got = dict(zip(plain, w.of(hashes, np.ones(len(hashes), "i8")).tolist()))
+    off = [h for h, df in plain.items() if abs(got[h] - _plain_weight(df, 400)) > 0.01]
+    assert len(off) < 0.005 * len(plain) and not [h for h in off if plain[h] > 1]  # but for chance meetings in both tables
+
+
+def test_weights_count_a_family_once(spark):
+    """Members of a large group of near copies share one count, and each member's own words are counted too."""
+    rng = random.Random(6)
+    base = [f"b{i}" for i in range(200)]
+    copies = []
+    for i in range(200):
+        own = list(base)
+        own[rng.randrange(200)] = f"edit{i}"
+        copies.append(" ".join(own))
+    others = [" ".join(f"w{rng.randrange(1 << 40)}" for _ in range(60)) for _ in range(300)]
+    w = _weights(spark, copies + others)
+    h = minhash_dedup.shingles(" ".join(base).encode())[0]
+    one = np.ones(len(h), "i8")
+    assert np.median(w.of(h, one)) >= _plain_weight(3, 301)
+    rows = list(enumerate(copies + others))
+    got = {r.doc_id: r.component_id for r in minhash_dedup.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert all(got[i] == (0 if i < 200 else i) for i in got)
+
+
 def test_alignment_needs_no_names(spark):
     """Over a whole table: with all structural elements renamed to div, and without classes, ids and roles, the texts stay what a plain walk over the
     named pages gives."""
