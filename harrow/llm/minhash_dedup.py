@@ -428,7 +428,8 @@ def drop_near_duplicates(documents: DataFrame, similarity: float = SIMILARITY) -
     kept = table(kept.filter("kept").select("kept_id", "n"), "kept")
     names = documents.columns
     wide = documents.toDF(*(f"c{i}" for i in range(len(names)))).withColumn("kept_key", F.col(f"c{names.index('doc_id')}").cast("long"))
-    out = wide.join(kept, F.col("kept_key") == F.col("kept_id"), "left").filter("kept_id is not null or kept_key is null")
+    # merged at every size, as the kept ids grow with the documents
+    out = wide.join(kept.hint("merge"), F.col("kept_key") == F.col("kept_id"), "left").filter("kept_id is not null or kept_key is null")
     columns = [f"c{i}" for i in range(len(names))]
     if kept.filter("n > 1").isEmpty():
         return out.select(columns).toDF(*names)
