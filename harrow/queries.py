@@ -23,7 +23,7 @@ from harrow.plans import tables as T
 from harrow.plans.ingest import ingest
 from harrow.plans.publish import Tables
 from harrow.schemas import OS_COMMANDS, OS_LOGS, QUARANTINE
-from harrow.sources.archives import FORMAT, LINES, register, write_archives
+from harrow.sources.archives import FORMAT, LINES, copy_archives, listed, register, write_archives
 from harrow.sources.files import DriverFiles
 from harrow.streaming.arrivals import ingest_arrivals
 
@@ -172,11 +172,9 @@ def shared_target(spark, sf_dir):
     folder = _reports(spark, sf_dir)
     out = folder + "-tables"
     ingest(spark, folder, out)
-    files = DriverFiles(spark)
-    files.create_new(f"{folder}-more/broken.tar.xz", b"broken")
-    for name in files.names(folder):
-        if name.startswith("docs-"):
-            files.create_new(f"{folder}-more/{name}", files.read(f"{folder}/{name}"))
+    DriverFiles(spark).create_new(f"{folder}-more/broken.tar.xz", b"broken")
+    again = listed(spark, folder).filter(F.substring_index("path", "/", -1).startswith("docs-"))
+    copy_archives(again, folder + "-more", int(spark.conf.get("spark.sql.shuffle.partitions"))).write.parquet(folder + "-copied")
     for _ in range(2):
         ingest_arrivals(spark, folder + "-more", out, folder + "-checkpoint").awaitTermination()
     tables = Tables(spark, out)

@@ -292,6 +292,32 @@ def register(spark: SparkSession) -> None:
     spark.dataSource.register(ArchiveSource)
 
 
+def copy_archives(paths: DataFrame, out: str, tasks: int) -> DataFrame:
+    """Copy the archives at paths (path, ...), whose names differ, into the folder out by so many tasks; returns path, bytes of the copies.
+
+    A block is held at a time, and a copy gets its name once it is whole.
+    """
+    schema = pa.schema([("path", pa.string()), ("bytes", pa.int64())])
+
+    def copy(path: str) -> dict:
+        (source, origin), target = locate(path), f"{out}/{path.rsplit('/', 1)[-1]}"
+        system, where = locate(target)
+        system.create_dir(where.rsplit("/", 1)[0], recursive=True)
+        part, n = f"{where}.{uuid.uuid4().hex}.part", 0
+        with source.open_input_stream(origin) as raw, system.open_output_stream(part) as copied:
+            while block := raw.read(BLOCK):
+                copied.write(block)
+                n += len(block)
+        system.move(part, where)
+        return {"path": target, "bytes": n}
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield pa.RecordBatch.from_pylist([copy(path) for path in batch.column(0).to_pylist()], schema)
+
+    return paths.select("path").repartition(max(1, tasks)).mapInArrow(run, "path string, bytes long")
+
+
 def write_archives(files: DataFrame, out: str) -> DataFrame:
     """Write files (report_name, name, body, rank) as archives under out, members in rank order; returns path, members.
 

@@ -9,6 +9,7 @@ import shutil
 import pytest
 from pyspark.sql import functions as F
 
+from harrow import queries
 from harrow.operators import stats
 from harrow.plans import ingest as I
 from harrow.plans.publish import Tables
@@ -236,6 +237,23 @@ def test_listing_by_tasks(spark, tmp_path):
         assert sorted(r.path for r in found) == plain and all(r.bytes > 0 for r in found)
 
 
+def test_archives_are_copied_by_tasks(spark, tmp_path, monkeypatch):
+    bodies = {"a.tar.xz": random.Random(2).randbytes(2 * A.BLOCK + 5), "v w%20#.tar.xz": b"x", "none.tar.xz": b""}
+    (tmp_path / "in").mkdir()
+    for name, body in bodies.items():
+        (tmp_path / "in" / name).write_bytes(body)
+    copied = A.copy_archives(A.listed(spark, str(tmp_path / "in")), str(tmp_path / "to/more"), 2).collect()
+    assert {r.path: r.bytes for r in copied} == {str(tmp_path / "to/more" / n): len(b) for n, b in bodies.items()}
+    assert {f.name: f.read_bytes() for f in (tmp_path / "to/more").iterdir()} == bodies
+    # none of a query's archives goes through the driver
+    through, read_, create = [], DriverFiles.read, DriverFiles.create_new
+    monkeypatch.setattr(DriverFiles, "read", lambda self, path: through.append(path) or read_(self, path))
+    monkeypatch.setattr(DriverFiles, "create_new", lambda self, path, data: through.append(path) or create(self, path, data))
+    found = {(r.table_name, r.report_name): r.n for r in queries.shared_target(spark, "/root/testdata/sf0.001").collect()}
+    assert found["os_quarantine", "broken.tar.xz"] == 1 and any(n % 2 == 0 for (_, r), n in found.items() if r.startswith("docs-"))
+    assert [p.rsplit("/", 1)[-1] for p in through if p.endswith(".tar.xz")] == ["broken.tar.xz"]
+
+
 def test_lines_equal_an_incremental_decoder():
     rng = random.Random(3)
     bits = [b"\n", b"\r\n", b"a", "é".encode(), "日本".encode(), b"\xff", b"\xe2\x82", b"\xf0\x9f", b"", b"\x00", "\x85 ".encode()]
