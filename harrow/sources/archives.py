@@ -15,6 +15,7 @@ from collections.abc import Iterable, Iterator
 from dataclasses import dataclass, replace
 from typing import BinaryIO
 
+import numpy as np
 import pyarrow as pa
 from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession
@@ -28,8 +29,8 @@ from harrow.sources.files import locate
 ENDING = ".tar.xz"
 MEMBERS = "path string, report_name string, member_idx int, name string, size long, is_reg boolean, kind string, body binary"
 LINES = "path string, report_name string, member_idx int, name string, size long, is_reg boolean, kind string, line_no long, line string"
-#: Bytes of archives that one task reads (or one archive), of a block of a member, and of a batch of rows.
-TASK_BYTES, BLOCK, BATCH = 64 << 20, 1 << 20, 16 << 20
+#: Bytes of archives that one task reads (or one archive), of a block of a member, and of a batch of rows; lines of a batch.
+TASK_BYTES, BLOCK, BATCH, BATCH_ROWS = 64 << 20, 1 << 20, 16 << 20, 1 << 16
 #: Tasks that the data source makes at least, as long as there are archives for them.
 MIN_TASKS = 32
 #: Of the xz writer: the fastest.
@@ -83,16 +84,29 @@ def decoded_lines(stream: BinaryIO, block: int = BLOCK) -> Iterator[list[str]]:
 
 
 def scan(path: str, of: Scan) -> Iterator[pa.RecordBatch]:
-    """The archive's rows. Of a log member one block is held at a time, if lines are asked for; other bodies only if they are asked for."""
+    """The archive's rows, small members together in a batch. If lines are asked for, no more than BATCH and a block (or a command) is held
+    at a time; other bodies only if they are asked for."""
     schema, report = of.schema(), path.rsplit("/", 1)[-1]
-    rows, held = [], 0
-
-    def batch(columns: dict, n: int) -> pa.RecordBatch:
-        return pa.RecordBatch.from_arrays([columns[f.name] if isinstance(columns[f.name], pa.Array) else pa.repeat(pa.scalar(columns[f.name], f.type), n) for f in schema], schema=schema)
+    of_member = pa.schema([f for f in schema if not of.lines or f.name not in ("line_no", "line")])
+    rows, spans, numbers, lines, held = [], [], [], [], 0
+
+    def add(row: dict, some: list[str | None], first: int) -> None:
+        """A member's lines, numbered from first on."""
+        if not rows or rows[-1] is not row:
+            rows.append(row)
+            spans.append(0)
+        spans[-1] += len(some)
+        numbers.extend(range(first, first + len(some)))
+        lines.extend(some)
 
     def flushed() -> pa.RecordBatch:
-        out = pa.RecordBatch.from_pylist([{n: r[n] for n in schema.names} for r in rows], schema)
-        rows.clear()
+        out = pa.RecordBatch.from_pylist([{c: r[c] for c in of_member.names} for r in rows], of_member)
+        if of.lines:  # each of rows stands for a span of lines
+            member = pa.array(np.repeat(np.arange(len(rows)), spans))
+            columns = {f.name: out.column(f.name).take(member) for f in of_member} | {"line_no": pa.array(numbers, pa.int64()), "line": pa.array(lines, pa.string())}
+            out = pa.RecordBatch.from_arrays([columns[c] for c in schema.names], schema=schema)
+        for held_back in (rows, spans, numbers, lines):
+            held_back.clear()
         return out
 
     member_idx = -1
@@ -109,26 +123,32 @@ def scan(path: str, of: Scan) -> Iterator[pa.RecordBatch]:
                     rows.append(row | {"body": body})
                     held += len(body or b"")
                 else:
-                    rows.append(row | {"line_no": -1, "line": None})
+                    add(row, [None], -1)
                     if kind == "command" and "line" in schema.names:
                         text = archive.extractfile(m).read().decode("utf-8", "replace")
-                        rows.append(row | {"line_no": 0, "line": text})
+                        add(row, [text], 0)
                         held += len(text)
                     elif kind == "log" and "line" in schema.names:
-                        yield flushed()
-                        held, first = 0, 0
+                        first = 0
                         for some in decoded_lines(archive.extractfile(m)):
-                            lines = pa.array(some, pa.string())
-                            yield batch(row | {"line_no": pa.array(range(first, first + len(some)), pa.int64()), "line": lines}, len(some))
+                            add(row, some, first)
                             first += len(some)
-                if held > BATCH or len(rows) >= 4096:
+                            held += sum(map(len, some))
+                            if held > BATCH or len(lines) >= BATCH_ROWS:
+                                yield flushed()
+                                held = 0
+                if held > BATCH or len(rows) >= 4096 or len(lines) >= BATCH_ROWS:
                     yield flushed()
                     held = 0
     except (tarfile.TarError, EOFError, OSError) as e:
         if of.on_corrupt == "fail":
             raise ArchiveError(f"{path}: {e}") from e
         said = f"after member {member_idx}: {e}" if member_idx >= 0 else str(e)
-        rows.append({"path": path, "report_name": report, "member_idx": -1, "name": type(e).__name__, "size": 0, "is_reg": False, "kind": "corrupt", "body": said.encode(), "line_no": -1, "line": said})
+        row = {"path": path, "report_name": report, "member_idx": -1, "name": type(e).__name__, "size": 0, "is_reg": False, "kind": "corrupt", "body": said.encode()}
+        if of.lines:
+            add(row, [said], -1)
+        else:
+            rows.append(row)
     if rows:
         yield flushed()
 

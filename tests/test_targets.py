@@ -265,6 +265,20 @@ def test_lines_equal_an_incremental_decoder():
             assert [x.rstrip("\r") for x in found] == expected, data
 
 
+def test_small_members_share_batches(tmp_path):
+    files = [f for k in range(300) for f in (log(k, f"INFO m {k}\nrest"), (f"sos_commands/podman/{k}", b"x\ny"))]
+    put(tmp_path / "a.tar.xz", files)
+    put(tmp_path / "many.tar.xz", [("var/log/nova/many.log", b"ab\n" * 1_500_000), log("last")])
+    batches = list(A.scan(str(tmp_path / "a.tar.xz"), A.Scan(1 << 20, lines=True)))
+    found = [(r["name"], r["line_no"], r["line"]) for b in batches for r in b.to_pylist()]
+    assert len(batches) == 1 and len(found) == 300 * 5
+    assert found[-5:] == [("var/log/nova/299.log", -1, None), ("var/log/nova/299.log", 0, HEAD + "INFO m 299"), ("var/log/nova/299.log", 1, "rest"), ("sos_commands/podman/299", -1, None), ("sos_commands/podman/299", 0, "x\ny")]
+    # a large member doesn't wait for its end, and its lines stay in order
+    batches = list(A.scan(str(tmp_path / "many.tar.xz"), A.Scan(25 << 20, lines=True)))
+    assert max(b.num_rows for b in batches) < A.BLOCK and len(batches) > 2
+    assert [n for b in batches for n in b.column("line_no").to_pylist()] == [*range(-1, 1_500_000), -1, 0]
+
+
 def test_members_far_above_a_block_are_read_as_lines(spark, tmp_path):
     line = HEAD + "INFO m " + "x" * 100 + "\n"
     put(tmp_path / "in/a.tar.xz", [("var/log/nova/big.log", line.encode() * 60_000), ("var/log/nova/cut.log", b"abc\n" + line.encode() + b"\xe2\x82")])
