@@ -42,6 +42,7 @@ def ingest_arrivals(
     def batch(df: DataFrame, number: int) -> None:
         run = batch_run(checkpoint, number)
         if run not in tables.version()["runs"]:
-            ingest_archives(tables, df, run, False, max_mb, fail_fast, on_corrupt)
+            # paths alone are read, so that a task a core does, where Spark would make one for every few files
+            ingest_archives(tables, df.coalesce(spark.sparkContext.defaultParallelism), run, False, max_mb, fail_fast, on_corrupt)
 
     return files.writeStream.foreachBatch(batch).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()

@@ -15,6 +15,7 @@ from harrow.plans import ingest as I
 from harrow.plans.publish import Tables
 from harrow.sources import archives as A
 from harrow.sources.files import DriverFiles
+from harrow.streaming import arrivals as S
 from harrow.streaming.arrivals import batch_run, ingest_arrivals
 from tests.test_ingest import HEAD, put, read
 
@@ -136,6 +137,19 @@ def test_job_and_stream_share_a_target(spark, tmp_path, stream_first):
     assert not (tmp_path / "out/_work").exists() or not any((tmp_path / "out/_work").iterdir())
 
 
+def test_a_batch_of_many_archives_takes_few_tasks(spark, tmp_path, monkeypatch):
+    for k in range(20):
+        put(tmp_path / f"in/{k}.tar.xz", [log("a")])
+    tasks, run = [], S.ingest_archives
+    monkeypatch.setattr(S, "ingest_archives", lambda tables, df, *a: tasks.append(df.rdd.getNumPartitions()) or run(tables, df, *a))
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "4m")  # less than a file counts for
+    try:
+        ingest_arrivals(spark, str(tmp_path / "in"), str(tmp_path / "out"), str(tmp_path / "c")).awaitTermination()
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+    assert names(spark, str(tmp_path / "out")) == sorted(f"{k}.tar.xz" for k in range(20)) and max(tasks) <= spark.sparkContext.defaultParallelism
+
+
 def test_a_failed_job_leaves_nothing_behind(spark, tmp_path):
     put(tmp_path / "in/a.tar.xz", [log("a")])
     (tmp_path / "in/b.tar.xz").write_bytes(b"broken")
